@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm.encoding import garbled, garbled_ids
 from lodeseek.llm.leakage import leaked_passages
 from lodeseek.llm.splitting import oversized_ids, split_oversized
 from lodeseek.sources.tables import table
@@ -28,7 +29,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").cast("long").alias("documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_report": p8_report}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_ids(table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored}
 
 _SPANS = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
