@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm.docpairs import documented_functions
 from lodeseek.llm.encoding import garbled, garbled_ids
 from lodeseek.llm.leakage import leaked_passages
+from lodeseek.llm.parsing import unparsable, unparsable_rates
 from lodeseek.llm.splitting import oversized_ids, split_oversized
 from lodeseek.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated records count once, and so do equal names within one."""
+    return documented_functions(table(spark, d, "csn_records")).select(F.col("id").alias("record_id"), "func_name").distinct()
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions(table(spark, d, "csn_records")).withColumnRenamed("id", "record_id").distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return unparsable(table(spark, d, "source_files")).select("rel_path").distinct()
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "source_files")
+    return unparsable_rates(files, unparsable(files))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return oversized_ids(split_oversized(table(spark, d, "chunks"))).select(F.col("id").alias("chunk_id"))
 
@@ -37,7 +57,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored}
 
 _SPANS = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
