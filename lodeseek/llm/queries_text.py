@@ -9,6 +9,7 @@ from lodeseek.llm.docpairs import documented_functions
 from lodeseek.llm.encoding import garbled, garbled_ids
 from lodeseek.llm.leakage import leaked_passages
 from lodeseek.llm.parsing import unparsable, unparsable_rates
+from lodeseek.llm.sourcekind import label_files, not_handwritten
 from lodeseek.llm.splitting import oversized_ids, split_oversized
 from lodeseek.sources.tables import table
 
@@ -22,6 +23,14 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(table(spark, d, "csn_records")).withColumnRenamed("id", "record_id").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(label_files(table(spark, d, "source_files"), table(spark, d, "upstream_files"))).select("rel_path").distinct()
+
+
+def p3_labels(spark: SparkSession, d: str) -> DataFrame:
+    return label_files(table(spark, d, "source_files"), table(spark, d, "upstream_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return unparsable(table(spark, d, "source_files")).select("rel_path").distinct()
 
@@ -57,7 +66,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored}
 
 _SPANS = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
