@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeseek.llm import queries_pairs, queries_text
+from lodeseek.llm import queries_packing, queries_pairs, queries_text
 
-_MODULES = [queries_text, queries_pairs]
+_MODULES = [queries_text, queries_pairs, queries_packing]
 
 
 def queries() -> dict:
