@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.sources.durable import written
@@ -216,51 +216,82 @@ def _evidence(runs: np.ndarray, owners: np.ndarray, sizes: np.ndarray):
                         at = np.concatenate([np.arange(a, b) for a, b in zip(i[hit], j[hit])])
                         common = np.bincount(owners[at], minlength=len(sizes))
                         like = float((common / (sizes + len(own) - common)).max())
-                out.append([path, *file_evidence(path, content, like)])
-            yield pd.DataFrame(out, columns=["path", *[f"e{i}" for i in range(5)]])
+                out.append(file_evidence(path, content, like))
+            e = np.array(out, dtype=np.float64).reshape(-1, 5)
+            paths = [p.replace("\\", "/") for p in pdf["path"]]
+            dirs = [p.rpartition("/")[0] for p in paths]
+            yield _frame({"path": pdf["path"], "dir": dirs, "depth": [d.count("/") + 1 if d else 0 for d in dirs]}, e=e, u=_up(DIR_FILE, e))
 
     return run
 
 
-def _dir_evidence() -> list[Column]:
-    last = F.lower(F.regexp_extract("dir", r"([^/]*)$", 1))
-    vendor, generated = last.rlike(rf"^(?:{VENDOR_DIRS})$"), last.rlike(rf"^(?:{GENERATED_DIRS})$")
-    zero = F.lit(0.0)
-    return [F.when(F.col("dir") == "", F.lit(ROOT_PRIOR)).otherwise(zero), F.when(generated, 12.0).otherwise(zero), zero, F.when(vendor, 12.0).otherwise(zero), zero]
+def _columns(*prefixes: str) -> str:
+    return ", ".join(f"{p}{i} double" for p in prefixes for i in range(5))
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top)))
+def _names(prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in range(5)]
 
 
-def _up(table: tuple, prefix: str) -> list[Column]:
+def _frame(cols: dict, **blocks: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(cols | {f"{p}{i}": x[:, i] for p, x in blocks.items() for i in range(5)})
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+
+def _up(table: tuple, child: np.ndarray) -> np.ndarray:
     """Message to the parent: for each of its labels, the sum over the child's."""
-    return [_log_sum([F.col(f"{prefix}{c}") + F.lit(table[p][c]) for c in range(5)]) for p in range(5)]
+    return _log_sum(child[:, None, :] + np.array(table)[None], axis=2)
 
 
-def _down(table: tuple, cavity: list[Column]) -> list[Column]:
+def _down(table: tuple, cavity: np.ndarray) -> np.ndarray:
     """Message to a child: for each of its labels, the sum over the parent's, without what the child said."""
-    return [_log_sum([cavity[p] + F.lit(table[p][c]) for p in range(5)]) for c in range(5)]
+    return _log_sum(cavity[:, :, None] + np.array(table)[None], axis=1)
+
+
+_VENDOR_DIR, _GENERATED_DIR = re.compile(rf"(?:{VENDOR_DIRS})$", re.I), re.compile(rf"(?:{GENERATED_DIRS})$", re.I)
+
+
+def dir_evidence(path: str) -> list[float]:
+    name = path.rpartition("/")[2]
+    return [ROOT_PRIOR if not path else 0.0, 12.0 if _GENERATED_DIR.match(name) else 0.0, 0.0, 12.0 if _VENDOR_DIR.match(name) else 0.0, 0.0]
+
+
+def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a directory knows from below (b) and what it tells its parent (u)."""
+    for pdf in batches:
+        if len(pdf):
+            b = pdf[_names("s")].to_numpy() + np.array([dir_evidence(d) for d in pdf["dir"]])
+            yield _frame({"dir": pdf["dir"], "parent": [d.rpartition("/")[0] for d in pdf["dir"]]}, b=b, u=_up(DIR_DIR, b))
 
 
-def _parent(path: Column) -> Column:
-    return F.when(F.instr(path, "/") > 0, F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
+def _distribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            cavity = pdf[_names("p")].to_numpy() - pdf[_names("u")].to_numpy()
+            yield _frame({"dir": pdf["dir"]}, b=pdf[_names("b")].to_numpy() + _down(DIR_DIR, cavity))
 
 
-def _depth(d: Column) -> Column:
-    return F.when(d == "", 0).otherwise(F.size(F.split(d, "/")))
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Handwritten if that is likelier than all the rest together, else the likeliest of the rest."""
+    for pdf in batches:
+        if len(pdf):
+            x = pdf[_names("e")].to_numpy() + _down(DIR_FILE, pdf[_names("b")].to_numpy() - pdf[_names("u")].to_numpy())
+            p = np.exp(x - _log_sum(x, axis=1)[:, None])
+            hand = p[:, HAND] >= 0.5
+            label = np.array(LABELS, dtype=object)[np.where(hand, HAND, 1 + p[:, 1:].argmax(axis=1))]
+            yield pd.DataFrame({"rel_path": pdf["path"], "label": label, "confidence": np.where(hand, p[:, HAND], 1 - p[:, HAND])})
 
 
 def label_files(files: DataFrame, reference: DataFrame | None = None, *, path_col: str = "rel_path", content_col: str = "content", reference_col: str = "content", reference_limit: int = REFERENCE_LIMIT) -> DataFrame:
     """Rows ``(rel_path, label, confidence)`` of all distinct files; confidence is the marginal of
     being handwritten, or of not being so."""
-    rows = files.select(F.regexp_replace(F.col(path_col), r"\\", "/").alias("path"), F.col(content_col).alias("content"), F.col(path_col).alias("as_stored")).filter(F.col("path").isNotNull())
-    runs, owners, sizes = _reference(reference, reference_col, reference_limit)
-    content = rows.select(F.col("as_stored").alias("path"), "content")
-    evidence = spread(content, "path").mapInPandas(_evidence(runs, owners, sizes), "path string, " + ", ".join(f"e{i} double" for i in range(5)))
-    nodes = written(evidence.distinct().select("path", _parent(F.regexp_replace("path", r"\\", "/")).alias("dir"), *[f"e{i}" for i in range(5)]).withColumn("depth", _depth(F.col("dir"))), "evidence")
-    return _propagate(nodes)
+    rows = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).filter(F.col("path").isNotNull())
+    evidence = spread(rows, "path").mapInPandas(_evidence(*_reference(reference, reference_col, reference_limit)), "path string, dir string, depth int, " + _columns("e", "u"))
+    return _propagate(written(evidence.distinct(), "evidence"))
 
 
 def _reference(reference: DataFrame | None, col: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,44 +317,26 @@ def _reference(reference: DataFrame | None, col: str, limit: int) -> tuple[np.nd
     return runs[order], owners[order], np.array([len(x) for x in got])
 
 
-def _propagate(nodes: DataFrame) -> DataFrame:
-    e = [f"e{i}" for i in range(5)]
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return nodes.select(F.col("path").alias("rel_path"), F.lit("").alias("label"), F.lit(0.0).alias("confidence")).limit(0)
-    files = nodes.select("path", "dir", "depth", *e, *[m.alias(f"u{i}") for i, m in enumerate(_up(DIR_FILE, "e"))])
+def _propagate(files: DataFrame) -> DataFrame:
+    """The passes over the trees, from the deepest directories to the roots and back."""
     held = written(files.groupBy("dir", "depth").agg(*[F.sum(f"u{i}").alias(f"s{i}") for i in range(5)]), "held")
-    # up: deepest directories first; b is all that a directory knows from below, u what it tells its parent
+    deepest = held.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     up: dict[int, DataFrame] = {}
     below = None
     for depth in range(deepest, -1, -1):
-        level = held.filter(F.col("depth") == depth).select("dir", *[f"s{i}" for i in range(5)])
+        level = held.filter(F.col("depth") == depth).select("dir", *_names("s"))
         if below is not None:
             level = level.unionByName(below.select(F.col("parent").alias("dir"), *[F.col(f"u{i}").alias(f"s{i}") for i in range(5)]))
         sums = level.groupBy("dir").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)])
-        known = sums.select("dir", _parent(F.col("dir")).alias("parent"), *[(F.col(f"s{i}") + x).alias(f"b{i}") for i, x in enumerate(_dir_evidence())])
-        below = written(known.select("*", *[m.alias(f"u{i}") for i, m in enumerate(_up(DIR_DIR, "b"))]), f"up{depth}")
-        up[depth] = below
-    # down: a directory's full belief is what it knows from below and what its parent tells it
-    full = [up[0].select("dir", *[f"b{i}" for i in range(5)])]
+        up[depth] = below = written(sums.mapInPandas(_collect, "dir string, parent string, " + _columns("b", "u")), f"up{depth}")
+    full = [up[0].select("dir", *_names("b"))]
     for depth in range(1, deepest + 1):
         above = full[-1].select(F.col("dir").alias("parent"), *[F.col(f"b{i}").alias(f"p{i}") for i in range(5)])
-        joined = up[depth].join(above, "parent")
-        cavity = [F.col(f"p{i}") - F.col(f"u{i}") for i in range(5)]
-        told = joined.select("dir", *[(F.col(f"b{i}") + m).alias(f"b{i}") for i, m in enumerate(_down(DIR_DIR, cavity))])
-        full.append(written(told, f"down{depth}"))
+        full.append(written(up[depth].join(above, "parent").mapInPandas(_distribute, "dir string, " + _columns("b")), f"down{depth}"))
     dirs = full[0]
     for x in full[1:]:
         dirs = dirs.unionByName(x)
-    joined = files.join(dirs, "dir")
-    cavity = [F.col(f"b{i}") - F.col(f"u{i}") for i in range(5)]
-    belief = joined.select("path", *[(F.col(f"e{i}") + m).alias(f"x{i}") for i, m in enumerate(_down(DIR_FILE, cavity))])
-    x = [F.col(f"x{i}") for i in range(5)]
-    # handwritten if that is likelier than all the rest together, else the likeliest of the rest
-    rest, total = F.greatest(*x[1:]), _log_sum(x)
-    hand = x[HAND] >= _log_sum(x[1:])
-    label = F.when(hand, F.lit(LABELS[HAND])).otherwise(F.coalesce(*[F.when(x[i] == rest, F.lit(LABELS[i])) for i in range(1, 5)]))
-    return belief.select(F.col("path").alias("rel_path"), label.alias("label"), F.exp(F.when(hand, x[HAND]).otherwise(_log_sum(x[1:])) - total).alias("confidence"))
+    return files.drop("depth").join(dirs, "dir").mapInPandas(_decide, "rel_path string, label string, confidence double")
 
 
 def not_handwritten(labels: DataFrame) -> DataFrame:
