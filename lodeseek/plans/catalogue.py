@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeseek.plans import orphan_queries
+from lodeseek.plans import engine_queries, engine_sql, orphan_queries
 
-_MODULES = [orphan_queries]
+_MODULES = [orphan_queries, engine_queries]
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _MODULES for k, s in m.ORACLE.items()}
+    return orphan_queries.ORACLE | engine_sql.ORACLE
