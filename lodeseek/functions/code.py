@@ -239,7 +239,7 @@ def _braced(language: str, code: str, match: dict[int, int]) -> Iterator[tuple[s
         head = f"{head} " if head else ""
         if not prefix.fullmatch(head) or _NO_PREFIX_WORD.search(head):
             continue
-        if language in ("c", "cpp") and not head:
+        if language in ("c", "cpp") and not head or language == "java" and re.search(r"\brecord\s*$", head):
             continue
         if language == "java" and not re.search(r"[\w>\]]\s*$", re.sub(r"@[\w.]+(?:\s*\([^()]*\))?", "", head)) and not name[0].isupper():
             continue

@@ -82,7 +82,7 @@ def orphan_references(
             on.append(F.col("live_from") <= F.col("ref_time"))
         if salt > 1:
             rows = rows.withColumn("_salt", F.pmod(F.xxhash64("ref_id"), F.lit(salt)))
-            known = known.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
+            known = known.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
             on.append(F.col("_salt") == F.col("_slot"))
         found.append(rows.join(known, reduce(lambda a, b: a & b, on), "left_anti").select("ref_id", "ref_time"))
     if not found:

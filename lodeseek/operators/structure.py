@@ -85,7 +85,8 @@ def _param(language: str, text: str) -> tuple[str, str | None]:
 
 def _signature(language: str, src: str, code: str, name: str, start: int, opens: int, match: dict[int, int]) -> tuple[str, str]:
     """``(signature, kind)`` of a callable."""
-    at = code.find(name, start)
+    m = re.compile(r"(?<![\w])" + re.escape(name)).search(code, start)
+    at = m.start() if m else start
     limit = at + len(name) + 1 if language == "ruby" else max(opens, at)  # Ruby's list stands after the name or not at all
     i = code.find("(", at + len(name), limit)
     close = match.get(i) if i >= 0 else None
