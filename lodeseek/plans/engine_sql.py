@@ -131,7 +131,7 @@ WHEN 'sh' THEN 'bash' WHEN 'bash' THEN 'bash' WHEN 'java' THEN 'java' WHEN 'c' T
     "upsert_files": _with(_NOW, _OLD) + "SELECT * FROM now UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM now WHERE now.repo_id = old.repo_id AND now.path = old.path)",
     "eval_recall_mrr": _with(_LIVE, _LABELS, _LABEL_ASKED, *_ARMS, _EVAL) + "SELECT arm, count(*) AS queries, count(*) FILTER (rank IS NULL) AS misses, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM fa GROUP BY arm",
     "eval_hybrid_worse": _with(_LIVE, _LABELS, _LABEL_ASKED, *_ARMS, _EVAL) + "SELECT count(*) FILTER (h.r > least(l.r, v.r)) AS worse, count(*) AS queries FROM (SELECT query_id, coalesce(rank, 1000000000) AS r FROM fa WHERE arm = 'hybrid') h JOIN (SELECT query_id, coalesce(rank, 1000000000) AS r FROM fa WHERE arm = 'lexical') l USING (query_id) JOIN (SELECT query_id, coalesce(rank, 1000000000) AS r FROM fa WHERE arm = 'vector') v USING (query_id)",
-    "debounce_bursts": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 600 SECOND THEN 0 ELSE 1 END AS opens FROM events),
+    "debounce_bursts": """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 600 SECOND THEN 0 ELSE 1 END AS opens FROM events),
 g AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
 SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM g GROUP BY user_id, g""",
 }

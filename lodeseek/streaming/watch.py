@@ -25,13 +25,15 @@ def relevant(events: DataFrame, state_dir: str = STATE_DIR) -> DataFrame:
 
 
 def bursts(events: DataFrame, gap_ms: int = DEBOUNCE_MS, *, ts_col: str = "ts", keys: tuple[str, ...] = (), watermark: str | None = None) -> DataFrame:
-    """One row per run of events with less than ``gap_ms`` between neighbours: start, end, count.
+    """One row per run of events with at most ``gap_ms`` between neighbours: start, end, count.
 
     Works on a stream as well, with ``watermark`` as the time that late events are waited for.
     """
     if events.isStreaming:
         events = events.withWatermark(ts_col, watermark or "10 seconds")
-    g = events.filter(F.col(ts_col).isNotNull()).groupBy(*keys, F.session_window(ts_col, f"{gap_ms} milliseconds").alias("w"))
+    # a stream has no sessions without a key; one for all events takes its place
+    every = () if keys or not events.isStreaming else (F.substring(F.col(ts_col).cast("string"), 1, 0).alias("_all"),)
+    g = events.filter(F.col(ts_col).isNotNull()).groupBy(*keys, *every, F.session_window(ts_col, f"{gap_ms} milliseconds").alias("w"))
     end = F.expr(f"w.end - interval {gap_ms} milliseconds")
     return g.agg(F.count("*").alias("events")).select(*keys, F.col("w.start").alias("started"), end.alias("ended"), "events")
 
