@@ -237,7 +237,7 @@ def _braced(language: str, code: str, match: dict[int, int]) -> Iterator[tuple[s
         start = back + 1 + len(lead) - len(lead.lstrip())
         head = lead.strip()
         head = f"{head} " if head else ""
-        if not prefix.fullmatch(head) or _NO_PREFIX_WORD.search(head):
+        if not prefix.fullmatch(head) or _NO_PREFIX_WORD.search(re.sub(r"\btemplate\s*<[^<>]*>", "", head)):
             continue
         if language in ("c", "cpp") and not head or language == "java" and re.search(r"\brecord\s*$", head):
             continue
