@@ -7,6 +7,7 @@ only. A body is delimited by an indentation stack (Python), by a stack of openin
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -135,6 +136,16 @@ def bracket_pairs(code: str) -> dict[int, int]:
     return match
 
 
+class Lines:
+    """Line numbers, from 0, of places in a text, each found in logarithmic time."""
+
+    def __init__(self, text: str):
+        self.starts = [0] + [m.end() for m in re.finditer("\n", text)]
+
+    def at(self, i: int) -> int:
+        return bisect.bisect_right(self.starts, max(0, i)) - 1
+
+
 def line_start(s: str, i: int) -> int:
     return s.rfind("\n", 0, i) + 1
 
@@ -162,12 +173,17 @@ def _python_body(code: str, at: int, match: dict[int, int]) -> tuple[int, int]:
     return opens, last
 
 
-def _ruby_end(code: str, at: int) -> int:
+def ruby_loops(code: str) -> frozenset[int]:
+    """Places of the ``do`` that belong to a loop, which has its own opening word."""
+    return frozenset(m.end() - 2 for m in _LOOP_DO.finditer(code))
+
+
+def ruby_end(code: str, at: int, loops: frozenset[int]) -> int:
     """End of the body that opens at ``at``, by a stack of opening words and ``end``."""
-    line = code[at : (code.find("\n", at) if "\n" in code[at:] else len(code))]
+    stop = code.find("\n", at)
+    line = code[at : stop if stop >= 0 else len(code)]
     if re.search(r"\)\s*=\s*\S|def\s+[\w.?!]+\s*=\s+\S", line):  # a body without end
         return at + len(line)
-    loops = {m.end() - 2 for m in _LOOP_DO.finditer(code, at)}
     depth = 0
     for m in _RUBY_WORD.finditer(code, at):
         if m.group("open"):
@@ -190,9 +206,10 @@ def named_bodies(language: str, code: str, match: dict[int, int]) -> Iterator[tu
             opens, end = _python_body(code, m.end(), match)
             yield m.group("name"), at, opens, end
     elif language == "ruby":
+        loops = ruby_loops(code)
         for m in SIGNATURES[language].finditer(code):
             d = code.index("def", m.start())
-            yield m.group("name"), m.start() + len(m.group()) - len(m.group().lstrip()), m.end(), _ruby_end(code, d)
+            yield m.group("name"), m.start() + len(m.group()) - len(m.group().lstrip()), m.end(), ruby_end(code, d, loops)
     elif language in ("rust", "go", "bash"):
         for m in SIGNATURES[language].finditer(code):
             if language == "bash":

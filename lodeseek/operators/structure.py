@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.code import MASKS, bracket_pairs, mask, named_bodies
+from lodeseek.functions.code import MASKS, Lines, bracket_pairs, mask, named_bodies, ruby_end, ruby_loops
 from lodeseek.functions.text import chunk_id, language_of
 from lodeseek.sources.tables import spread
 
@@ -128,23 +128,26 @@ def symbols(language: str, src: str) -> list[Symbol]:
         return []
     code, _, _ = mask(language, src)
     match = bracket_pairs(code)
-    line = lambda i: src.count("\n", 0, max(0, i)) + 1
+    places = Lines(src)
+    line = lambda i: places.at(i) + 1
     found: list[Symbol] = []
     spans: list[tuple[int, int]] = []
     for name, start, opens, end in named_bodies(language, code, match):
-        if language == "ruby" and any(a < start < b for a, b in spans):
+        if language == "ruby" and spans and start < spans[-1][1]:
             continue  # bodies of methods aren't entered
         spans.append((start, end))
         text, kind = _signature(language, src, code, name, start, opens, match)
         found.append(Symbol(name, kind, text, line(start), line(end - 1)))
+    named = {code.find(x.name, a) for x, (a, _) in zip(found, spans)}
     for m in _DECLARED[language].finditer(code) if language in _DECLARED else ():
         i = m.end() - 1
         end = re.compile(r"[^;{}]*;").match(code, match[i]) if i in match else None
         name = m.group("name")
-        if end and not any(a <= m.start("name") < b for a, b in spans):
+        if end and m.start("name") not in named:
             start = m.start() + len(m.group()) - len(m.group().lstrip())
             text, kind = _signature(language, src, code, name, start, end.end(), match)
             found.append(Symbol(name or "__call", kind, text, line(start), line(end.end() - 1)))
+    loops = ruby_loops(code) if language == "ruby" else frozenset()
     pattern = _TYPES.get(language)
     for m in pattern.finditer(code) if pattern else ():
         word = m.group("kind")
@@ -164,7 +167,7 @@ def symbols(language: str, src: str) -> list[Symbol]:
                     end = stop if stop >= 0 else len(code)
                 pos = stop
         elif language == "ruby":
-            end = _ruby_type_end(code, start)
+            end = ruby_end(code, start, loops)
         else:
             stop = re.compile(r"[{;]|\n(?=\S)" if language == "go" else r"[{;]").search(code, m.end())
             b = stop.start() if stop else len(code)
@@ -173,12 +176,6 @@ def symbols(language: str, src: str) -> list[Symbol]:
     return sorted(found, key=lambda s: (s.start, -s.end))
 
 
-def _ruby_type_end(code: str, at: int) -> int:
-    from lodeseek.functions.code import _ruby_end
-
-    return _ruby_end(code, at)
-
-
 _PY_IMPORT = re.compile(r"^[ \t]*import[ \t]+(?P<plain>[\w., \t]+)|^[ \t]*from[ \t]+(?P<src>[.\w]+)[ \t]+import[ \t]+(?P<what>\*|\([^)]*\)|[^\n#]+)", re.M)
 _TS_IMPORT = re.compile(r"^[ \t]*import\b(?P<clause>[^'\";]*?)(?:\bfrom\b)?[ \t\n]*['\"](?P<src>[^'\"\n]+)['\"]|\brequire[ \t]*\([ \t]*['\"](?P<req>[^'\"\n]+)['\"][ \t]*\)", re.M)
 _TS_EXPORT = re.compile(
@@ -211,7 +208,8 @@ def imports_exports(language: str, src: str) -> tuple[list[tuple[str, str, int]]
         if "\n" in src[a:b]:
             hidden[a:b] = [c if c == "\n" else " " for c in src[a:b]]
     text = "".join(hidden)
-    line = lambda i: text.count("\n", 0, i) + 1
+    places = Lines(text)
+    line = lambda i: places.at(i) + 1
     first = lambda m: m.start() + len(m.group()) - len(m.group().lstrip())
     imports: list[tuple[str, str, int]] = []
     exports: list[tuple[str, int]] = []
