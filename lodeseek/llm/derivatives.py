@@ -12,6 +12,7 @@ not nullable at the end of the stream marks a text that was cut off.
 from __future__ import annotations
 
 import re
+import sys
 from functools import reduce
 
 
@@ -220,10 +221,16 @@ class Grammar:
         """Index of the token at which the stream leaves the language, ``len(kinds)`` if it ends too soon, else None."""
         if self.count > self.MOST_NODES:
             self._build()
-        state, empty = self.start, self.empty
-        for i, t in enumerate(kinds):
-            nxt = state.step.get(t)
-            state = nxt if nxt is not None else self.derive(state, t)
-            if state is empty:
-                return i
-        return None if self._null(state) else len(kinds)
+        # derivatives are as deep as the text is nested
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, 10_000 + 20 * len(kinds)))
+        try:
+            state, empty = self.start, self.empty
+            for i, t in enumerate(kinds):
+                nxt = state.step.get(t)
+                state = nxt if nxt is not None else self.derive(state, t)
+                if state is empty:
+                    return i
+            return None if self._null(state) else len(kinds)
+        finally:
+            sys.setrecursionlimit(before)

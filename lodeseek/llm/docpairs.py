@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.code import ANNOTATION, MASKS, bracket_pairs, line_start, mask, named_bodies
+from lodeseek.functions.code import ANNOTATION, MASKS, Lines, bracket_pairs, line_start, mask, named_bodies
 from lodeseek.sources.tables import spread
 
 MIN_WORDS = 4
@@ -40,23 +40,22 @@ class Function(NamedTuple):
     descriptions: list[str]
 
 
-def _comment_blocks(src: str, code: str, comments: list[tuple[int, int]]) -> dict[int, str]:
-    """Text of each comment by the line on which it ends; adjacent line comments are one; those beside code don't count."""
-    blocks: dict[int, tuple[int, str, bool]] = {}
+def _comment_blocks(code: str, comments: list[tuple[int, int]], src: str, lines: Lines) -> dict[int, tuple[int, int, int]]:
+    """``(first line, start, end)`` of each comment by the line on which it ends; adjacent line comments are one; those beside code don't count."""
+    blocks: dict[int, tuple[int, int, int]] = {}
+    singles: set[int] = set()
     for a, b in comments:
         ls, le = line_start(code, a), code.find("\n", b)
         le = len(code) if le < 0 else le
         if code[ls:a].strip() or code[b:le].strip():
             continue
-        first, last = src.count("\n", 0, a), src.count("\n", 0, b)
-        text = src[a:b]
-        single = not text.startswith(("/*", "=begin"))
-        before = blocks.get(first - 1)
-        if single and before and before[2]:
-            del blocks[first - 1]
-            first, text = before[0], before[1] + "\n" + text
-        blocks[last] = (first, text, single)
-    return {k: v[1] for k, v in blocks.items()}
+        first, last = lines.at(a), lines.at(b)
+        if not src.startswith(("/*", "=begin"), a):
+            singles.add(last)
+            if first - 1 in singles:
+                first, a, _ = blocks.pop(first - 1)
+        blocks[last] = (first, a, b)
+    return blocks
 
 
 def functions(language: str, src: str) -> list[Function]:
@@ -66,56 +65,52 @@ def functions(language: str, src: str) -> list[Function]:
     src = src.replace("\r\n", "\n")
     code, comments, strings = mask(language, src)
     match = bracket_pairs(code)
-    above = _comment_blocks(src, code, comments)
-    starts = [0] + [m.end() for m in re.finditer("\n", src)]
+    lines = Lines(src)
+    starts = lines.starts
+    above = _comment_blocks(code, comments, src, lines)
     annotation = ANNOTATION.get(language)
-    opened = dict(strings)
+    opened, commented = dict(strings), dict(comments)
     # lines that open an annotation, and the bracketed lines it goes on for
     covers: dict[int, int] = {}
     if annotation:
         for k, s in enumerate(starts):
-            if annotation.match(code, s) and code[s : (starts[k + 1] if k + 1 < len(starts) else len(code))].strip():
-                stop = s
-                i = code.find("(", s, starts[k + 1] if k + 1 < len(starts) else len(code))
-                if i >= 0 and i in match:
-                    stop = match[i]
-                covers[src.count("\n", 0, max(s, stop))] = k
+            e = starts[k + 1] if k + 1 < len(starts) else len(code)
+            if annotation.match(code, s, e):
+                i = code.find("(", s, e)
+                covers[lines.at(match[i] if i >= 0 and i in match else s)] = k
     out = []
     for name, start, opens, end in named_bodies(language, code, match):
-        line = src.count("\n", 0, start)
-        lines = [line]
-        signature = src.count("\n", 0, max(start, opens - 1))
-        lines += [x for x in range(line + 1, signature + 1)] if language in ("java", "typescript", "javascript", "c", "cpp") else []
+        line = lines.at(start)
+        at = [line]
+        if language in ("java", "typescript", "javascript", "c", "cpp"):
+            at += range(line + 1, lines.at(max(start, opens - 1)) + 1)
         while line - 1 in covers:
             line = covers[line - 1]
-            lines.append(line)
+            at.append(line)
         # a comment between annotations and signature
-        k = lines[0]
+        k = at[0]
         while k - 1 in above:
-            text = above[k - 1]
-            k -= text.count("\n") + 1
-            if k - 1 in covers:
-                k = covers[k - 1]
-                lines.append(k)
-            else:
+            k = above[k - 1][0]
+            if k - 1 not in covers:
                 break
-        texts = [above[x - 1] for x in dict.fromkeys(lines) if x - 1 in above]
+            k = covers[k - 1]
+            at.append(k)
+        texts = [src[a:b] for x in dict.fromkeys(at) if x - 1 in above for _, a, b in [above[x - 1]]]
         if language == "python":
             i = opens
             while i < end:
-                gap = re.compile(r"[ \t\n]*").match(src, i).end()
-                c = next((b for a, b in comments if a == gap), None)
-                if c is None:
-                    i = gap
+                i = _GAP.match(src, i).end()
+                if i not in commented:
                     break
-                i = c
-            prefix = re.compile(r"[rRuUbB]{0,2}(?=['\"])").match(src, i)
+                i = commented[i]
+            prefix = _STRING_PREFIX.match(src, i)
             if prefix and prefix.end() in opened and i < end:
                 texts.append(re.sub(r"^('''|\"\"\"|'|\")|('''|\"\"\"|'|\")$", "", src[prefix.end() : opened[prefix.end()]]))
         out.append(Function(name, starts[line], end, texts))
     return out
 
 
+_GAP, _STRING_PREFIX = re.compile(r"[ \t\n]*"), re.compile(r"[rRuUbB]{0,2}(?=['\"])")
 _SIGNS = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|/{2,}!?|\*+(?!/)|#+!?|=begin\b|=end\b|--+)?[ \t]*|[ \t]*\*+/[ \t]*$", re.M)
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|\{@\w*|[`*{}|~]|&[a-z]+;")
 _TAG_LINE = re.compile(r"^[ \t]*[@:\\][A-Za-z].*$", re.M)
@@ -141,11 +136,12 @@ def described(language: str, src: str, field: str | None) -> list[tuple[str, str
     """``(name, description, code, line)`` of the functions with a description that is not trivial; ``field`` is the first one's."""
     out = []
     clean = src.replace("\r\n", "\n")
+    lines = Lines(clean)
     for k, f in enumerate(functions(language, src)):
         texts = ([field] if k == 0 and field else []) + f.descriptions
         good = next((t for t in texts if not trivial(t, f.name)), None)
         if good is not None:
-            out.append((f.name, plain(good), clean[f.start : f.end], clean.count("\n", 0, f.start) + 1))
+            out.append((f.name, plain(good), clean[f.start : f.end], lines.at(f.start) + 1))
     return out
 
 

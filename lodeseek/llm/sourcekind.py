@@ -82,7 +82,7 @@ VENDOR_NOTE = re.compile(
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|[^\w\s]")
 _WORDY = re.compile(r"[A-Za-z_]\w*")
 _PAYLOAD = re.compile(r"[A-Za-z0-9+/=_-]{48,}")
-_NUMBERS = re.compile(r"(?:(?:0x[0-9a-fA-F]+|[-+]?\d+(?:\.\d+)?)[uUlLfF]*\s*,\s*){8,}")
+_NUMBERS = re.compile(r"(?<![\w.])(?:(?:0x[0-9a-fA-F]++|[-+]?\d++(?:\.\d++)?)[uUlLfF]*+\s*+,\s*+){8,}")
 _PROSE = (".md", ".txt", ".rst", ".adoc", ".markdown")
 _CONFIG = (".json", ".toml", ".yaml", ".yml", ".ini", ".cfg", ".xml", ".csv", ".lock", ".properties")
 
@@ -92,8 +92,9 @@ def note_evidence(content: str) -> tuple[float, float]:
     gen = vend = 0.0
     if not any(x in content for x in ("//", "#", "/*", "--", "<!--", ";", "%", "*", "=begin")):
         return gen, vend
-    for m in _COMMENT.finditer(content):
-        text = m.group(1)
+    for line in content.split("\n"):
+        m = _COMMENT.match(line) if len(line) <= 400 else None  # a note is a short line
+        text = m.group(1) if m else ""
         if 8 <= len(text) <= 300:
             if not gen and GENERATED_NOTE.search(text):
                 gen = 9.0
