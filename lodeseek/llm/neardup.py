@@ -120,30 +120,33 @@ def fingerprints(df: DataFrame, *, k: int, min_words: int, coordinates: int) ->
 
 
 def similar_classes(classes: DataFrame, *, similarity: float = SIMILARITY, coordinates: int = COORDINATES, agree: int = AGREE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Rows ``(grp, a, b, similarity)``: pairs of classes of one group, a < b, verified on the whole sets."""
-    keys = classes.select("grp", "cls", "n", F.explode(_variants(coordinates, agree)).alias("key"))
+    """Rows ``(grp, a, b, similarity)``: pairs of classes of one group, each pair once, verified on the whole sets."""
+    # within, a class goes by 64 bits; if two shared them, the check of their sets would still tell them apart
+    c = F.xxhash64("grp", "cls")
+    keys = classes.select(c.alias("c"), "n", F.explode(_variants(coordinates, agree)).alias("key"))
     # what few share is paired in its bucket; a bucket beyond the limit is only counted
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
     shared = keys.join(sizes.filter(F.col("size") > 1), "key")
     small = shared.filter(F.col("size") <= bucket_limit)
-    a = small.select("key", "grp", F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = small.select("key", F.col("grp").alias("gb"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "key").filter((F.col("grp") == F.col("gb")) & (F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), similarity)).select("grp", "a", "b")
+    a = small.select("key", F.col("c").alias("a"), F.col("n").alias("na"))
+    b = small.select("key", F.col("c").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), similarity)).select("a", "b")
     # the others meet by the rare shingles that two similar sets must share
-    crowded = shared.filter(F.col("size") > bucket_limit).select("grp", "cls").distinct()
-    hot = classes.join(crowded, ["grp", "cls"], "left_semi").select("grp", "cls", "n", F.explode("sh").alias("s"))
-    rarity = hot.groupBy("grp", "s").agg(F.count("*").alias("df"))
-    ranked = hot.join(rarity, ["grp", "s"]).groupBy("grp", "cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("order"))
+    crowded = shared.filter(F.col("size") > bucket_limit).select("c").distinct()
+    hot = classes.withColumn("c", c).join(crowded, "c", "left_semi").select("grp", "c", "n", F.explode("sh").alias("s")).select("c", "n", F.xxhash64("grp", "s").alias("s"))
+    rarity = hot.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = hot.join(rarity, "s").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("order"))
     length = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).cast("int")
-    prefix = ranked.select("grp", "cls", "n", F.explode(F.slice("order", F.lit(1), length)).alias("p")).select("grp", "cls", "n", F.col("p.s").alias("s"))
-    x = prefix.select("grp", "s", F.col("cls").alias("a"), F.col("n").alias("na"))
-    y = prefix.select("grp", "s", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    rare = x.join(y, ["grp", "s"]).filter((F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), similarity)).select("grp", "a", "b")
+    prefix = ranked.select("c", "n", F.explode(F.slice("order", F.lit(1), length)).alias("p")).select("c", "n", F.col("p.s").alias("s"))
+    x = prefix.select("s", F.col("c").alias("a"), F.col("n").alias("na"))
+    y = prefix.select("s", F.col("c").alias("b"), F.col("n").alias("nb"))
+    rare = x.join(y, "s").filter((F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), similarity)).select("a", "b")
     pairs = met.unionByName(rare).distinct()
-    left = classes.select("grp", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
-    right = classes.select("grp", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
+    left = classes.select(c.alias("a"), "grp", F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("sh").alias("sa"))
+    right = classes.select(c.alias("b"), F.col("grp").alias("gb"), F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    checked = pairs.join(left, ["grp", "a"]).join(right, ["grp", "b"]).select("grp", "a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("similarity"))
+    both = pairs.join(left, "a").join(right, "b").filter(F.col("grp") == F.col("gb"))
+    checked = both.select("grp", F.col("ca").alias("a"), F.col("cb").alias("b"), (common / (F.col("na") + F.col("nb") - common)).alias("similarity"))
     return checked.filter(F.col("similarity") >= similarity)
 
 
