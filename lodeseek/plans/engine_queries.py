@@ -154,7 +154,7 @@ def content_dedup(spark, d):
 
 def mmr(spark, d):
     """The ten nearest of every twentieth vector, diversified."""
-    near = knn_batch(spark, d).select("query_id", "chunk_id", F.round(-F.col("distance"), 6).alias("score"), "rank")
+    near = knn_batch(spark, d).select("query_id", "chunk_id", (F.lit(0.0) - F.col("distance")).alias("score"), "rank")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return diversify(near, vectors)
 

@@ -109,6 +109,21 @@ r(query_id, n, rank, hit_id, ok, kept) AS (
   FROM r JOIN o ON o.query_id = r.query_id AND o.n = r.n + 1,
   LATERAL (SELECT len(o.w) = 0 OR len(list_filter(r.kept, lambda k: len(list_intersect(k, o.w)) >= 0.9 * len(list_distinct(list_concat(k, o.w))))) = 0 AS ok) x)
 SELECT query_id, rank, hit_id FROM r WHERE ok""",
+    "mmr": "WITH RECURSIVE " + _KNN + """, sc AS (SELECT query_id, chunk_id, 0 - distance AS score, rank FROM near),
+mm AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM sc GROUP BY query_id),
+c AS (SELECT sc.*, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS rel, e.v FROM sc JOIN mm USING (query_id) JOIN e ON e.vec_id = sc.chunk_id),
+pc AS (SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b, list_sum(list_transform(list_zip(x.v, y.v), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))
+  / (sqrt(list_sum(list_transform(x.v, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))) * sqrt(list_sum(list_transform(y.v, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE))))) AS cos FROM c x JOIN c y USING (query_id)),
+r(query_id, step, picked) AS (
+  SELECT query_id, 0, CAST([] AS BIGINT[]) FROM mm
+  UNION ALL
+  SELECT query_id, step + 1, list_append(picked, chunk_id) FROM (
+    SELECT query_id, step, picked, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * rel - 0.3 * most, 12) DESC, rank) AS n FROM (
+      SELECT r.query_id, r.step, r.picked, c.chunk_id, c.rel, c.rank, coalesce(max(greatest(pc.cos, 0)), 0) AS most
+      FROM r JOIN c ON c.query_id = r.query_id AND NOT list_contains(r.picked, c.chunk_id) LEFT JOIN pc ON pc.query_id = r.query_id AND pc.a = c.chunk_id AND list_contains(r.picked, pc.b)
+      GROUP BY ALL)) WHERE n = 1),
+f AS (SELECT query_id, step AS rank, picked[step] AS chunk_id FROM r WHERE step > 0)
+SELECT f.query_id, f.chunk_id, sc.score, CAST(f.rank AS BIGINT) AS rank FROM f JOIN sc ON sc.query_id = f.query_id AND sc.chunk_id = f.chunk_id""",
     "hydrated": _with(
         _LIVE, _ASKED, _BM25,
         "sy AS (SELECT chunk_id, arg_min(signature, {'l': line, 's': coalesce(signature, '')}) AS signature FROM symbols WHERE chunk_id IS NOT NULL AND signature IS NOT NULL GROUP BY chunk_id)",
