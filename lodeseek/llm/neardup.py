@@ -126,7 +126,7 @@ def similar_classes(classes: DataFrame, *, similarity: float = SIMILARITY, coord
     keys = classes.select(c.alias("c"), "n", F.explode(_variants(coordinates, agree)).alias("key"))
     # what few share is paired in its bucket; a bucket beyond the limit is only counted
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
-    shared = keys.join(sizes.filter(F.col("size") > 1), "key")
+    shared = written(keys.join(sizes.filter(F.col("size") > 1), "key"), "shared")
     small = shared.filter(F.col("size") <= bucket_limit)
     a = small.select("key", F.col("c").alias("a"), F.col("n").alias("na"))
     b = small.select("key", F.col("c").alias("b"), F.col("n").alias("nb"))
