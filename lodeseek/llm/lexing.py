@@ -68,7 +68,7 @@ def _master(language: str) -> re.Pattern:
         head = [_SLASHES, r'(?P<STR>"""[ \t]*\r?\n(?:[^\\]|\\[\s\S])*?"""|(?!"""[ \t]*\r?\n)' + _STRING + "|" + _SINGLE + ")"]
     elif language in ("c", "cpp"):
         raw = r'|(?:u8|[uUL])?R"(?P<mark>[^\s()\\]{0,16})\([\s\S]*?\)(?P=mark)"' if language == "cpp" else ""
-        head = [_SLASHES, "(?P<STR>(?:u8|[uUL])?(?:" + _STRING + "|" + _SINGLE + ")" + raw + ")", r"(?P<DIRECTIVE>(?:(?<=\n)|(?<![\s\S]))[ \t]*\#(?:[^\n\\/]|\\\r?\n|\\|/(?!\*)|/\*[\s\S]*?\*/)*)"]
+        head = [_SLASHES, "(?P<STR>(?:u8|[uUL])?(?:" + _STRING + "|" + _SINGLE + ")" + raw + ")", r"(?P<DIRECTIVE>\#(?!\#)(?:[^\n\\/]|\\\r?\n|\\|/(?!\*)|/\*[\s\S]*?\*/)*)"]
     else:
         raise KeyError(language)
     return re.compile("|".join([r"(?P<nl>\n)", r"(?P<space>[ \t\r\f\v﻿]+)", *head, _NUMBER, _NAME, f"(?P<OP>{ops})", r"(?P<bad>[\s\S])"]))
@@ -94,7 +94,7 @@ _GO_LINE_END = _words("ID NUM STR break continue fallthrough return ++ -- ) ] }"
 def _brace_languages(language: str, src: str) -> list[Token]:
     keywords = KEYWORDS[language]
     match, out, at, n = _master(language).match, [], 0, len(src)
-    last, pending = "", False
+    last, pending = "", True
     ts, go = language == "typescript", language == "go"
     braces: list[bool] = []  # per open brace whether it belongs to a template
     if src.startswith("#!"):
@@ -136,8 +136,11 @@ def _brace_languages(language: str, src: str) -> list[Token]:
             at = end
             continue
         start = at
+        if kind == "DIRECTIVE" and not pending:  # only white space and comments go before a directive on its line
+            kind, end = ERROR, at + 1
         if kind == "DIRECTIVE":
-            at = _conditional(src, m, out)
+            out.append((COMMENT, at, end))
+            at = end
             continue
         if kind == "ID":
             word = m.group()
@@ -181,27 +184,6 @@ def _template(src: str, at: int, more: str, done: str) -> tuple[str, int]:
     return ERROR, len(src)
 
 
-_BRANCH = re.compile(r"\s*#\s*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b")
-
-
-def _conditional(src: str, m: re.Match, out: list[Token]) -> int:
-    """After a directive: of the branches of a conditional only the first is read."""
-    out.append((COMMENT, m.start(), m.end()))
-    b = _BRANCH.match(m.group())
-    if not b or not b[1].startswith("el"):
-        return m.end()
-    depth = 0
-    for d in re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|endif)\b[^\n]*", re.M).finditer(src, m.end()):
-        if d[1] == "endif":
-            if not depth:
-                out.append((COMMENT, m.end(), d.end()))
-                return d.end()
-            depth -= 1
-        else:
-            depth += 1
-    return m.end()
-
-
 def _python(src: str) -> list[Token]:
     keywords = KEYWORDS["python"]
     match, out, at, n = _master("python").match, [], 0, len(src)

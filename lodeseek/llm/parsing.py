@@ -6,7 +6,8 @@ token is reported) or if the last derivative is not nullable (the file was cut o
 
 Defined results: null language or content and languages without a grammar are skipped; an empty
 file is valid; a repeated file counts once; a byte order mark and CRLF are ignored; C and C++ read
-the first branch of every conditional directive. Other columns are ignored.
+every branch of their conditional directives that can be compiled, and those have to be balanced.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.llm.conditionals import Conditionals
 from lodeseek.llm.grammars import grammar
 from lodeseek.llm.lexing import COMMENT, ERROR, LANGUAGES, Token, bash_parts, tokenize
 from lodeseek.sources.tables import spread
@@ -35,20 +37,39 @@ def syntax_error(language: str, src: str) -> tuple[int, str] | None:
     if language not in LANGUAGES or not src or src.isspace():
         return None
     src = src.removeprefix("﻿").replace("\r\n", "\n")
+    if language in ("c", "cpp"):
+        return _conditional_error(language, src, tokenize(language, src))
     streams = bash_parts(src) if language == "bash" else [tokenize(language, src)]
     for tokens in streams:
         kinds, kept = _kinds(language, src, tokens)
         at = grammar(language).first_error(kinds)
         if at is not None:
-            if at >= len(kept):
-                return src.count("\n") + 1, "cut off"
-            kind, a, b = kept[at]
-            line = src.count("\n", 0, a) + 1
-            text = src[a : min(b, a + 40)].split("\n")[0]
-            return line, f"not a token: {text}" if kind == ERROR else "cut off" if a >= len(src.rstrip()) else f"unexpected {text or kind}"
+            return _reported(src, kept, at)
     return None
 
 
+def _reported(src: str, kept: list[Token], at: int) -> tuple[int, str]:
+    if at >= len(kept):
+        return src.count("\n") + 1, "cut off"
+    kind, a, b = kept[at]
+    line = src.count("\n", 0, a) + 1
+    text = src[a : min(b, a + 40)].split("\n")[0]
+    return line, f"not a token: {text}" if kind == ERROR else "cut off" if a >= len(src.rstrip()) else f"unexpected {text or kind}"
+
+
+def _conditional_error(language: str, src: str, tokens: list[Token]) -> tuple[int, str] | None:
+    """As ``syntax_error``, over the branches of all conditional directives."""
+    choices = Conditionals(language, src, tokens)
+    if choices.bad is not None:
+        _, a, b = choices.bad
+        a += len(src[a:b]) - len(src[a:b].lstrip())
+        return src.count("\n", 0, a) + 1, f"unexpected {src[a : min(b, a + 40)].split(chr(10))[0].rstrip()}"
+    found = choices.first_error(lambda kept: grammar(language).first_error([tokens[i][0] for i in kept]))
+    if found is not None:
+        return _reported(src, [tokens[i] for i in found[0]], found[1])
+    return (src.count("\n") + 1, "cut off") if choices.unclosed else None
+
+
 def unparsable(df: DataFrame, *, path_col: str = "rel_path", content_col: str = "content", language_col: str = "language", repo_col: str = "repo_id") -> DataFrame:
     """Rows ``(repo_id, language, rel_path, line, reason)`` of the invalid files."""
     rows = df.select(F.col(repo_col).alias("repo_id"), F.col(language_col).alias("language"), F.col(path_col).alias("rel_path"), F.col(content_col).alias("content"))

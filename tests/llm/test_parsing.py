@@ -46,6 +46,34 @@ def test_reasons():
     assert syntax_error("c", "int f() { return 1)\n}\n") == (1, "unexpected )")
 
 
+def test_every_branch_of_a_conditional_counts():
+    def both(src):
+        assert syntax_error("c", src) == syntax_error("cpp", src)
+        return syntax_error("c", src)
+
+    assert both("#if A\nint a;\n#elif B\nint b;\n#else\nint c;\n#endif\n") is None
+    assert both("#if A\nint a;\n#else\n<<<<<<< HEAD\n#endif\n") == (4, "unexpected <<")
+    assert both("#if A\nint a;\n#elif B\nint b[;\n#else\nint c;\n#endif\n") == (4, "unexpected ;")
+    assert both("#if A\n  # if B\nint a;\n  # else\nint q];\n  # endif\n#endif\n") == (5, "unexpected ]")
+    assert both("#ifdef A\nint a;\n#endif\n#ifndef A\nint q];\n#endif\n") == (5, "unexpected ]")
+    # never compiled
+    assert both("#if 0\ndon't \"parse ((\n#else\nint a;\n#endif\n") is None and both("#if 0\n((\n#else\nint a)\n#endif\n") == (4, "unexpected )")
+    assert both("#if 1\nint a;\n#else\n((\n#endif\n") is None and both("#if A\nint a;\n#else\n#error none\n#endif\n") is None
+    # balance
+    guard = "#ifndef A_H\n#define A_H\nint f(int);\nint g(int);\n#endif\n"
+    assert both(guard) is None and both(guard[: guard.index("int g")]) == (4, "cut off")
+    assert both("int a;\n#endif\n") == (2, "unexpected #endif") and both("#if A\n#else\n#else\n#endif\n") == (3, "unexpected #else")
+
+
+def test_conditionals_of_one_condition_agree():
+    src = "int f(int x) {\n#ifdef A\n  g(\n#else\n  if (x) {\n#endif\n  h()\n#ifdef A\n  );\n#else\n  ; }\n#endif\n}\n"
+    assert syntax_error("c", src) is None and syntax_error("c", src.replace("  ; }", "  ;")) is not None
+    wrapped = "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint a;\n#ifdef __cplusplus\n}\n#endif\n"
+    assert syntax_error("c", wrapped) is None and syntax_error("cpp", wrapped) is None
+    many = "".join(f"#if A{i} && B >= {i}L\nint a;\n#else\nint b;\n#endif\n" for i in range(300))
+    assert syntax_error("c", many) is None and syntax_error("c", many[:-10] + "]\n#endif\n") is not None
+
+
 PIECES = st.lists(st.sampled_from(["x", "=", "1", "(", ")", "[", "]", ":", "\n", "\n    ", "if ", "else", "def ", "f", ",", "'a'", "+", "return ", "for ", " in ", "not ", "lambda ", ".", "*", "{", "}"]), max_size=14)
 
 
