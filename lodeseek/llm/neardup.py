@@ -19,11 +19,10 @@ of x with those of y, so these prefixes are joined, with the rarity counted amon
 
 Defined results: null texts and texts of fewer than ``min_words`` words make no pair; a repeated row
 counts once; ties don't arise (the smaller id, as text, comes first); an id with several texts is
-compared on each and never with itself; other columns are ignored. Copies of one text are all paired
-up to ``pair_limit`` members, beyond which each is paired with the smallest id of its class; links
-between two texts go to all members of both classes as long as there are at most ``pair_limit``
-squared of them, beyond which to all of either with the smallest of the other. No link between
-different texts is lost.
+compared on each and never with itself; other columns are ignored. All pairs of copies and all pairs
+of members of two linked classes are listed. The members of a class are cut into parts of about
+``pair_limit``, and what meets is a part and a part, so that a hot class is no one task's work. Groups
+and their numbers of links need no pairs of records: they come from the classes and the links between them.
 """
 
 from __future__ import annotations
@@ -150,6 +149,16 @@ def similar_classes(classes: DataFrame, *, similarity: float = SIMILARITY, coord
     return checked.filter(F.col("similarity") >= similarity)
 
 
+def _linked(df: DataFrame, id_col: str, text_col: str, group_col: str | None, k: int, similarity: float, min_words: int, coordinates: int, agree: int, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)``: the records of each class and the pairs of classes that are similar."""
+    if not 0 < agree <= coordinates or not 0 < similarity <= 1 or k < 1:
+        raise ValueError("needs 0 < agree <= coordinates, 0 < similarity <= 1 and k >= 1")
+    group = F.col(group_col).cast("string") if group_col else F.lit("")
+    rows = df.select(group.alias("grp"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).dropna()
+    members, classes = fingerprints(rows, k=k, min_words=min_words, coordinates=coordinates)
+    return members, similar_classes(classes, similarity=similarity, coordinates=coordinates, agree=agree, bucket_limit=bucket_limit)
+
+
 def similar_pairs(
     df: DataFrame,
     *,
@@ -165,48 +174,82 @@ def similar_pairs(
     pair_limit: int = PAIR_LIMIT,
 ) -> DataFrame:
     """Distinct rows ``(grp, id_a, id_b, similarity)`` of similar records, within ``group_col`` where one is given."""
-    if not 0 < agree <= coordinates or not 0 < similarity <= 1 or k < 1:
-        raise ValueError("needs 0 < agree <= coordinates, 0 < similarity <= 1 and k >= 1")
-    group = F.col(group_col).cast("string") if group_col else F.lit("")
-    rows = df.select(group.alias("grp"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).dropna()
-    members, classes = fingerprints(rows, k=k, min_words=min_words, coordinates=coordinates)
-    links = similar_classes(classes, similarity=similarity, coordinates=coordinates, agree=agree, bucket_limit=bucket_limit)
+    members, links = _linked(df, id_col, text_col, group_col, k, similarity, min_words, coordinates, agree, bucket_limit)
     return expand(members, links, pair_limit)
 
 
+def similar_groups(
+    df: DataFrame,
+    *,
+    id_col: str,
+    text_col: str,
+    group_col: str | None = None,
+    k: int = WORDS,
+    similarity: float = SIMILARITY,
+    min_words: int = 0,
+    coordinates: int = COORDINATES,
+    agree: int = AGREE,
+    bucket_limit: int = BUCKET_LIMIT,
+) -> DataFrame:
+    """``groups`` of ``similar_pairs``, without listing the pairs."""
+    members, links = _linked(df, id_col, text_col, group_col, k, similarity, min_words, coordinates, agree, bucket_limit)
+    links = written(links.select("grp", "a", "b"), "links")
+    firsts = members.groupBy("grp", "cls").agg(F.min("id").alias("first"))
+    # pairs that connect whatever all pairs connect: a class with its smallest id, linked classes by theirs
+    star = members.join(firsts, ["grp", "cls"]).select("grp", F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    across = links.join(firsts.select("grp", F.col("cls").alias("a"), F.col("first").alias("x")), ["grp", "a"]).join(firsts.select("grp", F.col("cls").alias("b"), F.col("first").alias("y")), ["grp", "b"])
+    edges = star.unionByName(across.select("grp", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))).filter("id_a <> id_b")
+    return groups(edges, degree=_degrees(members, links))
+
+
+def _degrees(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows ``(grp, u, links)``: the number of ids that share a class or a link with id ``u``."""
+    of = members.join(members.groupBy("grp", "id").agg(F.count("*").alias("texts")), ["grp", "id"])
+    # ids of one text count alike in each class; those of several are counted by name
+    owned = written(of.withColumn("owner", F.when(F.col("texts") == 1, F.concat(F.lit("c"), F.hex("cls"))).otherwise(F.concat(F.lit("i"), F.col("id")))), "owners")
+    near = links.select("grp", F.col("a").alias("cls"), F.col("b").alias("d")).unionByName(links.select("grp", F.col("b").alias("cls"), F.col("a").alias("d")))
+    near = near.unionByName(members.select("grp", "cls", F.col("cls").alias("d")).distinct())
+    reach = owned.select("grp", "owner", "cls").distinct().join(near, ["grp", "cls"]).select("grp", "owner", "d").distinct()
+    single = owned.filter("texts = 1").groupBy("grp", F.col("cls").alias("d")).agg(F.count("*").alias("links"))
+    named = reach.join(owned.filter("texts > 1").select("grp", F.col("cls").alias("d"), "id"), ["grp", "d"]).select("grp", "owner", "id").distinct()
+    counts = reach.join(single, ["grp", "d"]).select("grp", "owner", "links").unionByName(named.select("grp", "owner", F.lit(1).cast("long").alias("links")))
+    total = counts.groupBy("grp", "owner").agg((F.sum("links") - 1).alias("links")).filter("links > 0")
+    return owned.select("grp", "owner", F.col("id").alias("u")).distinct().join(total, ["grp", "owner"]).select("grp", "u", "links")
+
+
 def expand(members: DataFrame, links: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Links between classes and membership as pairs of records."""
-    members = written(members.join(members.groupBy("grp", "cls").agg(F.min("id").alias("first"), F.count("*").alias("m")), ["grp", "cls"]), "members")
-    one = members.select("grp", "cls", F.col("id").alias("x"), "first", "m")
-    few = one.filter((F.col("m") > 1) & (F.col("m") <= pair_limit))
-    copies = few.join(few.select("grp", "cls", F.col("x").alias("y")), ["grp", "cls"]).filter("x < y").select("grp", "x", "y")
-    star = one.filter((F.col("m") > pair_limit) & (F.col("x") != F.col("first"))).select("grp", F.col("first").alias("x"), F.col("x").alias("y"))
-    same = copies.unionByName(star).withColumn("similarity", F.lit(1.0))
-    a = members.select("grp", F.col("cls").alias("a"), F.col("id").alias("x"), (F.col("id") == F.col("first")).alias("xf"), F.col("m").alias("ma"))
-    b = members.select("grp", F.col("cls").alias("b"), F.col("id").alias("y"), (F.col("id") == F.col("first")).alias("yf"), F.col("m").alias("mb"))
-    sizes = members.filter("id = first").select("grp", "cls", "m")
-    sized = (
-        links.join(sizes.select("grp", F.col("cls").alias("a"), F.col("m").alias("pa")), ["grp", "a"])
-        .join(sizes.select("grp", F.col("cls").alias("b"), F.col("m").alias("pb")), ["grp", "b"])
-        .withColumn("whole", F.col("pa") * F.col("pb") <= pair_limit * pair_limit)
-        .select("grp", "a", "b", "similarity", "whole")
+    if pair_limit < 1:
+        raise ValueError("needs pair_limit >= 1")
+    sizes = members.groupBy("grp", "cls").agg(F.count("*").alias("m")).select("grp", "cls", "m", F.ceil(F.col("m") / pair_limit).cast("int").alias("parts"))
+    members = written(members.join(sizes, ["grp", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "members")
+    several = members.filter("m > 1")
+    low = several.select("grp", "cls", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.col("id").alias("x"))
+    high = several.select("grp", "cls", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"), F.col("id").alias("y"))
+    same = low.join(high, ["grp", "cls", "p", "q"]).filter("p < q or x < y").withColumn("similarity", F.lit(1.0))
+    parts = members.select("grp", "cls", "parts").distinct()
+    met = (
+        links.join(parts.select("grp", F.col("cls").alias("a"), F.col("parts").alias("pa")), ["grp", "a"])
+        .join(parts.select("grp", F.col("cls").alias("b"), F.col("parts").alias("pb")), ["grp", "b"])
+        .select("grp", "a", "b", "similarity", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("p"), "pb")
+        .select("grp", "a", "b", "similarity", "p", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("q"))
+    )
+    near = met.join(members.select("grp", F.col("cls").alias("a"), F.col("part").alias("p"), F.col("id").alias("x")), ["grp", "a", "p"]).join(
+        members.select("grp", F.col("cls").alias("b"), F.col("part").alias("q"), F.col("id").alias("y")), ["grp", "b", "q"]
     )
-    firsts_b = b.filter("yf").drop("yf", "mb")
-    firsts_a = a.filter("xf").drop("xf", "ma")
-    every = sized.filter("whole").join(a.drop("xf", "ma"), ["grp", "a"]).join(b.drop("yf", "mb"), ["grp", "b"])
-    far = sized.filter("not whole")
-    some = far.join(a.drop("xf", "ma"), ["grp", "a"]).join(firsts_b, ["grp", "b"]).unionByName(far.join(firsts_a, ["grp", "a"]).join(b.drop("yf", "mb"), ["grp", "b"]))
-    near = every.unionByName(some).filter("x <> y").select("grp", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "similarity")
-    return same.unionByName(near).groupBy("grp", F.col("x").alias("id_a"), F.col("y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
+    every = same.select("grp", "x", "y", "similarity").unionByName(near.filter("x <> y").select("grp", "x", "y", "similarity"))
+    return every.groupBy("grp", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
 
-def groups(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def groups(pairs: DataFrame, rounds: int = 64, *, degree: DataFrame | None = None) -> DataFrame:
     """Rows ``(grp, id, root, links)``: connected components of the pairs, named by their smallest id.
 
+    Links are counted in the pairs unless ``degree`` gives them as rows ``(grp, u, links)``.
     Alternating large-star and small-star rounds, each a groupBy of the links, until nothing changes.
     """
     edges = written(pairs.select("grp", F.col("id_b").alias("u"), F.col("id_a").alias("v")).distinct(), "edges")
-    degree = edges.select("grp", "u").unionByName(edges.select("grp", F.col("v").alias("u"))).groupBy("grp", "u").agg(F.count("*").alias("links"))
+    if degree is None:
+        degree = edges.select("grp", "u").unionByName(edges.select("grp", F.col("v").alias("u"))).groupBy("grp", "u").agg(F.count("*").alias("links"))
     state = edges
     for _ in range(rounds):
         both = state.unionByName(state.select("grp", F.col("v").alias("u"), F.col("u").alias("v")))
@@ -227,4 +270,4 @@ def groups(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     return roots.unionByName(tops).join(degree.withColumnRenamed("u", "id"), ["grp", "id"])
 
 
-__all__ = ["expand", "fingerprints", "groups", "min_hashes", "shingles", "similar_classes", "similar_pairs"]
+__all__ = ["expand", "fingerprints", "groups", "min_hashes", "shingles", "similar_classes", "similar_groups", "similar_pairs"]

@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.neardup import groups, similar_pairs
+from lodeseek.llm.neardup import similar_groups, similar_pairs
 from lodeseek.sources.tables import table
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+SETTINGS = {"id_col": "id", "text_col": "text", "group_col": "grp", "k": 3, "similarity": 0.6, "min_words": 30, "coordinates": 12, "agree": 2}
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
     """Chunks are compared with all chunks, hits within their query; TESTDATA.md fixes three words and 0.6."""
     chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("grp"), "id", F.col("body").alias("text"))
     hits = table(spark, d, "hits").select(F.concat(F.lit("hits:"), F.col("query_id").cast("string")).alias("grp"), F.col("hit_id").alias("id"), F.col("snippet").alias("text"))
-    return similar_pairs(chunks.unionByName(hits), id_col="id", text_col="text", group_col="grp", k=3, similarity=0.6, min_words=30, coordinates=12, agree=2)
+    return chunks.unionByName(hits)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(F.split_part("grp", F.lit(":"), F.lit(1)).alias("record_set"), "id_a", "id_b").distinct()
+    return similar_pairs(_records(spark, d), **SETTINGS).select(F.split_part("grp", F.lit(":"), F.lit(1)).alias("record_set"), "id_a", "id_b").distinct()
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every record that has a near copy, with the smallest id of its group and its number of links."""
-    return groups(_pairs(spark, d)).select(F.split_part("grp", F.lit(":"), F.lit(1)).alias("record_set"), "id", "root", "links")
+    return similar_groups(_records(spark, d), **SETTINGS).select(F.split_part("grp", F.lit(":"), F.lit(1)).alias("record_set"), "id", "root", "links")
 
 
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}

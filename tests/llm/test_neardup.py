@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from lodeseek.llm.neardup import groups, similar_pairs
+from lodeseek.llm.neardup import groups, similar_groups, similar_pairs
 
 W = [f"w{i}" for i in range(400)]
 
@@ -78,6 +78,30 @@ def test_hot_group_of_copies(spark):
     assert len(whole) == 303 * 302 // 2
 
 
+def hot():
+    """A hot class of which some texts differ in case and layout, one linked with it, ids of several texts."""
+    text, near = " ".join(W[:50]), " ".join(W[:51])
+    rows = [("g", f"c{i:03}", text.upper() if i % 3 else text.replace(" ", "\n")) for i in range(120)] + [("g", "n0", near), ("g", "n1", near), ("h", "n1", text), ("h", "n2", near)]
+    rows += [("g", "c007", near), ("g", "n1", text), ("g", "c009", " ".join(W[100:150])), ("g", "v0", " ".join(W[100:151])), ("g", "v0", " ".join(W[200:250])), ("g", "s", " ".join(W[300:350])), ("g", "s", " ".join(W[300:351]))]
+    return rows
+
+
+def test_no_pair_of_a_hot_class_is_cut(spark):
+    rows = hot()
+    want = brute(rows, 3, 0.6, 30)
+    for limit in (7, 64):
+        assert run(spark, rows, k=3, similarity=0.6, min_words=30, coordinates=12, agree=2, pair_limit=limit) == want
+
+
+def test_groups_of_records_equal_those_of_their_pairs(spark):
+    for rows in (hot(), made(3)):
+        pairs = [(*p, 1.0) for p in brute(rows, 3, 0.6, 30)]
+        want = groups(spark.createDataFrame(pairs, "grp string, id_a string, id_b string, similarity double")).collect()
+        df = spark.createDataFrame(rows, "grp string, id string, text string")
+        got = similar_groups(df, id_col="id", text_col="text", group_col="grp", k=3, similarity=0.6, min_words=30, coordinates=12, agree=2).collect()
+        assert len(got) == len(want) > 0 and {(r.grp, r.id, r.root, r.links) for r in got} == {(r.grp, r.id, r.root, r.links) for r in want}
+
+
 def test_groups(spark):
     pairs = [("g", f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(0, 30)] + [("g", "x1", "x2", 1.0), ("h", "n00", "n05", 1.0)]
     got = {(r.grp, r.id): (r.root, r.links) for r in groups(spark.createDataFrame(pairs, "grp string, id_a string, id_b string, similarity double")).collect()}
