@@ -7,6 +7,7 @@ knowledge of names (types in C and C++), both readings are admitted.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from lodeseek.llm.derivatives import Grammar
@@ -16,7 +17,7 @@ file = (NL | stmt)* ;
 stmt = simple | compound ;
 simple = small (';' small)* ';'? NL ;
 small = exprs_stmt | 'del' exprs | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' (expr ('from' expr)?)?
-  | 'global' names | 'nonlocal' names | 'assert' expr (',' expr)? | imports | ID ID typeparams? '=' expr ;
+  | 'global' names | 'nonlocal' names | 'assert' expr (',' expr)? | imports | 'type' ID typeparams? '=' expr ;
 names = ID (',' ID)* ;
 imports = 'import' asname (',' asname)* | 'from' ('.' | '...')* dotted? 'import' ('*' | fromnames | '(' fromnames ','? ')') ;
 fromnames = ID ('as' ID)? (',' ID ('as' ID)?)* ;
@@ -27,8 +28,10 @@ starexprs = starexpr (',' starexpr)* ','? ;
 exprs = starexprs ;
 starexpr = '*' expr | expr | 'yield' ('from' expr | starexprs)? ;
 expr = 'lambda' lambdaparams? ':' expr | binary ('if' binary 'else' expr)? (':=' expr)? ;
-lambdaparams = lambdaparam (',' lambdaparam)* ','? ;
-lambdaparam = '*' ID? | '**' ID | ID ('=' expr)? | '/' ;
+lambdaparams = (lambdaplain (',' lambdastar)? | lambdastar) ','? ;
+lambdaplain = ID (',' ID)* (',' '/' (',' ID)*)? (',' lambdaset)* | (ID ',')* lambdaset (',' lambdaset)* (',' '/' (',' lambdaset)*)? ;
+lambdaset = ID '=' expr ;
+lambdastar = '*' (ID (',' ID ('=' expr)?)* | (',' ID ('=' expr)?)+) (',' '**' ID)? | '**' ID ;
 binary = unary (BIN unary)* ;
 unary = ('not' | '-' | '+' | '~' | 'await')* postfix ;
 postfix = atom ('.' ID | '(' args? ')' | '[' subs ']')* ;
@@ -37,8 +40,11 @@ comp = starexpr compfor ;
 compfor = ('async'? 'for' targets 'in' binary ('if' binary)*)+ ;
 targets = target (',' target)* ','? ;
 target = '*'? postfix ;
-args = arg (',' arg)* ','? ;
-arg = '*' expr | '**' expr | ID '=' expr | starexpr compfor? ;
+args = arglist ','? | expr compfor ;
+arglist = posarg (',' posarg)* (',' kwargs)? | kwargs ;
+posarg = '*'? expr ;
+kwargs = kwarg (',' (kwarg | '*' expr))* (',' (kwarg | '**' expr))* | '**' expr (',' (kwarg | '**' expr))* ;
+kwarg = ID '=' expr ;
 subs = sub (',' sub)* ','? ;
 sub = starexpr | expr? ':' expr? (':' expr?)? ;
 dictset = (item (',' item)* ','?) | item compfor ;
@@ -54,11 +60,14 @@ withitem = expr ('as' starexpr)? ;
 def = 'def' ID typeparams? '(' params? ')' ('->' expr)? ':' block ;
 typeparams = '[' typeparam (',' typeparam)* ','? ']' ;
 typeparam = ('*' | '**')? ID (':' expr)? ('=' expr)? ;
-params = param (',' param)* ','? ;
-param = '/' | '*' (ID (':' starexpr)?)? | '**' ID (':' expr)? | ID (':' expr)? ('=' expr)? ;
-class = 'class' ID typeparams? ('(' args? ')')? ':' block ;
+params = (plain (',' star)? | star) ','? ;
+plain = param (',' param)* (',' '/' (',' param)*)? (',' set)* | (param ',')* set (',' set)* (',' '/' (',' set)*)? ;
+param = ID (':' expr)? ;
+set = param '=' expr ;
+star = '*' (ID (':' starexpr)? (',' param ('=' expr)?)* | (',' param ('=' expr)?)+) (',' '**' param)? | '**' param ;
+class = 'class' ID typeparams? ('(' (arglist ','?)? ')')? ':' block ;
 decorated = ('@' expr NL)+ (def | class | 'async' def) ;
-match = ID starexprs ':' NL INDENT (ID pattern ('if' expr)? ':' block)+ DEDENT ;
+match = 'match' starexprs ':' NL INDENT NL* ('case' pattern ('if' expr)? ':' block NL*)+ DEDENT ;
 pattern = starexprs | pat (',' pat)* ','? ;
 pat = '*' ID | por ('as' ID)? ;
 por = pone ('|' pone)* ;
@@ -70,6 +79,8 @@ BIN = 'or' ;
 
 _PY_BIN = "'or' | 'and' | 'in' | 'not' 'in' | 'is' 'not'? | '<' | '>' | '<=' | '>=' | '==' | '!=' | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**'"
 _PY_AUG = "'+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '**='"
+# words that are keywords only in their place
+PYTHON = re.sub(r"\bID\b", "name", PYTHON) + "name = ID | 'type' | 'match' | 'case' ;\n"
 PYTHON = PYTHON.replace("BIN = 'or' ;", f"binop = {_PY_BIN} ; augop = {_PY_AUG} ;").replace("(BIN ", "(binop ").replace("AUG ", "augop ")
 
 TYPESCRIPT = r"""
@@ -83,7 +94,7 @@ stmts = sep* (item sep*)* ;
 item = closed | open semi | open ;
 stmt = closed | open semi | open ;
 closed = block | 'if' '(' exprs ')' nl? body ('else' nl? body)? | loops | 'switch' '(' exprs ')' '{' (('case' exprs | 'default') ':' stmts)* '}'
-  | 'try' block ('catch' ('(' pattern (':' type)? ')')? block)? ('finally' block)? | function | class | interface | enum | module | exportclosed | ID ':' nl? stmt
+  | 'try' block ('catch' ('(' pattern (':' type)? ')')? block ('finally' block)? | 'finally' block) | function | class | interface | enum | module | exportclosed | ID ':' nl? stmt
   | decorator nl? (class | 'export' 'default'? class) ;
 body = closed | open semi | open | ';' ;
 loops = 'for' 'await'? '(' forhead ')' nl? body | 'while' '(' exprs ')' nl? body | 'do' nl? body nl? 'while' '(' exprs ')' semi? | 'with' '(' exprs ')' body ;
@@ -333,7 +344,9 @@ stmt = block | ';' | 'if' par stmt ('else' stmt)? | 'while' par stmt | 'do' stmt
 par = '(' expr ')' ;
 forhead = (local | exprs)? ';' expr? ';' exprs? | (annotation | 'final')* type ident ':' expr ;
 exprs = expr (',' expr)* ;
-try = 'try' ('(' resource (';' resource)* ';'? ')')? block ('catch' '(' 'final'? annotation* type ('|' type)* ident ')' block)* ('finally' block)? ;
+try = 'try' '(' resource (';' resource)* ';'? ')' block catch* finally? | 'try' block (catch+ finally? | finally) ;
+catch = 'catch' '(' 'final'? annotation* type ('|' type)* ident ')' block ;
+finally = 'finally' block ;
 resource = 'final'? type ident '=' expr | expr ;
 switch = 'switch' par '{' (slabel+ bstmt* | sarrow)* '}' ;
 slabel = ('case' caseval (',' caseval)* | 'default') ':' ;
@@ -367,7 +380,8 @@ attribute = '[' '[' any* ']' ']' ;
 any = ID | NUM | STR | ',' | '(' any* ')' | ':' ':' ;
 declaration = specs (initd (',' initd)*)? ';' ;
 specs = spec+ ;
-spec = 'auto' | 'char' | 'const' | 'double' | 'extern' | 'float' | 'inline' | 'int' | 'long' | 'register' | 'restrict' | 'short' | 'signed' | 'static' | 'typedef' | 'unsigned' | 'void' | 'volatile' | ID | ID '(' any* ')' | aggregate | enum | attribute ;
+spec = lspec | ID '(' any* ')' ;
+lspec = 'auto' | 'char' | 'const' | 'double' | 'extern' | 'float' | 'inline' | 'int' | 'long' | 'register' | 'restrict' | 'short' | 'signed' | 'static' | 'typedef' | 'unsigned' | 'void' | 'volatile' | ID | aggregate | enum | attribute ;
 aggregate = ('struct' | 'union') attrs ID? ('{' (specs (sdecl (',' sdecl)*)? ';' | ';')* '}')? ;
 sdecl = declarator (':' cond)? | ':' cond ;
 enum = 'enum' ID? (':' specs)? ('{' ID ('=' cond)? (',' ID ('=' cond)?)* ','? '}')? ;
@@ -384,10 +398,13 @@ param = attrs specs (declarator | abstract)? ;
 abstract = ('*' qualk*)+ adirect? | adirect ;
 adirect = ('(' abstract ')' | asuffix) asuffix* ;
 asuffix = '[' (cond | '*')? ']' | '(' params? ')' ;
-typename = specs abstract? ;
-compound = '{' (declaration | stmt)* '}' ;
+typename = locals abstract? ;
+compound = '{' (local | stmt)* '}' ;
+-- a call before a declarator is a macro outside functions; inside them it is a call that lost its semicolon
+local = locals (initd (',' initd)*)? ';' ;
+locals = (lspec | SPECIFIER '(' (typename | exprs | any*) ')')+ ;
 stmt = compound | ';' | exprs ';' | ID ':' stmt? | 'case' cond ('...' cond)? ':' stmt? | 'default' ':' stmt? | 'if' '(' exprs ')' stmt ('else' stmt)? | 'switch' '(' exprs ')' stmt | 'while' '(' exprs ')' stmt
-  | 'do' stmt 'while' '(' exprs ')' ';' | 'for' '(' (declaration | exprs? ';') exprs? ';' exprs? ')' stmt | 'goto' ID ';' | 'continue' ';' | 'break' ';' | 'return' exprs? ';' | attribute+ stmt ;
+  | 'do' stmt 'while' '(' exprs ')' ';' | 'for' '(' (local | exprs? ';') exprs? ';' exprs? ')' stmt | 'goto' ID ';' | 'continue' ';' | 'break' ';' | 'return' exprs? ';' | attribute+ stmt ;
 exprs = expr (',' expr)* ;
 expr = binary ('?' exprs? ':' expr)? (assignop expr)? ;
 cond = binary ('?' exprs? ':' expr)? ;
@@ -402,6 +419,8 @@ arg = expr | typename ;
 primary = ID | NUM | (STR | ID STR)+ ID? | '(' exprs ')' | '(' compound ')' ;
 """
 
+C = re.sub(r"\bID\b", "id", C) + "id = ID | SPECIFIER ;\n"
+
 CPP = r"""
 file = top* ;
 top = ';' | namespace | 'extern' STR ('{' top* '}' | top) | template | using | 'static_assert' '(' exprs ')' ';' | attribute* (function | declaration) | 'inline' namespace | concept ;

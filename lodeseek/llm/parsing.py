@@ -24,12 +24,19 @@ from lodeseek.llm.lexing import COMMENT, ERROR, LANGUAGES, Token, bash_parts, to
 from lodeseek.sources.tables import spread
 
 
+# Words with a kind of their own where a grammar asks for it.
+_SOFT = {
+    "python": {w: w for w in ("type", "match", "case")},
+    "rust": {"_": "_", "$": "$"},
+    "c": dict.fromkeys(("typeof", "__typeof", "__typeof__", "typeof_unqual", "__attribute", "__attribute__", "alignas", "_Alignas", "_Atomic", "__declspec"), "SPECIFIER"),
+}
+
+
 def _kinds(language: str, src: str, tokens: list[Token]) -> tuple[list[str], list[Token]]:
     kept = [t for t in tokens if t[0] != COMMENT]
-    kinds = [t[0] for t in kept]
-    if language == "rust":
-        kinds = ["_" if k == "ID" and b - a == 1 and src[a] == "_" else "$" if k == "ID" and src[a] == "$" and b - a == 1 else k for k, a, b in kept]
-    return kinds, kept
+    if soft := _SOFT.get(language):
+        return [soft.get(src[a:b], k) if k == "ID" else k for k, a, b in kept], kept
+    return [t[0] for t in kept], kept
 
 
 def syntax_error(language: str, src: str) -> tuple[int, str] | None:
@@ -64,7 +71,7 @@ def _conditional_error(language: str, src: str, tokens: list[Token]) -> tuple[in
         _, a, b = choices.bad
         a += len(src[a:b]) - len(src[a:b].lstrip())
         return src.count("\n", 0, a) + 1, f"unexpected {src[a : min(b, a + 40)].split(chr(10))[0].rstrip()}"
-    found = choices.first_error(lambda kept: grammar(language).first_error([tokens[i][0] for i in kept]))
+    found = choices.first_error(lambda kept: grammar(language).first_error(_kinds(language, src, [tokens[i] for i in kept])[0]))
     if found is not None:
         return _reported(src, [tokens[i] for i in found[0]], found[1])
     return (src.count("\n") + 1, "cut off") if choices.unclosed else None

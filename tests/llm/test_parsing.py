@@ -74,6 +74,52 @@ def test_conditionals_of_one_condition_agree():
     assert syntax_error("c", many) is None and syntax_error("c", many[:-10] + "]\n#endif\n") is not None
 
 
+FORBIDDEN = [
+    ("java", "class A { void f() { try { g(); } } }\n"),
+    ("typescript", "try { f(); }\n"),
+    ("python", "const x = 5\n"),
+    ("python", "a b = f()\n"),
+    ("python", "sort x:\n    case 1:\n        pass\n"),
+    ("python", "f(a=1, b)\n"),
+    ("python", "def f(a=1, b): pass\n"),
+    ("c", "int f(void) { init(a) run(b); }\n"),
+    ("c", "int f(void) { g(h(a) b); }\n"),
+]
+ALLOWED = [
+    ("java", "class A { void f() { try (R r = g()) { } try { } finally { } try { } catch (E e) { } } }\n"),
+    ("typescript", "try { f(); }\ncatch { }\ntry { f(); } catch (e) { } finally { }\ntry { } finally { }\n"),
+    ("python", "type X[T] = int\ntype = 1\nmatch = case = type(x)\nmatch.type(case=1)\nmatch x:\n    case [1, type]:\n        pass\n    # note\n\n    case _:\n        pass\n"),
+    ("python", "f(a, *b, c=1, *d, **e)\nf(x for x in y)\ndef f(a, /, b, c=1, *, d=2, e, **g): lambda a, *b, c=1, d: 0\n"),
+    ("c", "API(x) f(void);\nint g(void) { __typeof__(x) y = 1; __attribute__((unused)) int z; a * b; T c; typeof(int) d; return (T)h(1); }\n"),
+]
+
+
+def test_what_the_grammars_forbid():
+    assert [x for x in FORBIDDEN if syntax_error(*x) is None] == []
+    assert [(x, syntax_error(*x)) for x in ALLOWED if syntax_error(*x) is not None] == []
+
+
+LISTED = st.lists(st.sampled_from(["a", "b=1", "*c", "**d", "*", "/", "e=2"]), max_size=5)
+WORDS = st.lists(st.sampled_from(["type", "match", "case", "x", "const", "=", "1", ":", ".", "(", ")"]), max_size=6)
+
+
+def python_accepts(src):
+    try:
+        ast.parse(src)
+        return True
+    except (SyntaxError, ValueError) as e:
+        return None if "assign" in str(e) or "annotated" in str(e) or "expression cannot" in str(e) else False
+
+
+@settings(max_examples=400, deadline=None)
+@given(LISTED, WORDS, st.booleans())
+def test_python_agrees_in_both_directions(listed, words, comma):
+    items = ", ".join(listed) + ("," if comma and listed else "")
+    for src in (f"f({items})\n", f"def f({items}): pass\n", f"lambda {items}: 0\n", f"class A({items}): pass\n", " ".join(words) + "\n"):
+        if (valid := python_accepts(src)) is not None:
+            assert (syntax_error("python", src) is None) == valid, src
+
+
 PIECES = st.lists(st.sampled_from(["x", "=", "1", "(", ")", "[", "]", ":", "\n", "\n    ", "if ", "else", "def ", "f", ",", "'a'", "+", "return ", "for ", " in ", "not ", "lambda ", ".", "*", "{", "}"]), max_size=14)
 
 
