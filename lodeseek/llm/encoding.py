@@ -271,9 +271,10 @@ def find_damage(text: str) -> list[Damage]:
     return sorted(taken)
 
 
-def restore(text: str, rounds: int = 4) -> str:
-    """``text`` with every restorable span decoded, again and again as long as there is one."""
-    for _ in range(rounds):
+def restore(text: str, rounds: int | None = None) -> str:
+    """``text`` with every restorable span decoded, again and again as long as there is one (``rounds`` times at most, if given)."""
+    seen = {text}  # a round need not shorten the text
+    while rounds is None or rounds > 0:
         parts, at = [], 0
         for x in find_damage(text):
             if x.restored is not None:
@@ -282,6 +283,10 @@ def restore(text: str, rounds: int = 4) -> str:
         if not parts:
             break
         text = "".join(parts) + text[at:]
+        if text in seen:
+            break
+        seen.add(text)
+        rounds = None if rounds is None else rounds - 1
     return text
 
 

@@ -150,3 +150,11 @@ def test_catalogue_is_consistent():
     names = catalogue.queries()
     assert set(catalogue.oracle_sql()) <= set(names) and all(re.fullmatch(r"p\d+_\w+", n) for n in names)
     assert {f"p{n}_found" for n in (2, 3, 4, 5, 6, 8, 9)} <= set(names) and "p7_containers" in names
+
+
+def test_restore_goes_on_to_the_end():
+    text = garbled_text = "Größe für Bäume"
+    for n in range(1, 8):
+        garbled_text = garbled_text.encode("utf-8").decode("latin-1")
+        assert restore(garbled_text) == text, n
+    assert restore(garbled_text, rounds=2) != text
