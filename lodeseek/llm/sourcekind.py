@@ -44,7 +44,7 @@ DIR_DIR = ((0.0, -3.0, -3.0, -3.0, -3.0), (-12.0, 0.0, -3.0, -3.0, -3.0), (-3.0,
 ROOT_PRIOR = 6.0
 #: Share of token runs that two files must have in common to be the same file but for small edits.
 LIKENESS = 0.5
-#: Reference fingerprints that may be sent to every worker; beyond that they meet the files' in a shuffled join.
+#: Reference fingerprints that may be sent to every worker; more are refused with an error.
 REFERENCE_LIMIT = 2_000_000
 
 # Names of directories that hold other people's code or the output of tools.
