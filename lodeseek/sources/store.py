@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.hashing import Embedder, embed_column
-from lodeseek.functions.text import INDEX_BYTES, chunk_id, index_text
+from lodeseek.functions.text import chunk_id, index_text
 from lodeseek.operators.delta import changes
 from lodeseek.operators.retrieval import corpus_stats, postings
 from lodeseek.operators.structure import analyse, line_windows
@@ -102,12 +102,13 @@ def _built(files: DataFrame, embedder: Embedder) -> dict[str, DataFrame]:
     }
 
 
-def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool = False) -> dict:
+def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool = False, most_bytes: int | None = None) -> dict:
     """Brings the index up to ``files (repo_id, rel_path, content, language, mtime)`` and reports.
 
     With ``force``, or without an index, everything is built; otherwise only files that are new or
     whose content differs, while the rows of unchanged files are carried over and those of changed and
-    vanished ones left out. Either way one version is published as a whole.
+    vanished ones left out. Either way one version is published as a whole. Whole bodies are indexed, or
+    their first ``most_bytes`` bytes (``text.INDEX_BYTES`` in the reference); another value than before needs ``force``.
     """
     began = time.monotonic()
     spark = store.spark
@@ -128,9 +129,9 @@ def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool =
     for name in built:
         built[name].write.parquet(f"{stage}/{name}")
     built = {name: spark.read.parquet(f"{stage}/{name}") for name in built}
-    capped = built["chunks"].withColumn("text", index_text(F.col("body"), INDEX_BYTES))
+    capped = built["chunks"].withColumn("text", index_text(F.col("body"), most_bytes))
     built["vectors"] = embed_column(capped, embedder, id_col="id", text_col="text")
-    built["postings"] = postings(built["chunks"], most_bytes=INDEX_BYTES)
+    built["postings"] = postings(built["chunks"], most_bytes=most_bytes)
     indexed, made = built["files"].count(), built["chunks"].count()
     if not full:
         lost = store.table("chunks").join(gone, "file_path", "left_semi").select("id")
@@ -139,7 +140,7 @@ def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool =
         built["files"] = old.join(gone.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(built["files"])
         built["vectors"] = store.table("vectors").join(lost, "id", "left_anti").unionByName(built["vectors"])
         built["postings"] = store.table("postings").join(lost.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_anti").unionByName(built["postings"])
-    built["stats"] = corpus_stats(built["chunks"], most_bytes=INDEX_BYTES)
+    built["stats"] = corpus_stats(built["chunks"], most_bytes=most_bytes)
     store.publish(built, embedder)
     p = spark._jvm.org.apache.hadoop.fs.Path(stage)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

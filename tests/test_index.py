@@ -139,3 +139,13 @@ def test_written_tables(spark):
     w = written(df, "t")
     assert w.schema == df.schema and sorted(map(str, w.collect())) == sorted(map(str, df.collect()))
     assert shared_folder(spark) in w.inputFiles()[0] or "lodeseek-" in w.inputFiles()[0]
+
+
+def test_words_behind_the_first_bytes_are_indexed(spark, tmp_path):
+    put(tmp_path / "tree", {"a.py": "def long_one():\n" + "".join(f"    value_{i:04} = {i}\n" for i in range(600)) + "    return zebrafish\n"})
+    tree = walk(spark, str(tmp_path / "tree"))
+    for most, there in ((None, True), (8192, False)):
+        store = Store(spark, str(tmp_path / f"index-{most}"))
+        reindex(store, tree, FeatureHash(), most_bytes=most)
+        assert store.table("chunks").filter(F.octet_length("body") > 8192).count() > 0
+        assert (store.table("postings").filter("term = 'zebrafish'").count() > 0) == there
