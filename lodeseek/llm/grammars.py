@@ -496,49 +496,54 @@ capture = '=' | '&' | '&'? ID '...'? ('=' init)? | '*'? 'this' ;
 """
 
 RUBY = r"""
+-- Statements, arguments and operators are written so that no two alternatives begin with the same long phrase: what an ambiguity encloses would be followed
+-- once for each way out of it. Operators bind to the right without precedence, a command takes all that follows it, and after a value or a jump
+-- the words if, unless, while and until are always modifiers.
 file = stmts ;
 sep = NL | ';' ;
-stmts = sep* (stmt sep+)* stmt? ;
+stmts = sep* (stmt (sep+ stmt)* sep*)? ;
 stmt = full (('if' | 'unless' | 'while' | 'until' | 'rescue') full)* | 'alias' (fname fname) | 'undef' fname | ('BEGIN' | 'END') '{' stmts '}' ;
-full = 'not'? chain (('and' | 'or') 'not'? chain)* ;
-chain = mlhs | expr ;
-mlhs = mone (',' mone)+ ','? '=' rhs | ARGSTAR mone (',' mone)* '=' rhs ;
+full = chain (('and' | 'or') chain)* ;
+chain = jump | prefix+ after match? | postfix (several | etail match?) | argstar mone (',' mone)* '=' rhs | '(' mone (',' mone)+ ')' several | ('..' | '...') expr ;
+several = (',' mone)+ ','? '=' rhs | ',' '=' rhs ;
+match = ('=>' | 'in') pat ;
 mone = argstar? postfix | '(' mone (',' mone)* ')' ;
 argstar = 'ARG*' | '*' ;
-rhs = expr (',' splat)* ;
-splat = ('ARG*' | '*')? expr ;
-expr = binary ('?' nls expr nls (':' nls expr | SYM | LABELLESS))? ;
-binary = unary (binop nls unary)* (('..' | '...'))? ;
-binop = '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '=~' | '!~' | '<' | '>' | '<=' | '>=' | '<=>' | '&&' | '||' | '&' | '|' | '^' | '<<' | '>>' | '..' | '...' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '||=' | '&&=' | '|=' | '&=' | '^=' | '<<=' | '>>=' | 'in' | '=>' ;
-unary = ('!' | '-' | '+' | '~' | 'ARG-' | 'defined?' | '&' | 'ARG&' | '*' | 'ARG*' | 'ARG**')* postfix | 'not' expr | ('..' | '...') unary ;
-postfix = primary tail* cmd? ;
-tail = ('.' | '&.') nls (ID | CONST | LABELCALL) callargs? | '.' callargs | '::' (CONST | ID) callargs? | 'AT[' args? ']' | callargs | block ;
+rhs = splat (',' splat)* ;
+splat = argstar? expr ;
+expr = prefix* after | ('..' | '...') expr ;
+after = jump | postfix etail ;
+prefix = '!' | '-' | '+' | '~' | 'ARG-' | 'defined?' | 'not' ;
+etail = (binop nls argstar? expr | '?' nls expr nls (':' nls expr | SYM) | cargs | '..' | '...')? ;
+binop = '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '=~' | '!~' | '<' | '>' | '<=' | '>=' | '<=>' | '&&' | '||' | '&' | '|' | '^' | '<<' | '>>' | '..' | '...' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '||=' | '&&=' | '|=' | '&=' | '^=' | '<<=' | '>>=' ;
+postfix = primary tail* ;
+tail = ('.' | '&.') nls (ID | CONST) callargs? | '.' callargs | '::' (CONST | ID) callargs? | 'AT[' args? ']' | callargs | block ;
 callargs = 'CALL(' args? ')' ;
 -- arguments without parentheses
-cmd = cargs block? ;
 cargs = carg0 (',' nls carg)* ;
-carg0 = cstart | 'ARG*' expr | 'ARG&' expr | 'ARG**' expr | 'ARG-' postfix | 'ARG::' expr | '[' args? ']' tail* (binop nls unary)* | pair ;
-carg = expr | pair | 'ARG*' expr | 'ARG&' expr | 'ARG**' expr ;
-cstart = word tail* cmd? (binop nls unary)* ('?' nls expr nls ':' nls expr)? ;
+carg0 = (word | cword) tail* etail ('=>' nls expr)? | ('ARG*' | 'ARG&' | 'ARG**' | 'ARG-' | '!' | 'defined?' | 'not') expr | 'ARG::' CONST tail* etail | '[' args? ']' tail* etail | LABEL nls expr? ;
+carg = expr ('=>' nls expr)? | LABEL nls expr? | ('ARG*' | 'ARG&' | 'ARG**' | '*' | '&' | '**') expr ;
 args = nls arg (',' nls arg)* ','? nls ;
-arg = expr | pair | ('ARG*' | '*' | 'ARG**' | '**' | 'ARG&' | '&') expr? | stmt ;
-pair = LABEL nls expr? | expr '=>' nls expr | LABEL ;
+arg = expr ('=>' nls expr)? | LABEL nls expr? | ('ARG*' | '*' | 'ARG**' | '**' | 'ARG&' | '&') expr? ;
+jump = ('return' | 'break' | 'next') (jarg0 (',' nls carg)*)? ;
+jarg0 = carg0 | '{' hash? '}' tail* etail | ('-' | '+' | '~' | '*' | '&' | '**') expr | '::' CONST tail* etail | ('..' | '...') expr ;
 nls = NL* ;
 block = 'do' blockparams? stmts rescues 'end' | '{' blockparams? stmts '}' ;
 blockparams = NL? '|' (bparams)? (';' ID (',' ID)*)? '|' | '||' ;
 bparams = bparam (',' bparam)* ','? ;
-bparam = ('ARG*' | '*' | 'ARG**' | '**' | 'ARG&' | '&')? ID ('=' unary)? | '(' bparams ')' | LABEL unary? | 'ARG*' | '*' ;
-word = ID | CONST | NUM | str | SYM | IVAR | REGEX | 'self' | 'nil' | 'true' | 'false' | 'ARG::' CONST | '(' stmts ')' | '->' lparams? (block) | kwexpr | '{' hash? '}' | '!' postfix | 'defined?' unary | 'not' expr ;
-primary = word | '[' args? ']' | '::' CONST ;
+bparam = ('ARG*' | '*' | 'ARG**' | '**' | 'ARG&' | '&')? ID ('=' bdefault)? | '(' bparams ')' | LABEL bdefault? | 'ARG*' | '*' ;
+bdefault = prefix* postfix ;
+word = ID | CONST | NUM | str | SYM | IVAR | REGEX | 'self' | 'nil' | 'true' | 'false' | '(' stmts ')' | '->' lparams? block | 'yield' | 'super' | 'redo' | 'retry' ;
+primary = word | 'ARG::' CONST | '{' hash? '}' | '[' args? ']' | '::' CONST | cword | if | unless | whiles | for ;
+cword = def | class | module | case | begin ;
 str = STR+ ;
 hash = nls (hpair (',' nls hpair)* ','?)? nls ;
 hpair = LABEL nls expr? | expr nls '=>' nls expr | ('**' | 'ARG**') expr ;
 lparams = '(' params? ')' | 'CALL(' params? ')' | params ;
-kwexpr = def | class | module | if | unless | whiles | case | for | begin | 'yield' | 'super' | ('return' | 'break' | 'next') rhs? | 'redo' | 'retry' ;
-body = stmts rescues ;
 rescues = ('rescue' (rtypes? ('=>' postfix)?) ('then' | sep) stmts)* ('else' stmts)? ('ensure' stmts)? ;
+body = stmts rescues ;
 rtypes = splat (',' splat)* ;
-def = 'def' defname (('CALL(' | '(') params? nls ')' sep? | params? sep) body 'end' | 'def' defname (('CALL(' | '(') params? ')')? '=' nls stmt ;
+def = 'def' defname (('CALL(' | '(') params? nls ')' (sep? body 'end' | '=' nls stmt) | params? sep body 'end' | '=' nls stmt) ;
 defname = (('self' | CONST | ID | IVAR) '.')? fname ;
 fname = ID '='? | CONST '='? | SYM | IVAR | 'AT[' ']' '='? | '[' ']' '='? | '+' | '-' | '*' | '/' | '%' | '**' | '==' | '===' | '!=' | '=~' | '!' | '<' | '>' | '<=' | '>=' | '<=>' | '<<' | '>>' | '&' | '|' | '^' | '~' | '+' '@' | '-' '@' | '`' | 'class' | 'end' ;
 params = nls param (',' nls param)* ','? nls ;
@@ -551,14 +556,12 @@ if = 'if' stmt then stmts ('elsif' stmt then stmts)* ('else' stmts)? 'end' ;
 unless = 'unless' stmt then stmts ('else' stmts)? 'end' ;
 whiles = ('while' | 'until') stmt ('do' | sep) stmts 'end' ;
 for = 'for' bparams 'in' expr ('do' | sep) stmts 'end' ;
-case = 'case' stmt? sep* ('when' splat (',' nls splat)* then stmts)+ ('else' stmts)? 'end' | 'case' stmt sep* ('in' pat (('if' | 'unless') expr)? then stmts)+ ('else' stmts)? 'end' ;
+case = 'case' stmt? sep* (('when' splat (',' nls splat)* then stmts)+ | ('in' pat (('if' | 'unless') expr)? then stmts)+) ('else' stmts)? 'end' ;
 pat = ptop (',' ptop)* ;
 ptop = pone ('|' pone)* ('=>' ID)? | LABEL ptop? | ('ARG*' | '*' | '**' | 'ARG**') (ID | 'nil')? ;
-pone = primary (('..' | '...') primary?)? | 'AT[' pat? ']' | '^' (ID | '(' expr ')') | '[' pat? ']' | '{' nls pat? nls '}' | CONST ('CALL(' | '(' | 'AT[') pat? (')' | ']') | 'nil' ;
+pone = primary (('..' | '...') primary?)? | 'AT[' pat? ']' | '^' (ID | '(' expr ')') | '[' pat? ']' | '{' nls pat? nls '}' | CONST ('CALL(' | '(' | 'AT[') pat? (')' | ']') ;
 begin = 'begin' body 'end' ;
-ARGSTARX = NL ;
 """
-RUBY = RUBY.replace("ARGSTARX = NL ;\n", "").replace("ARGSTAR ", "argstar ").replace(" | SYM | LABELLESS))?", " | SYM))?").replace(" | LABELCALL", "")
 
 BASH = r"""
 file = list ;
