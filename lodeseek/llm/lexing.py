@@ -71,7 +71,8 @@ def _master(language: str) -> re.Pattern:
         head = [_SLASHES, "(?P<STR>(?:u8|[uUL])?(?:" + _STRING + "|" + _SINGLE + ")" + raw + ")", r"(?P<DIRECTIVE>\#(?!\#)(?:[^\n\\/]|\\\r?\n|\\|/(?!\*)|/\*[\s\S]*?\*/)*)"]
     else:
         raise KeyError(language)
-    return re.compile("|".join([r"(?P<nl>\n)", r"(?P<space>[ \t\r\f\v﻿]+)", *head, _NUMBER, _NAME, f"(?P<OP>{ops})", r"(?P<bad>[\s\S])"]))
+    # blanks in front of a token belong to its match, so that one match is one token
+    return re.compile(r"[ \t\r\f\v﻿]*(?:" + "|".join([r"(?P<nl>\n)", *head, _NUMBER, _NAME, f"(?P<OP>{ops})", r"(?P<bad>[\s\S])", r"(?P<stop>\Z)"]) + ")")
 
 
 def _skip_nested(src: str, at: int) -> int:
@@ -91,86 +92,94 @@ _TS_LINE_START_NOT = _words(") ] } . , ; ? ?. : = => == != === !== <= >= < > &&
 _GO_LINE_END = _words("ID NUM STR break continue fallthrough return ++ -- ) ] }")
 
 
+_TS_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
+
+
 def _brace_languages(language: str, src: str) -> list[Token]:
     keywords = KEYWORDS[language]
-    match, out, at, n = _master(language).match, [], 0, len(src)
+    tokens, out, n = _master(language).finditer, [], len(src)
+    put = out.append
     last, pending = "", True
     ts, go = language == "typescript", language == "go"
     braces: list[bool] = []  # per open brace whether it belongs to a template
+    at = 0
     if src.startswith("#!"):
         at = src.find("\n") if "\n" in src else n
-        out.append((COMMENT, 0, at))
-    while at < n:
-        m = match(src, at)
-        kind, end = m.lastgroup, m.end()
-        if kind in ("hash", "mark"):
-            kind = "STR"
-        if kind == "space":
-            at = end
-            continue
-        if kind == "nl":
-            if go and last in _GO_LINE_END:
-                out.append((";", at, at))
-                last = ";"
-            pending = True
-            at = end
-            continue
-        if kind == "comment":
-            if "\n" in m.group():
+        put((COMMENT, 0, at))
+    again = True
+    while again:
+        again = False  # unless a token ends elsewhere than its match
+        for m in tokens(src, at):
+            kind = m.lastgroup
+            if kind == "nl":
                 if go and last in _GO_LINE_END:
-                    out.append((";", at, at))
+                    start = m.start("nl")
+                    put((";", start, start))
                     last = ";"
                 pending = True
-            out.append((COMMENT, at, end))
-            at = end
-            continue
-        if kind == "open":
-            end = _skip_nested(src, at)
-            if end < 0:
-                out.append((ERROR, at, n))
-                return out
-            out.append((COMMENT, at, end))
-            at = end
-            continue
-        if kind == "raw":
-            at = end
-            continue
-        start = at
-        if kind == "DIRECTIVE" and not pending:  # only white space and comments go before a directive on its line
-            kind, end = ERROR, at + 1
-        if kind == "DIRECTIVE":
-            out.append((COMMENT, at, end))
-            at = end
-            continue
-        if kind == "ID":
-            word = m.group()
-            kind = word if word in keywords else "ID"
-        elif kind == "OP":
-            kind = m.group()
-            if ts and kind == "/" or kind == "/=" and ts:
-                if last not in _ENDS_VALUE:
-                    r = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*").match(src, at)
-                    if r:
-                        kind, end = "REGEX", r.end()
-            elif ts and kind == "{":
-                braces.append(False)
-            elif ts and kind == "}" and braces and braces.pop():
-                kind, end = _template(src, end, "TPLMID", "TPLEND")
-                if kind == "TPLMID":
-                    braces.append(True)
-        elif kind == "bad":
-            kind = ERROR
-            if ts and m.group() == "`":
-                kind, end = _template(src, end, "TPLHEAD", "TPL")
-                if kind == "TPLHEAD":
-                    braces.append(True)
-        if ts and pending and last in _TS_LINE_END and kind not in _TS_LINE_START_NOT and not (kind == "while" and last == "}"):
-            out.append((NEWLINE, start, start))
-        pending = False
-        out.append((kind, start, end))
-        last, at = kind, end
+                continue
+            if kind == "stop":
+                break
+            if kind in ("hash", "mark"):
+                kind = "STR"
+            start, end = m.span(kind)
+            if kind == "ID":
+                word = src[start:end]
+                kind = word if word in keywords else "ID"
+            elif kind == "OP":
+                kind = src[start:end]
+                if ts:
+                    if kind == "/" or kind == "/=":
+                        if last not in _ENDS_VALUE and (r := _TS_REGEX.match(src, start)):
+                            kind, at, again = "REGEX", r.end(), True
+                    elif kind == "{":
+                        braces.append(False)
+                    elif kind == "}" and braces and braces.pop():
+                        kind, at = _template(src, end, "TPLMID", "TPLEND")
+                        again = True
+                        if kind == "TPLMID":
+                            braces.append(True)
+            elif kind == "comment":
+                if "\n" in m.group():
+                    if go and last in _GO_LINE_END:
+                        put((";", start, start))
+                        last = ";"
+                    pending = True
+                put((COMMENT, start, end))
+                continue
+            elif kind == "open":
+                at = _skip_nested(src, start)
+                if at < 0:
+                    put((ERROR, start, n))
+                    return out
+                put((COMMENT, start, at))
+                again = True
+                break
+            elif kind == "raw":
+                continue
+            elif kind == "DIRECTIVE":
+                if pending:
+                    put((COMMENT, start, end))
+                    continue
+                kind, at, again = ERROR, start + 1, True  # only white space and comments go before a directive on its line
+            elif kind == "bad":
+                kind = ERROR
+                if ts and src[start] == "`":
+                    kind, at = _template(src, end, "TPLHEAD", "TPL")
+                    again = True
+                    if kind == "TPLHEAD":
+                        braces.append(True)
+            if again:
+                end = at
+            if ts and pending and last in _TS_LINE_END and kind not in _TS_LINE_START_NOT and not (kind == "while" and last == "}"):
+                put((NEWLINE, start, start))
+            pending = False
+            put((kind, start, end))
+            last = kind
+            if again:
+                break
     if go and last in _GO_LINE_END:
-        out.append((";", n, n))
+        put((";", n, n))
     return out
 
 
@@ -184,59 +193,76 @@ def _template(src: str, at: int, more: str, done: str) -> tuple[str, int]:
     return ERROR, len(src)
 
 
+_INDENT = re.compile(r"[ \t\f﻿]*")
+_ODD_NUMBER = re.compile(r"\d[\d_]*[A-Za-z]")
+_PYTHON_NUMBER = re.compile(r"(?i)(0[xbo])?[\da-f_]+|[\d_.]+(e[+-]?\d+)?j?")
+
+
 def _python(src: str) -> list[Token]:
     keywords = KEYWORDS["python"]
-    match, out, at, n = _master("python").match, [], 0, len(src)
-    depth, indents, fresh = 0, [0], True
-    while at < n:
-        if fresh and not depth:  # the white space that opens a logical line
-            m = re.compile(r"[ \t\f﻿]*").match(src, at)
-            width = 0
-            for ch in m.group():
-                width = (width // 8 + 1) * 8 if ch == "\t" else 0 if ch == "\f" else width + (ch == " ")
+    tokens, out, at, n = _master("python").finditer, [], 0, len(src)
+    put = out.append
+    depth, indents = 0, [0]
+    again = True
+    fresh = True
+    while again:
+        again = False
+        if not depth:  # the white space that opens a logical line
+            m = _INDENT.match(src, at)
+            text = m.group()
+            width = len(text)
+            if not text.isspace() or text.strip(" "):
+                width = 0
+                for ch in text:
+                    width = (width // 8 + 1) * 8 if ch == "\t" else 0 if ch == "\f" else width + (ch == " ")
             at = m.end()
             if at < n and src[at] not in "#\r\n":
                 if width > indents[-1]:
                     indents.append(width)
-                    out.append(("INDENT", at, at))
+                    put(("INDENT", at, at))
                 while width < indents[-1]:
                     indents.pop()
-                    out.append(("DEDENT", at, at))
+                    put(("DEDENT", at, at))
                 if width != indents[-1]:
-                    out.append((ERROR, at, at + 1))
+                    put((ERROR, at, at + 1))
                     indents.append(width)
                 fresh = False
             elif at >= n:
                 break
-        m = match(src, at)
-        kind, end = m.lastgroup, m.end()
-        if kind == "nl":
-            if not depth and not fresh:
-                out.append((NEWLINE, at, at))
-                fresh = True
-        elif kind in ("space", "join"):
-            pass
-        elif kind == "comment":
-            out.append((COMMENT, at, end))
-        elif kind == "ID":
-            word = m.group()
-            out.append((word if word in keywords else "ID", at, end))
-        elif kind == "OP":
-            op = m.group()
-            if op in "([{":
-                depth += 1
-            elif op in ")]}":
-                depth = max(0, depth - 1)
-            out.append((op if op not in "?" else ERROR, at, end))
-        elif kind == "bad":
-            out.append((ERROR, at, end))
-        elif kind == "NUM" and re.match(r"\d[\d_]*[A-Za-z]", m.group()) and not re.fullmatch(r"(?i)(0[xbo])?[\da-f_]+|[\d_.]+(e[+-]?\d+)?j?", m.group()):
-            out.append((ERROR, at, end))
-        else:
-            out.append((kind, at, end))
-        at = end
+        for m in tokens(src, at):
+            kind = m.lastgroup
+            if kind == "stop":
+                break
+            start, end = m.span(kind)
+            if kind == "nl":
+                if not depth:
+                    if not fresh:
+                        put((NEWLINE, start, start))
+                        fresh = True
+                    at, again = end, True
+                    break
+            elif kind == "ID":
+                word = src[start:end]
+                put((word if word in keywords else "ID", start, end))
+            elif kind == "OP":
+                op = src[start:end]
+                if op in "([{":
+                    depth += 1
+                elif op in ")]}":
+                    depth = max(0, depth - 1)
+                put((op if op not in "?" else ERROR, start, end))
+            elif kind == "join":
+                pass
+            elif kind == "comment":
+                put((COMMENT, start, end))
+            elif kind == "bad":
+                put((ERROR, start, end))
+            elif kind == "NUM" and _ODD_NUMBER.match(src, start) and not _PYTHON_NUMBER.fullmatch(src, start, end):
+                put((ERROR, start, end))
+            else:
+                put((kind, start, end))
     if not fresh:
-        out.append((NEWLINE, n, n))
+        put((NEWLINE, n, n))
     out += [("DEDENT", n, n)] * (len(indents) - 1)
     return out
 
