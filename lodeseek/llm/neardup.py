@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -101,9 +101,24 @@ def _features(k: int, min_words: int, coordinates: int):
     return run
 
 
+def _common_elements(classes: DataFrame, coordinates: int, agree: int) -> DataFrame:
+    """Rows ``(c, n, m0, m1, ...)``: the fingerprint of every class, without the elements that no other class of
+    its group has. Two fingerprints can only meet in what both have, so nothing else needs to go into a variant."""
+    c = F.xxhash64("grp", "cls").alias("c")  # if two classes shared them, the check of their sets would still tell them apart
+    elements = classes.select(c, "n", "grp", F.posexplode("mh").alias("j", "h")).select("c", "n", "j", F.xxhash64("grp", "j", "h").alias("m"))
+    common = written(elements.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m"), "common")
+    left = elements.join(common, "m").groupBy("c", "n").agg(*[F.max(F.when(F.col("j") == j, F.col("m"))).alias(f"m{j}") for j in range(coordinates)])
+    enough = sum((F.col(f"m{j}").isNotNull().cast("int") for j in range(coordinates)), F.lit(0)) >= agree
+    return written(left.filter(enough), "elements")
+
+
 def _variants(coordinates: int, agree: int):
-    """All subsets of ``agree`` coordinates as one column each of 64-bit keys."""
-    return F.array(*[F.xxhash64("grp", F.lit(j), *[F.col("mh")[i] for i in subset]) for j, subset in enumerate(combinations(range(coordinates), agree))])
+    """All subsets of ``agree`` elements of a fingerprint, as one array of 64-bit keys."""
+    keys = []
+    for j, subset in enumerate(combinations(range(coordinates), agree)):
+        there = reduce(lambda x, y: x & y, [F.col(f"m{i}").isNotNull() for i in subset])
+        keys.append(F.when(there, F.xxhash64(F.lit(j), *[F.col(f"m{i}") for i in subset])))
+    return F.filter(F.array(*keys), lambda x: x.isNotNull())
 
 
 def _close(a, b, similarity: float):
@@ -120,12 +135,11 @@ def fingerprints(df: DataFrame, *, k: int, min_words: int, coordinates: int) ->
 
 def similar_classes(classes: DataFrame, *, similarity: float = SIMILARITY, coordinates: int = COORDINATES, agree: int = AGREE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Rows ``(grp, a, b, similarity)``: pairs of classes of one group, each pair once, verified on the whole sets."""
-    # within, a class goes by 64 bits; if two shared them, the check of their sets would still tell them apart
     c = F.xxhash64("grp", "cls")
-    keys = classes.select(c.alias("c"), "n", F.explode(_variants(coordinates, agree)).alias("key"))
+    keys = _common_elements(classes, coordinates, agree).select("c", "n", F.explode(_variants(coordinates, agree)).alias("key"))
     # what few share is paired in its bucket; a bucket beyond the limit is only counted
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
-    shared = written(keys.join(sizes.filter(F.col("size") > 1), "key"), "shared")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = keys.join(sizes, "key")
     small = shared.filter(F.col("size") <= bucket_limit)
     a = small.select("key", F.col("c").alias("a"), F.col("n").alias("na"))
     b = small.select("key", F.col("c").alias("b"), F.col("n").alias("nb"))
