@@ -4,10 +4,11 @@ For every legacy encoding under which UTF-8 bytes may have been read, the charac
 mapped back to the bytes they stood for, and a byte-structure automaton (the well-formed multibyte
 sequences of UTF-8, written as a regular expression over bytes) finds the maximal well-formed spans.
 Only those spans are decoded; the rest of the text stays as it is. What is decoded must look like
-text (letters and punctuation in use, no private or unassigned characters), and a span of a single
-sequence is believed only where its surroundings do not explain it: that keeps quotation marks after
-capitals, dashes before accented letters and drawn boxes from being taken for damage. Decoded spans
-are searched again, so text that was garbled twice is restored in two steps.
+text: assigned characters of any script, letters of scripts that go together, no mark without
+something to stand on. A span of a single sequence is believed only where its surroundings do not
+explain it: that keeps quotation marks after capitals, dashes before accented letters and drawn boxes
+from being taken for damage. Decoded spans are searched again, so text that was garbled twice is
+restored in two steps.
 
 Text in a Cyrillic legacy encoding that was read as another single-byte encoding has no byte
 structure; there, runs of letters are mapped back to bytes and read under the other encodings, and
@@ -15,6 +16,10 @@ the reading that is likelier by the frequencies of Russian letters wins, by a ma
 
 Replacement characters and cut-off sequences are reported as damage that cannot be restored.
 
+Every span names the route by which it was found: ``bytes`` (the automaton, for well-formed sequences),
+``cut off`` (the automaton, stopped inside the sequence of a punctuation mark), ``frequency`` (the letter
+frequencies, the one route that is not the automaton's) and ``replaced`` (replacement characters).
+
 Defined results: null, empty and pure ASCII texts have no damage and never reach Python; a repeated
 row counts once in ``garbled_ids``; other columns are ignored.
 """
@@ -55,24 +60,54 @@ _CUT_OFF_IN = {"cp1252", "cp1250", "cp1251", "cp1254", "cp437"}
 _QUOTES = frozenset("«»‹›“”„‘’‚–—…• ")
 
 
+#: Letters of two bytes outside Latin, Greek and Cyrillic: fewer than three of them are as likely a capital and a quotation mark, twice.
+_RARE_PAIR = re.compile("[\u0250-\u036f\u0530-\u07ff]")
+
+
 class Damage(NamedTuple):
     start: int
     end: int
     encoding: str
     restored: str | None
+    route: str = "bytes"
+
+
+#: Scripts whose letters legacy encodings mix, so that text garbled twice shows them side by side.
+_MIXED = frozenset(("LATIN", "GREEK", "CYRILLIC"))
+#: Scripts that are written together.
+_TOGETHER = {"HIRAGANA": "CJK", "KATAKANA": "CJK", "KATAKANA-HIRAGANA": "CJK", "FULLWIDTH": "CJK", "HALFWIDTH": "CJK", "IDEOGRAPHIC": "CJK", "HANGUL": "CJK", "BOPOMOFO": "CJK"}
+
+
+@lru_cache(maxsize=1 << 16)
+def _kind(ch: str) -> tuple[bool, str, bool]:
+    """``(plausible, script of a letter or mark, mark)``."""
+    o, category = ord(ch), unicodedata.category(ch)
+    if 0x80 <= o < 0xA0:  # control characters that stand for bytes of text garbled twice
+        return True, "", False
+    if category[0] == "C" and category != "Cf":
+        return False, "", False
+    if category[0] == "L" and o < 0x250:
+        return True, "LATIN", False
+    if category[0] not in "LM" or category == "Lm" or 0x2100 <= o < 0x2150 or "VARIATION SELECTOR" in (name := unicodedata.name(ch, "")) or name.startswith("COMBINING"):
+        return True, "", False
+    script = name.partition(" ")[0]
+    return True, _TOGETHER.get(script, script), category[0] == "M"
 
 
 def _plausible(ch: str) -> bool:
-    o = ord(ch)
-    if 0xA0 <= o <= 0x17F or 0x391 <= o <= 0x3C9 or 0x401 <= o <= 0x451 or 0x490 <= o <= 0x491:
-        return True
-    if 0x2010 <= o <= 0x203A or 0x20A0 <= o <= 0x20BF or 0x2100 <= o <= 0x214F or 0x2190 <= o <= 0x22FF or 0x2500 <= o <= 0x25FF or 0x2600 <= o <= 0x27BF:
-        return True
-    if o in (0x192, 0x2C6, 0x2C7, 0x2D8, 0x2D9, 0x2DB, 0x2DC, 0x2DD, 0x404, 0x406, 0x407, 0x454, 0x456, 0x457):
-        return True
-    if 0x3000 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3 or 0x1F300 <= o <= 0x1FAFF or o in (0xFE0F, 0xFEFF, 0xFFFD):
-        return unicodedata.category(ch) not in ("Cn", "Co")
-    return 0x80 <= o < 0xA0  # control characters that stand for bytes of text garbled twice
+    return _kind(ch)[0]
+
+
+def _coherent(decoded: str) -> bool:
+    """Whether the characters are in use, the letters of scripts that go together, and the first no mark."""
+    scripts = set()
+    for i, ch in enumerate(decoded):
+        plausible, script, mark = _kind(ch)
+        if not plausible or (mark and not i):
+            return False
+        if script:
+            scripts.add(script)
+    return scripts <= _MIXED or len(scripts) == 1
 
 
 class _Legacy:
@@ -114,7 +149,7 @@ def _own_word(text: str, x: Damage, enc: str) -> bool:
 
 
 def _believable(text: str, a: int, b: int, decoded: str, enc: str) -> bool:
-    if not all(map(_plausible, decoded)):
+    if not _coherent(decoded):
         return False
     before, after = text[a - 1 : a], text[b : b + 1]
     if enc in ("cp437", "cp850", "cp866", "koi8_r"):  # a drawn box goes on
@@ -123,14 +158,16 @@ def _believable(text: str, a: int, b: int, decoded: str, enc: str) -> bool:
         if _own_word(text, Damage(a, b, enc, None), enc):
             return False
     if len(decoded) > 1:
+        if len(decoded) < 3 and all(_RARE_PAIR.match(x) for x in decoded):
+            return False
         if enc in ("koi8_r", "cp866", "cp850", "cp437", "mac_roman", "cp1251", "cp1250") and all(x in _QUOTES for x in decoded):
             return True
         return any(_letter(x) for x in decoded) or enc in ("cp1252", "cp1251", "cp1250", "cp1254", "mac_roman", "cp437")
     o, source = ord(decoded), text[a:b]
     near_latin = _latin(before or " ") or _latin(after or " ")
-    if b - a > 2:
-        return True
-    if o >= 0x370:  # one Cyrillic or Greek letter alone is as likely two characters that belong there
+    if b - a > 2:  # a lone letter of another script than its neighbours' is as likely what stands there
+        return not decoded.isalpha() or (_kind(decoded)[1] in _MIXED and near_latin)
+    if o >= 0x180 and decoded not in "ƒƠơƯưȘșȚț":  # one rare, Cyrillic or Greek letter alone is as likely two characters that belong there
         return False
     if o >= 0x100:
         return near_latin and source[1] not in _QUOTES
@@ -153,10 +190,10 @@ def _structured(text: str, chars: frozenset) -> Iterator[Damage]:
             decoded = m.group().encode("latin-1").decode("utf-8")
             (sure if _believable(text, a, b, decoded, name) else weak).append(Damage(a, b, name, decoded))
         if name in _CUT_OFF_IN:
-            sure += (Damage(*m.span(), name, None) for m in _CUT_OFF.finditer(as_bytes))
+            sure += (Damage(*m.span(), name, None, "cut off") for m in _CUT_OFF.finditer(as_bytes))
         if sure:  # a lone sequence counts beside others of its encoding
             yield from sure
-            yield from (x for x in weak if all(map(_plausible, x.restored)) and not _own_word(text, x, name))
+            yield from (x for x in weak if _coherent(x.restored) and not _own_word(text, x, name))
     if any("⺀" <= c <= "﫿" or "︰" <= c <= "﹯" for c in chars):
         yield from _double_byte(text)
 
@@ -182,7 +219,7 @@ def _double_byte(text: str) -> Iterator[Damage]:
                 strong = len(raw) > 4 or _latin(text[a - 1 : a] or " ") or _latin(text[b : b + 1] or " ") or any(ord(x) >= 0x2010 for x in wide)
                 (sure if strong else weak).append(Damage(a, b, name, raw.decode("utf-8")))
             elif raw[:2] in (b"\xe2\x80", b"\xe2\x82") and len(raw) <= 6:
-                sure.append(Damage(a, b, name, None))
+                sure.append(Damage(a, b, name, None, "cut off"))
             else:
                 whole = False
         if sure or (weak and whole):
@@ -241,7 +278,7 @@ def _reread(text: str, script: str) -> Iterator[Damage]:
                 if all("Ѐ" <= c <= "ӿ" or ord(c) < 0x80 for c in other) and (score := _likelihood(other, capital)) > best:
                     best, name, fixed = score, reading, other
         if name:
-            (sure if best > own + MARGIN or script == "latin" else weak).append(Damage(*m.span(), name, fixed))
+            (sure if best > own + MARGIN or script == "latin" else weak).append(Damage(*m.span(), name, fixed, "frequency"))
     if sure:
         yield from sure
         yield from weak
@@ -258,7 +295,7 @@ def find_damage(text: str) -> list[Damage]:
     if any("А" <= c <= "Я" for c in chars):
         found += _reread(text, "cyrillic")
     if "�" in chars:
-        found += (Damage(m.start(), m.end(), "lost", None) for m in re.finditer("�+", text))
+        found += (Damage(m.start(), m.end(), "lost", None, "replaced") for m in re.finditer("�+", text))
     found.sort(key=lambda x: (x.start - x.end, x.start))
     taken: list[Damage] = []
     starts: list[tuple[int, int]] = []
@@ -291,10 +328,10 @@ def restore(text: str, rounds: int | None = None) -> str:
 
 
 def garbled(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Rows ``(id, spans, lost, encoding, restored)`` of the damaged texts.
+    """Rows ``(id, spans, lost, by_frequency, encoding, restored)`` of the damaged texts.
 
-    ``spans`` counts the damaged spans and ``lost`` those that cannot be restored; ``encoding`` is
-    that of the first span; ``restored`` is the text with the others decoded (null if not asked for).
+    ``spans`` counts the damaged spans, ``lost`` those that cannot be restored and ``by_frequency`` those that
+    the automaton has no part in; ``encoding`` is that of the first span; ``restored`` is the text with the others decoded (null if not asked for).
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") > F.length("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -304,11 +341,11 @@ def garbled(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
             got = []
             for key, text in zip(pdf["id"], pdf["text"]):
                 if found := find_damage(text):
-                    got.append((key, len(found), sum(x.restored is None for x in found), found[0].encoding, restore(text) if with_text else None))
+                    got.append((key, len(found), sum(x.restored is None for x in found), sum(x.route == "frequency" for x in found), found[0].encoding, restore(text) if with_text else None))
             if got:
-                yield pd.DataFrame(got, columns=["id", "spans", "lost", "encoding", "restored"])
+                yield pd.DataFrame(got, columns=["id", "spans", "lost", "by_frequency", "encoding", "restored"])
 
-    return spread(rows, "id").mapInPandas(run, f"id {kind}, spans int, lost int, encoding string, restored string")
+    return spread(rows, "id").mapInPandas(run, f"id {kind}, spans int, lost int, by_frequency int, encoding string, restored string")
 
 
 def garbled_ids(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

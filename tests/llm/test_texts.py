@@ -158,3 +158,31 @@ def test_restore_goes_on_to_the_end():
         garbled_text = garbled_text.encode("utf-8").decode("latin-1")
         assert restore(garbled_text) == text, n
     assert restore(garbled_text, rounds=2) != text
+
+
+SCRIPTS = [
+    "שלום עולם, מה שלומך היום?", "مرحبا بالعالم كيف حالك", "नमस्ते दुनिया आप कैसे हैं", "สวัสดีชาวโลก", "გამარჯობა მსოფლიო", "Tiếng Việt rất hay, người Việt Nam", "Καλημέρα κόσμε, τι κάνεις όλοι;",
+    "family 👨‍👩‍👧‍👦 and 🏳️‍🌈 ok", "これは日本語のテキストです。", "안녕하세요 세계", "Բարեւ աշխարհ", "ሰላም ልዑል", "வணக்கம் உலகம்", "Größe über Maß", "Привет, мир",
+]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+@pytest.mark.parametrize("legacy", ["latin-1", "cp1252", "cp1252 twice"])
+def test_scripts_come_back(text, legacy):
+    def misread(t):
+        return "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) and legacy != "latin-1" else chr(b) for b in t.encode("utf-8"))
+
+    bad = misread(misread(text)) if legacy.endswith("twice") else misread(text)
+    assert find_damage(text) == [] and restore(bad) == text
+    assert {x.route for x in find_damage(bad)} == {"bytes"}
+
+
+@pytest.mark.parametrize("text", ["« c'est décidé » hier", "die GRÖẞE „Ö‘ und", "«ЁЛКА», СССР», ПОЛЁТ — КИЇВ", "São Paulo – É–É", "Ü“Ü“ Ö”", "la versión envía el árbol"])
+def test_what_only_looks_garbled(text):
+    assert find_damage(text) == []
+
+
+def test_routes(spark):
+    rows = [(1, "Ã¼ber"), (2, "Привет, как дела сегодня".encode("cp1251").decode("cp1252")), (3, "a�b"), (4, "itâ€ s Ã©t")]
+    got = {r.id: r for r in garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r.by_frequency > 0 for k, r in got.items()} == {1: False, 2: True, 3: False, 4: False}
