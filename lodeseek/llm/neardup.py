@@ -9,9 +9,15 @@ function. Distance is the size of the symmetric difference, so two fingerprints
 ``agree`` coordinates lie within the radius ``2 * (coordinates - agree)``. Every fingerprint emits
 all variants within half that radius, i.e. all its subsets of ``agree`` elements; two fingerprints
 within the radius meet in the variant in the middle, what they have in common. Variants are
-shuffled, colliding pairs deduplicated and verified on the whole shingle sets. A pair of similarity
-s is missed with probability P(Binomial(coordinates, s) < agree): 7.8e-5 for 10 and 3 at 0.8, the
-defaults; for 12 and 2 it is 3.2e-4 at 0.6 and 1e-10 at 0.9.
+shuffled, colliding pairs deduplicated and verified on the whole shingle sets. Since the elements are
+min-hashes, this finds what banded min-hashing with one band for each subset would find. A pair of
+similarity s is missed with probability P(Binomial(coordinates, s) < agree): 7.8e-5 for 10 and 3 at
+0.8, the defaults; for 12 and 2 it is 3.2e-4 at 0.6 and 1e-10 at 0.9.
+
+Two steps keep the work near what is found, and lose nothing. An element that only one class has goes
+into no variant. And a colliding pair is verified on the sets only if the ``SKETCH`` bits onto which
+each set is thrown allow the similarity: a bit of one that the other lacks is an element it lacks. The
+sets are made anew for the classes of those pairs, so that they need not be kept for all texts.
 
 A variant that more than ``bucket_limit`` classes share is not paired up. Its classes go another,
 exact way instead: two sets of similarity t share one of the |x| - ceil(t |x|) + 1 rarest shingles
@@ -35,7 +41,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.sources.durable import written
@@ -45,6 +51,8 @@ WORDS, SIMILARITY = 5, 0.8
 COORDINATES, AGREE = 10, 3
 BUCKET_LIMIT = 256
 PAIR_LIMIT = 64
+#: 64-bit words of a set's sketch.
+SKETCH = 8
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -83,20 +91,48 @@ def min_hashes(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``SKETCH`` words for each of the sets: the bits that its elements fall on."""
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out = np.zeros((len(sets), SKETCH), dtype=np.uint64)
+    np.bitwise_or.at(out, (row, (every >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (every & np.uint64(63)))
+    return out
+
+
+def _class_and_set(text: str, k: int, min_words: int) -> tuple[bytes, np.ndarray] | None:
+    words = _WORD.findall(text.lower())
+    if len(words) < max(min_words, k):
+        return None
+    hashes = np.fromiter(map(_word_hash, words), dtype=np.uint64, count=len(words))
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), shingles(hashes, k)
+
+
+def _columns(prefix: str, n: int) -> list[str]:
+    return [f"{prefix}{i}" for i in range(n)]
+
+
 def _features(k: int, min_words: int, coordinates: int):
+    names = _columns("m", coordinates) + _columns("s", SKETCH)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep, sets, same = [], [], []
-            for i, text in enumerate(pdf["text"]):
-                words = _WORD.findall(text.lower())
-                if len(words) >= max(min_words, k):
-                    keep.append(i)
-                    sets.append(shingles(np.fromiter(map(_word_hash, words), dtype=np.uint64, count=len(words)), k))
-                    same.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+            got = [_class_and_set(text, k, min_words) for text in pdf["text"]]
+            keep = [i for i, x in enumerate(got) if x is not None]
             if keep:
+                sets = [got[i][1] for i in keep]
                 part = pdf.iloc[keep]
-                mins = min_hashes(sets, coordinates).view(np.int64)
-                yield pd.DataFrame({"grp": part["grp"].to_numpy(), "id": part["id"].to_numpy(), "cls": same, "n": [len(s) for s in sets], "sh": [s.view(np.int64) for s in sets], "mh": list(mins)})
+                marks = np.hstack([min_hashes(sets, coordinates), sketches(sets)]).view(np.int64)
+                yield pd.DataFrame({"grp": part["grp"].to_numpy(), "id": part["id"].to_numpy(), "cls": [got[i][0] for i in keep], "n": [len(s) for s in sets], **{c: marks[:, i] for i, c in enumerate(names)}})
+
+    return run
+
+
+def _set_rows(k: int, min_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(c, *x) for c, text in zip(pdf["c"], pdf["text"]) if (x := _class_and_set(text, k, min_words))]
+            yield pd.DataFrame({"c": [x[0] for x in got], "cls": [x[1] for x in got], "sh": [x[2].view(np.int64) for x in got]})
 
     return run
 
@@ -104,11 +140,11 @@ def _features(k: int, min_words: int, coordinates: int):
 def _common_elements(classes: DataFrame, coordinates: int, agree: int) -> DataFrame:
     """Rows ``(c, n, m0, m1, ...)``: the fingerprint of every class, without the elements that no other class of
     its group has. Two fingerprints can only meet in what both have, so nothing else needs to go into a variant."""
-    c = F.xxhash64("grp", "cls").alias("c")  # if two classes shared them, the check of their sets would still tell them apart
-    elements = classes.select(c, "n", "grp", F.posexplode("mh").alias("j", "h")).select("c", "n", "j", F.xxhash64("grp", "j", "h").alias("m"))
+    marks = F.array(*_columns("m", coordinates))
+    elements = classes.select("c", "n", "grp", F.posexplode(marks).alias("j", "h")).select("c", "n", "j", F.xxhash64("grp", "j", "h").alias("m"))
     common = written(elements.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m"), "common")
     left = elements.join(common, "m").groupBy("c", "n").agg(*[F.max(F.when(F.col("j") == j, F.col("m"))).alias(f"m{j}") for j in range(coordinates)])
-    enough = sum((F.col(f"m{j}").isNotNull().cast("int") for j in range(coordinates)), F.lit(0)) >= agree
+    enough = sum((F.col(m).isNotNull().cast("int") for m in _columns("m", coordinates)), F.lit(0)) >= agree
     return written(left.filter(enough), "elements")
 
 
@@ -126,16 +162,47 @@ def _close(a, b, similarity: float):
     return (F.least(a, b) + 1e-9 >= similarity * F.greatest(a, b))
 
 
-def fingerprints(df: DataFrame, *, k: int, min_words: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
-    """``(members, classes)`` of rows ``(grp, id, text)``, both written tables."""
-    feats = written(spread(df, "id").mapInPandas(_features(k, min_words, coordinates), "grp string, id string, cls binary, n int, sh array<long>, mh array<long>"), "features")
+def fingerprints(rows: DataFrame, *, k: int, min_words: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
+    """``(members, classes)`` of rows ``(grp, id, text)``, both written tables. Within, a class goes by the 64 bits
+    ``c``; if two shared them, the check of their sets would still tell them apart."""
+    names = _columns("m", coordinates) + _columns("s", SKETCH)
+    schema = "grp string, id string, cls binary, n int, " + ", ".join(f"{c} long" for c in names)
+    feats = written(spread(rows, "id").mapInPandas(_features(k, min_words, coordinates), schema), "features")
     members = feats.select("grp", "cls", "id").distinct()
-    return members, written(feats.dropDuplicates(["grp", "cls"]).select("grp", "cls", "n", "sh", "mh"), "classes")
+    classes = feats.groupBy("grp", "cls").agg(*[F.first(c).alias(c) for c in ["n", *names]]).withColumn("c", F.xxhash64("grp", "cls"))
+    return members, written(classes, "classes")
+
+
+def _sets(rows: DataFrame, members: DataFrame, wanted: DataFrame, k: int, min_words: int) -> DataFrame:
+    """Rows ``(c, cls, sh)``: the shingle sets of the classes ``wanted (c)``, from the text of one member each."""
+    of = members.withColumn("c", F.xxhash64("grp", "cls")).join(wanted, "c", "left_semi")
+    first = of.groupBy("c", "grp").agg(F.min(F.struct("id", "cls")).alias("f")).select("c", "grp", "f.id", F.col("f.cls").alias("own"))
+    made = rows.join(first, ["grp", "id"]).select("c", "own", "text").mapInPandas(_set_rows(k, min_words), "c long, cls binary, sh array<long>")
+    # an id may have other texts as well
+    return made.join(first.select("c", F.col("own").alias("cls")), ["c", "cls"], "left_semi").dropDuplicates(["c", "cls"])
+
+
+def _allowed(similarity: float) -> Column:
+    """Whether two sketches leave room for the similarity: what falls on a bit the other lacks is not shared."""
+    lacks = [sum((F.bit_count(F.col(f"{x}s{i}").bitwiseAND(F.bitwise_not(f"{y}s{i}"))) for i in range(SKETCH)), F.lit(0)) for x, y in ("ab", "ba")]
+    most = F.least(F.col("na") - lacks[0], F.col("nb") - lacks[1])
+    return most + 1e-9 >= similarity * (F.col("na") + F.col("nb") - most)
+
+
+def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of sets that share one of the rare elements which two similar sets must share."""
+    elements = sets.select("c", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    rarity = elements.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = elements.join(rarity, "s", "left").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("order"))
+    length = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).cast("int")
+    prefix = written(ranked.select("c", "n", F.explode(F.slice("order", F.lit(1), length)).alias("p")).filter("p.df > 1").select("c", "n", F.col("p.s").alias("s")), "prefixes")
+    x = prefix.select("s", F.col("c").alias("a"), F.col("n").alias("na"))
+    y = prefix.select("s", F.col("c").alias("b"), F.col("n").alias("nb"))
+    return x.join(y, "s").filter((F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), similarity)).select("a", "b")
 
 
-def similar_classes(classes: DataFrame, *, similarity: float = SIMILARITY, coordinates: int = COORDINATES, agree: int = AGREE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def similar_classes(rows: DataFrame, members: DataFrame, classes: DataFrame, *, k: int, min_words: int, similarity: float = SIMILARITY, coordinates: int = COORDINATES, agree: int = AGREE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Rows ``(grp, a, b, similarity)``: pairs of classes of one group, each pair once, verified on the whole sets."""
-    c = F.xxhash64("grp", "cls")
     keys = _common_elements(classes, coordinates, agree).select("c", "n", F.explode(_variants(coordinates, agree)).alias("key"))
     # what few share is paired in its bucket; a bucket beyond the limit is only counted
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -143,22 +210,21 @@ def similar_classes(classes: DataFrame, *, similarity: float = SIMILARITY, coord
     small = shared.filter(F.col("size") <= bucket_limit)
     a = small.select("key", F.col("c").alias("a"), F.col("n").alias("na"))
     b = small.select("key", F.col("c").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), similarity)).select("a", "b")
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), similarity)).select("a", "b")
     # the others meet by the rare shingles that two similar sets must share
-    crowded = shared.filter(F.col("size") > bucket_limit).select("c").distinct()
-    hot = classes.withColumn("c", c).join(crowded, "c", "left_semi").select("grp", "c", "n", F.explode("sh").alias("s")).select("c", "n", F.xxhash64("grp", "s").alias("s"))
-    rarity = hot.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = hot.join(rarity, "s").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("order"))
-    length = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).cast("int")
-    prefix = ranked.select("c", "n", F.explode(F.slice("order", F.lit(1), length)).alias("p")).select("c", "n", F.col("p.s").alias("s"))
-    x = prefix.select("s", F.col("c").alias("a"), F.col("n").alias("na"))
-    y = prefix.select("s", F.col("c").alias("b"), F.col("n").alias("nb"))
-    rare = x.join(y, "s").filter((F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), similarity)).select("a", "b")
-    pairs = met.unionByName(rare).distinct()
-    left = classes.select(c.alias("a"), "grp", F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("sh").alias("sa"))
-    right = classes.select(c.alias("b"), F.col("grp").alias("gb"), F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
+    crowded = written(shared.filter(F.col("size") > bucket_limit).select("c").distinct(), "crowded")
+    if not crowded.isEmpty():
+        # a shingle of another group is another shingle
+        grp = classes.select("c", "grp")
+        hot = _sets(rows, members, crowded, k, min_words).join(grp, "c").select("c", F.transform("sh", lambda x: F.xxhash64("grp", x)).alias("sh"))
+        pairs = pairs.unionByName(_rare_pairs(hot, similarity))
+    marks = {x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("grp").alias(f"g{x}"), *[F.col(s).alias(f"{x}{s}") for s in _columns("s", SKETCH)]) for x in "ab"}
+    likely = pairs.distinct().join(marks["a"], "a").join(marks["b"], "b").filter((F.col("ga") == F.col("gb")) & _allowed(similarity))
+    near = written(likely.select("a", "b", F.col("ga").alias("grp"), "na", "nb"), "near")
+    wanted = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct()
+    sets = written(_sets(rows, members, wanted, k, min_words), "sets")
+    both = near.join(sets.select(F.col("c").alias("a"), F.col("cls").alias("ca"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("cls").alias("cb"), F.col("sh").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(left, "a").join(right, "b").filter(F.col("grp") == F.col("gb"))
     checked = both.select("grp", F.col("ca").alias("a"), F.col("cb").alias("b"), (common / (F.col("na") + F.col("nb") - common)).alias("similarity"))
     return checked.filter(F.col("similarity") >= similarity)
 
@@ -170,7 +236,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, group_col: str | None, k:
     group = F.col(group_col).cast("string") if group_col else F.lit("")
     rows = df.select(group.alias("grp"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).dropna()
     members, classes = fingerprints(rows, k=k, min_words=min_words, coordinates=coordinates)
-    return members, similar_classes(classes, similarity=similarity, coordinates=coordinates, agree=agree, bucket_limit=bucket_limit)
+    return members, similar_classes(rows, members, classes, k=k, min_words=min_words, similarity=similarity, coordinates=coordinates, agree=agree, bucket_limit=bucket_limit)
 
 
 def similar_pairs(
@@ -284,4 +350,4 @@ def groups(pairs: DataFrame, rounds: int = 64, *, degree: DataFrame | None = Non
     return roots.unionByName(tops).join(degree.withColumnRenamed("u", "id"), ["grp", "id"])
 
 
-__all__ = ["expand", "fingerprints", "groups", "min_hashes", "shingles", "similar_classes", "similar_groups", "similar_pairs"]
+__all__ = ["expand", "fingerprints", "groups", "min_hashes", "shingles", "similar_classes", "similar_groups", "similar_pairs", "sketches"]

@@ -2,9 +2,10 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodeseek.llm.neardup import groups, similar_groups, similar_pairs
+from lodeseek.llm.neardup import SKETCH, _allowed, groups, similar_groups, similar_pairs, sketches
 
 W = [f"w{i}" for i in range(400)]
 
@@ -108,3 +109,18 @@ def test_groups(spark):
     assert all(got["g", f"n{i:02}"][0] == "n00" for i in range(31)) and got["g", "n05"][1] == 2 and got["g", "x2"] == ("x1", 1) and got["h", "n05"] == ("n00", 1)
     assert len(got) == 35
     assert groups(spark.createDataFrame([], "grp string, id_a string, id_b string, similarity double")).count() == 0
+
+
+def test_sketches_never_rule_out_a_pair(spark):
+    r = random.Random(4)
+    sets_ = [np.unique(np.array([r.getrandbits(64) for _ in range(r.choice([1, 5, 80, 2000]))], dtype=np.uint64)) for _ in range(40)]
+    sets_ += [np.unique(np.concatenate([x[: int(len(x) * 0.9)], sets_[0][:1]])) for x in sets_[:40]]
+    marks = sketches(sets_).view(np.int64)
+    rows = [(i, len(x), *[int(v) for v in m]) for i, (x, m) in enumerate(zip(sets_, marks))]
+    cols = [f"s{i}" for i in range(SKETCH)]
+    df = spark.createDataFrame(rows, "i int, n int, " + ", ".join(f"{c} long" for c in cols))
+    a, b = (df.select(F.col("i").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}{c}") for c in cols]) for x in "ab")
+    for similarity in (0.6, 0.8):
+        ruled_out = {(x.a, x.b) for x in a.join(b, F.col("a") < F.col("b")).filter(~_allowed(similarity)).select("a", "b").collect()}
+        near = {(i, j) for i, j in combinations(range(len(sets_)), 2) if len(np.intersect1d(sets_[i], sets_[j])) >= similarity * len(np.union1d(sets_[i], sets_[j]))}
+        assert len(near) > 10 and not near & ruled_out and len(ruled_out) > 1000
