@@ -1,10 +1,12 @@
+import random
 from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodeseek.llm.packing import TOKENIZER, best_fit, fill, pack, tokenizer
+from lodeseek.llm.packing import best_fit, fill, kept_apart, pack, packing_order, tokenizer
+from lodeseek.llm.queries_packing import TOKENIZER
 
 ITEM = st.tuples(st.integers(0, 100), st.sampled_from([None, "s", "t", "u"]), st.sampled_from([1, 1, 1, 2, 3, 4, 5, 6, 7, 8]))
 
@@ -19,36 +21,38 @@ def check(items, bins, capacity=100):
     return len(held)
 
 
-def brute(items, capacity=100):
-    """Largest first into the tightest bin that takes the item, by looking at every bin."""
-    bins = []
-    for i in sorted(range(len(items)), key=lambda i: (-items[i][0], items[i][2], i)):
+def replay(items, bins, capacity=100):
+    """Every item, in the order of packing, is in the tightest bin it has no conflict with, and in a new one only if there is none."""
+    apart = kept_apart([x[0] for x in items], [x[1] for x in items], capacity)
+    held = {}
+    for i in packing_order(*[list(x) for x in zip(*items)], capacity) if items else ():
         size, source, cluster = items[i]
-        fits = [b for b in bins if capacity - b[0] >= size and cluster not in b[2]]
-        tight = lambda bs: min(bs, key=lambda b: capacity - b[0])
-        clean = [b for b in fits if source is None or source not in b[1]]
-        b = tight(clean) if clean else tight(fits) if fits else None
-        if b is None:
-            b = [0, set(), set()]
-            bins.append(b)
-        b[0] += size
-        b[1].add(source)
-        b[2].add(cluster)
-    return len(bins)
-
-
-@settings(max_examples=200, deadline=None)
+        free = {b: capacity - sum(items[j][0] for j in at) for b, at in held.items() if not any(items[j][2] == cluster or (source in apart and items[j][1] == source) for j in at)}
+        fits = [f for f in free.values() if f >= size]
+        if bins[i] in held:
+            assert free[bins[i]] == min(fits)
+        else:
+            assert not fits
+        held.setdefault(bins[i], []).append(i)
+    for at in held.values():
+        for s in apart:
+            assert sum(items[i][1] == s for i in at) <= 1
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(ITEM, max_size=80))
 def test_bins(items):
-    n = check(items, best_fit([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], 100))
-    floor = max([-(-sum(x[0] for x in items) // 100), *(sum(x[2] == c for x in items) for c in {x[2] for x in items})], default=0)
-    assert floor <= n <= brute(items) + 2 + len(items) // 20
+    bins = best_fit([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], 100)
+    check(items, bins)
+    replay(items, bins)
 
 
-def test_sources_spread():
+def test_sources_are_kept_apart():
     items = [(60, "s", 1), (60, "t", 2), (40, "s", 3), (40, "t", 4)]
-    bins = best_fit(*[list(x) for x in zip(*items)], 100)
-    assert bins == [0, 1, 1, 0]
+    assert best_fit(*[list(x) for x in zip(*items)], 100) == [0, 1, 1, 0]
+    # two texts of a source in conflict open a bin; a source of more texts than bins does not count
+    assert best_fit([50, 30, 20], ["s", "s", "t"], [1, 2, 3], 100) == [0, 0, 0]
+    assert best_fit([90, 50, 40, 5], ["t", "s", "s", "u"], [1, 2, 3, 4], 100) == [2, 0, 1, 2]
 
 
 def test_hot_cluster_and_source():
@@ -57,13 +61,20 @@ def test_hot_cluster_and_source():
     assert n == 2100
 
 
+def test_sources_cost_little_space():
+    r = random.Random(3)
+    items = [(min(100, int(r.expovariate(1 / 18)) + 1), f"s{min(int(r.paretovariate(0.8)), 60)}", i) for i in range(3000)]
+    need = -(-sum(x[0] for x in items) // 100)
+    assert need <= check(items, best_fit(*[list(x) for x in zip(*items)], 100)) <= 1.03 * need
+
+
 def test_pack(spark):
     enc = tokenizer(TOKENIZER)
     texts = ["", "", None, "hello world", "Hello  World", "word " * 5000, "é😀\x00" * 50] + [f"text {i} " * (i % 90 + 1) for i in range(400)]
     rows = [(i, t, None if i % 5 == 0 else "hot" if i % 3 == 0 else f"s{i % 4}", i) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows + rows[10:30], "doc_id long, text string, source string, piece int")
     for per_task in (20_000, 50):
-        got = pack(df, items_per_task=per_task).collect()
+        got = pack(df, items_per_task=per_task, tokenizer_file=TOKENIZER).collect()
         held, parts = defaultdict(list), defaultdict(list)
         for r in got:
             held[r.container].append(r)
@@ -76,8 +87,8 @@ def test_pack(spark):
         for a, b in ((0, 1), (3, 4)):
             assert parts[a][0].container != parts[b][0].container
     total = sum(r.tokens for r in got)
-    full = pack(df)
+    full = pack(df, tokenizer_file=TOKENIZER)
     assert full.select("container").distinct().count() <= total // 2048 + 2
     assert fill(full).filter((F.col("free") < 0) | (F.col("texts") == 0)).count() == 0
-    assert pack(df.limit(0)).count() == 0
-    assert pack(df, cluster_col="source", source_col=None).count() == len(got)
+    assert pack(df.limit(0), tokenizer_file=TOKENIZER).count() == 0
+    assert pack(df, cluster_col="source", source_col=None, tokenizer_file=TOKENIZER).count() == len(got)
