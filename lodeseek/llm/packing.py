@@ -3,8 +3,9 @@
 Sizes are counted in tokens of a public tokenizer. A text that exceeds the capacity is cut at token
 boundaries into full containers and a rest; nothing else is split. The items are spread over tasks by
 a hash, so that each task sees a fair sample of all sizes, sources and clusters, and every task packs
-its own by conflict-constrained best-fit, first the sources of which many texts have to be kept apart,
-the most frequent one first, then all the rest; the largest first among either:
+its own by conflict-constrained best-fit, in two orders of which the one with fewer containers counts:
+the largest first, or first the sources of which many texts have to be kept apart, the most frequent one
+first, and then all the rest:
 
 * bins are ordered by their residual (a bit set over residuals gives the next one that is large
   enough) and carry a bitmap of the sources and one of the duplicate clusters they hold;
@@ -91,17 +92,26 @@ def kept_apart(sizes: list[int], sources: list, capacity: int) -> dict:
     return {s: k for s, k in Counter(sources).items() if s is not None and k <= floor}
 
 
-def packing_order(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
+def packing_orders(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[list[int]]:
+    """By size alone, and with the frequent sources first."""
     floor, apart = -(-sum(sizes) // capacity), kept_apart(sizes, sources, capacity)
     first = {s: k for s, k in apart.items() if k > 1 and k * FREQUENT >= floor}
-    return sorted(range(len(sizes)), key=lambda i: (-first[sources[i]], sources[i], -sizes[i], clusters[i], i) if sources[i] in first else (0, "", -sizes[i], clusters[i], i))
+    by_size = sorted(range(len(sizes)), key=lambda i: (-sizes[i], clusters[i], i))
+    if not first:
+        return [by_size]
+    return [by_size, sorted(by_size, key=lambda i: (-first[sources[i]], sources[i]) if sources[i] in first else (0, ""))]
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACITY) -> list[int]:
-    """The bin of each item, in ``packing_order``."""
+    """The bin of each item, in the better of the ``packing_orders``."""
+    tried = [placed(sizes, sources, clusters, order, capacity) for order in packing_orders(sizes, sources, clusters, capacity)]
+    return min(tried, key=lambda bins: max(bins, default=0))
+
+
+def placed(sizes: list[int], sources: list, clusters: list, order: list[int], capacity: int) -> list[int]:
+    """The bin of each item, if items are taken in ``order``."""
     source_bit = {s: 1 << i for i, s in enumerate(sorted(kept_apart(sizes, sources, capacity)))}
     cluster_bit = {c: 1 << i for i, c in enumerate(sorted(c for c, k in Counter(clusters).items() if k > 1))}
-    order = packing_order(sizes, sources, clusters, capacity)
     where = [0] * len(sizes)
     shelves: list[list[int]] = [[] for _ in range(capacity + 1)]  # open bins by residual, the newest last
     present = 0  # bit r: some bin has residual r
