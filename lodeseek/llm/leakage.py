@@ -10,9 +10,14 @@ of words.
 Words are maximal runs of letters and digits in lower case, so layout, punctuation and comment signs
 between them do not matter.
 
-The fingerprints of the items, a stated query set, are counted; up to ``broadcast_limit`` of them go
-to every worker, which then drops document fingerprints without a partner before anything is
-shuffled. Beyond the limit all fingerprints meet in a shuffled join, with the same result.
+The fingerprint rows of the items, a stated query set, are written and counted; up to
+``broadcast_limit`` of them, of bounded size each, go to every worker, which then drops document
+fingerprints without a partner before anything is shuffled. Beyond the limit all fingerprints meet in a
+shuffled join, with the same result.
+
+A hit knows ``guarantee - k`` words on either side. In a longer shared span there is a fingerprint at
+least every ``guarantee - k + 1`` words, so the extended hits of one span overlap, and their union is
+the whole span, to its first and last word (``leaked_spans``).
 
 Defined results: null texts and texts of fewer than ``guarantee`` words have no passages; repeated
 rows count once; an empty table on either side gives no rows; other columns are ignored.
@@ -27,14 +32,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeseek.sources.durable import written
 from lodeseek.sources.tables import spread
 
 GUARANTEE = 12
 K = 6
-BROADCAST_LIMIT = 2_000_000
+#: Rows of item fingerprints, of about 150 bytes each, that may be sent to every worker.
+BROADCAST_LIMIT = 500_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -80,13 +87,13 @@ def winnow(grams: np.ndarray, width: int) -> np.ndarray:
 
 def _batch(texts: list[str], guarantee: int, k: int):
     """Word hashes of all texts in one array, each followed by a gap, and the winnowed positions."""
-    hashes, sizes = [], np.zeros(len(texts), dtype=np.int64)
+    hashes, sizes = [np.empty(0, dtype=np.uint64)], np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
         ws = words_of(t) if t else []
         if len(ws) >= guarantee:
-            hashes += map(word_hash, ws)
+            hashes.append(np.fromiter(map(word_hash, ws), dtype=np.uint64, count=len(ws)))
             sizes[i] = len(ws)
-    words = np.array(hashes, dtype=np.uint64)
+    words = np.concatenate(hashes)
     ends = np.cumsum(sizes)
     grams = gram_hashes(words, k)
     if len(grams):  # grams across two texts can't be chosen before a real one
@@ -98,7 +105,7 @@ def _batch(texts: list[str], guarantee: int, k: int):
 
 
 def _fingerprints(guarantee: int, k: int, keep: np.ndarray | None):
-    """mapInPandas body: rows (id, fp, left, right, ctx) with the words around each fingerprint."""
+    """mapInPandas body: rows (id, fp, pos, before, ctx) with the words around each fingerprint."""
     reach = guarantee - k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,19 +119,22 @@ def _fingerprints(guarantee: int, k: int, keep: np.ndarray | None):
             if not len(at):
                 continue
             doc = np.searchsorted(ends, at, side="right")
-            lo = np.maximum(np.concatenate(([0], ends))[doc], at - reach)
+            begin = np.concatenate(([0], ends))[doc]
+            lo = np.maximum(begin, at - reach)
             hi = np.minimum(ends[doc], at + k + reach)
             signed = words.view(np.int64)
             yield pd.DataFrame(
-                {"id": ids[doc], "fp": grams[at].view(np.int64), "before": (at - lo).astype(np.int32), "ctx": [signed[a:b] for a, b in zip(lo, hi)]}
+                {"id": ids[doc], "fp": grams[at].view(np.int64), "pos": (at - begin).astype(np.int32), "before": (at - lo).astype(np.int32), "ctx": [signed[a:b] for a, b in zip(lo, hi)]}
             )
 
     return run
 
 
 def _extended(guarantee: int, k: int):
-    @F.pandas_udf("boolean")
-    def shared(a_before: pd.Series, a: pd.Series, b_before: pd.Series, b: pd.Series) -> pd.Series:
+    """How many words to the left and right of a hit, its own included, are shared; null if the hit does not count."""
+
+    @F.pandas_udf("left int, right int")
+    def shared(a_before: pd.Series, a: pd.Series, b_before: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
         for pa, xa, pb, xb in zip(a_before, a, b_before, b):
             left = 0
@@ -133,12 +143,33 @@ def _extended(guarantee: int, k: int):
             right, na, nb = 0, len(xa) - pa, len(xb) - pb
             while right < na and right < nb and xa[pa + right] == xb[pb + right]:
                 right += 1
-            out.append(right >= k and left + right >= guarantee)
-        return pd.Series(out, dtype=bool)
+            out.append((left, right) if right >= k and left + right >= guarantee else (None, None))
+        return pd.DataFrame(out, columns=["left", "right"]).astype("Int32")
 
     return shared
 
 
+def _hits(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, guarantee: int, k: int, broadcast_limit: int) -> DataFrame:
+    """Rows ``(doc_id, item_id, doc_pos, item_pos, words)`` of the extended hits; positions count words from 0."""
+    if not 0 < k <= guarantee:
+        raise ValueError("k must lie between 1 and guarantee")
+    schema = "id long, fp long, pos int, before int, ctx array<long>"
+    item_rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).dropna()
+    item_fp = item_rows.distinct().mapInPandas(_fingerprints(guarantee, k, None), schema)
+    item_fp = written(item_fp.select(F.col("id").alias("item_id"), "fp", F.col("pos").alias("item_pos"), F.col("before").alias("item_before"), F.col("ctx").alias("item_ctx")), "item_fingerprints")
+    keep = None
+    small = item_fp.count() <= broadcast_limit
+    if small:  # no more than that many rows come to the driver and go to the workers
+        keep = np.unique(item_fp.select("fp").toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).dropna()
+    if small and not len(keep):
+        return rows.select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("item_id"), *[F.lit(0).alias(c) for c in ("doc_pos", "item_pos", "words")]).limit(0)
+    doc_fp = spread(rows, "id").mapInPandas(_fingerprints(guarantee, k, keep), schema)
+    met = doc_fp.join(F.broadcast(item_fp) if small else item_fp, "fp")
+    found = met.select(F.col("id").alias("doc_id"), "item_id", "pos", "item_pos", _extended(guarantee, k)("before", "ctx", "item_before", "item_ctx").alias("x")).filter("x.left IS NOT NULL")
+    return found.select("doc_id", "item_id", (F.col("pos") - F.col("x.left")).alias("doc_pos"), (F.col("item_pos") - F.col("x.left")).alias("item_pos"), (F.col("x.left") + F.col("x.right")).alias("words"))
+
+
 def leaked_passages(
     docs: DataFrame,
     items: DataFrame,
@@ -152,19 +183,27 @@ def leaked_passages(
     broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Distinct ``(doc_id, item_id)`` of documents and the items of which they hold ``guarantee`` words in a row."""
-    if not 0 < k <= guarantee:
-        raise ValueError("k must lie between 1 and guarantee")
-    schema = "id long, fp long, before int, ctx array<long>"
-    item_rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).dropna()
-    item_fp = item_rows.mapInPandas(_fingerprints(guarantee, k, None), schema).select(
-        F.col("id").alias("item_id"), "fp", F.col("before").alias("item_before"), F.col("ctx").alias("item_ctx")
-    )
-    sample = item_fp.select("fp").distinct().limit(broadcast_limit + 1).toPandas()["fp"].to_numpy(dtype=np.int64)
-    small = len(sample) <= broadcast_limit
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).dropna()
-    if small and not len(sample):
-        return rows.select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("item_id")).limit(0)
-    keep = np.sort(sample.view(np.uint64)) if small else None
-    doc_fp = spread(rows, "id").mapInPandas(_fingerprints(guarantee, k, keep), schema)
-    hits = doc_fp.join(F.broadcast(item_fp) if small else item_fp, "fp")
-    return hits.filter(_extended(guarantee, k)("before", "ctx", "item_before", "item_ctx")).select(F.col("id").alias("doc_id"), "item_id").distinct()
+    return _hits(docs, items, doc_id, doc_text, item_id, item_text, guarantee, k, broadcast_limit).select("doc_id", "item_id").distinct()
+
+
+def leaked_spans(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    doc_text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    guarantee: int = GUARANTEE,
+    k: int = K,
+    broadcast_limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
+    """Rows ``(doc_id, item_id, doc_pos, item_pos, words)``: every longest shared span of at least ``guarantee``
+    words, by the places of its first word in both. Hits of one span lie on one diagonal and overlap."""
+    hits = _hits(docs, items, doc_id, doc_text, item_id, item_text, guarantee, k, broadcast_limit)
+    hits = hits.withColumn("diagonal", F.col("doc_pos") - F.col("item_pos")).groupBy("doc_id", "item_id", "diagonal", "doc_pos").agg(F.max("words").alias("words"))
+    line = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("doc_pos")
+    reached = F.max(F.col("doc_pos") + F.col("words")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("opens", F.coalesce(F.col("doc_pos") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(line))
+    spans = runs.groupBy("doc_id", "item_id", "diagonal", "run").agg(F.min("doc_pos").alias("doc_pos"), F.max(F.col("doc_pos") + F.col("words")).alias("stop"))
+    return spans.select("doc_id", "item_id", "doc_pos", (F.col("doc_pos") - F.col("diagonal")).alias("item_pos"), (F.col("stop") - F.col("doc_pos")).alias("words"))

@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodeseek.llm import catalogue
 from lodeseek.llm.encoding import find_damage, garbled, garbled_ids, restore
-from lodeseek.llm.leakage import leaked_passages
+from lodeseek.llm.leakage import leaked_passages, leaked_spans
 from lodeseek.llm.splitting import RangeMax, cut, oversized_ids, split_lines, split_oversized
 
 # splitting ------------------------------------------------------------------------------------
@@ -186,3 +187,20 @@ def test_routes(spark):
     rows = [(1, "Ã¼ber"), (2, "Привет, как дела сегодня".encode("cp1251").decode("cp1252")), (3, "a�b"), (4, "itâ€ s Ã©t")]
     got = {r.id: r for r in garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: r.by_frequency > 0 for k, r in got.items()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_spans_reach_their_ends(spark):
+    words = [f"w{i}" for i in range(200)]
+    r = random.Random(5)
+    noise = lambda n: " ".join(r.choice(["x", "y", "z"]) + str(r.randint(0, 99)) for _ in range(n))
+    docs = [(1, noise(7) + " " + " ".join(words[20:120]) + " " + noise(9)), (2, " ".join(words[:12]) + " , " + noise(3) + " " + " ".join(words[:13])), (3, " ".join(words[50:61])), (4, None), (5, "q " * 40)]
+    items = [(1, " ".join(words)), (2, " ".join(words[110:150])), (3, "q " * 15)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (10_000, 1):
+        got = leaked_spans(d, i, broadcast_limit=limit).collect()
+        pairs = {tuple(x) for x in got if x.doc_id != 5}
+        assert pairs == {(1, 1, 7, 20, 100), (2, 1, 0, 0, 12), (2, 1, 15, 0, 13)}
+        # a repeated word: one span for each way the two runs can be laid over each other by 12 words or more
+        assert {(x.doc_pos - x.item_pos, x.words) for x in got if x.doc_id == 5} == {(n, min(15, 40 - n) if n >= 0 else 15 + n) for n in range(-3, 29)}
+        assert len(got) == 3 + 32
+        assert {(x.doc_id, x.item_id) for x in leaked_passages(d, i, broadcast_limit=limit).collect()} == {(1, 1), (2, 1), (5, 3)}
