@@ -31,6 +31,11 @@ def p3_labels(spark: SparkSession, d: str) -> DataFrame:
     return label_files(table(spark, d, "source_files"), table(spark, d, "upstream_files"))
 
 
+def p3_moved(spark: SparkSession, d: str) -> DataFrame:
+    """How many files have which label alone and which after the propagation."""
+    return p3_labels(spark, d).groupBy("alone", "label").agg(F.count("*").alias("files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return unparsable(table(spark, d, "source_files")).select("rel_path").distinct()
 
@@ -71,7 +76,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_report": p8_report, "p8_spans": p8_spans, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_labels": p3_labels, "p3_moved": p3_moved, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_report": p8_report, "p8_spans": p8_spans, "p9_found": p9_found, "p9_restored": p9_restored}
 
 _SPANS = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),

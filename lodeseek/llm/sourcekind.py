@@ -13,14 +13,21 @@ a level is one groupBy with partial aggregation, whatever the number of files in
 Defined results: null paths are skipped; null or empty contents give no evidence of their own; a
 repeated row counts once, rows of one path with different contents are judged one by one and the
 path counts if any of them does; no reference collection means no likeness; other columns are
-ignored.
+ignored. A reference collection of up to ``reference_limit`` token runs goes to every worker; beyond it,
+files and reference meet in a shuffled join on ``LIKENESS_HASHES`` min-hashes and are compared on whole
+sets, which misses a pair of likeness 0.5 with probability 2 to the power of minus that number.
+
+A note stands in a comment, be it a line of its own or within a block, and may be as long as ``NOTE``
+characters anywhere in a comment of any length.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.functions.code import mask
+from lodeseek.functions.text import EXTENSIONS
+from lodeseek.llm.neardup import min_hashes
 from lodeseek.sources.durable import written
 from lodeseek.sources.tables import spread
 
@@ -44,8 +54,11 @@ DIR_DIR = ((0.0, -3.0, -3.0, -3.0, -3.0), (-12.0, 0.0, -3.0, -3.0, -3.0), (-3.0,
 ROOT_PRIOR = 6.0
 #: Share of token runs that two files must have in common to be the same file but for small edits.
 LIKENESS = 0.5
-#: Reference fingerprints that may be sent to every worker; more are refused with an error.
+#: Token runs of the reference collection that may be sent to every worker (8 bytes each).
 REFERENCE_LIMIT = 2_000_000
+LIKENESS_HASHES = 20
+#: The longest note, in characters; windows of twice that size with half overlap are searched.
+NOTE = 300
 
 # Names of directories that hold other people's code or the output of tools.
 VENDOR_DIRS = r"_?vendor|vendors|vendored|third[-_]?party|node_modules|bower_components|external|externals|extern|deps|contrib|site-packages|godeps|pods|carthage"
@@ -76,7 +89,7 @@ GENERATED_NOTE = re.compile(
 )
 VENDOR_NOTE = re.compile(
     r"^vendored (?:from|copy of|code)\b|^third[- ]party (?:code|library|source|file)\b|(?:copied|taken|imported|adapted) (?:verbatim|unchanged|unmodified|as is|wholesale)\b.*\b(?:from|of)\b"
-    r"|^(?:copied|taken|imported) from \S+ (?:at |v|@|version |tag |rev|\d)|^imported snapshot of\b|^(?:verbatim|unmodified|exact) copy of\b|^(?:upstream|origin|source) ?: ?(?:https?:|\w+[-/]\w+)|keep in sync with upstream",
+    r"|^(?:copied|taken|imported) from \S+ (?:at |v|@|version |tag |rev|\d)|^imported snapshot of\b|^\S+ v?\d+(?:\.\d+)+\b\W*\bre-?distributed\b|^re-?distributed (?:under|with|from)\b|^(?:verbatim|unmodified|exact) copy of\b|^(?:upstream|origin|source) ?: ?(?:https?:|\w+[-/]\w+)|keep in sync with upstream",
     re.I,
 )
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|[^\w\s]")
@@ -87,26 +100,67 @@ _PROSE = (".md", ".txt", ".rst", ".adoc", ".markdown")
 _CONFIG = (".json", ".toml", ".yaml", ".yml", ".ini", ".cfg", ".xml", ".csv", ".lock", ".properties")
 
 
-def note_evidence(content: str) -> tuple[float, float]:
+#: Parts of words of which every note holds one; a text without any has no note.
+_HINTS = (
+    "generated", "edit", "modify", "rendered", "produced", "emitted", "compiled", "built by", "built from", "built on", "built with", "built at", "built using", "created", "machine", "output of", "changes", "re-run", "rerun",
+    "généré", "produit", "créé", "erzeugt", "generiert", "erstellt", "generado", "creado", "producido", "gerado", "criado", "produzido", "generato", "сгенерирован", "создан", "сформирован",
+    "vendored", "third", "copied", "taken", "imported", "adapted", "snapshot", "copy of", "upstream", "origin", "source", "distributed",
+)
+_BLOCK = re.compile(r"/\*.*?\*/|<!--.*?-->|^=begin\b.*?^=end\b", re.S | re.M)
+
+
+@lru_cache(maxsize=256)
+def _hint_pattern(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, words)), re.I)
+
+
+def _comment_text(content: str, a: int, b: int, blocks: list[tuple[int, int]]) -> str:
+    """What a comment says on the line from a to b; nothing if the line is no comment."""
+    line = content[a:b]
+    if m := _COMMENT.match(line):
+        return m.group(1)
+    i = bisect.bisect(blocks, (a, b)) - 1
+    return line.strip(" \t*") if i >= 0 and blocks[i][1] >= b else ""
+
+
+def _comment_blocks(content: str, language: str | None) -> list[tuple[int, int]]:
+    if language:  # what only looks like a comment in a string is none
+        return mask(language, content)[1]
+    return [m.span() for m in _BLOCK.finditer(content)]
+
+
+def note_evidence(content: str, path: str = "") -> tuple[float, float]:
     """Evidence for generated and vendored from the notes in comments."""
     gen = vend = 0.0
-    if not any(x in content for x in ("//", "#", "/*", "--", "<!--", ";", "%", "*", "=begin")):
+    low = content.lower()
+    hints = tuple(w for w in _HINTS if w in low)
+    if not hints or not any(x in content for x in ("//", "#", "/*", "--", ";", "%", "*", "=begin")):
         return gen, vend
-    for line in content.split("\n"):
-        m = _COMMENT.match(line) if len(line) <= 400 else None  # a note is a short line
-        text = m.group(1) if m else ""
-        if 8 <= len(text) <= 300:
-            if not gen and GENERATED_NOTE.search(text):
+    done, blocks = -1, None
+    for hint in _hint_pattern(hints).finditer(content):
+        if hint.start() < done:
+            continue  # on a line already read
+        a = content.rfind("\n", max(0, done), hint.start()) + 1
+        a = a or max(0, done)
+        done = content.find("\n", hint.start())
+        done = len(content) if done < 0 else done
+        if blocks is None:
+            blocks = _comment_blocks(content, EXTENSIONS.get(path.rpartition(".")[2])) if any(x in content for x in ("/*", "<!--", "=begin")) else []
+        text = _comment_text(content, a, done, blocks)
+        for i in range(0, max(1, len(text) - NOTE), NOTE):
+            if not gen and GENERATED_NOTE.search(text, i, i + 2 * NOTE):
                 gen = 9.0
-            if not vend and VENDOR_NOTE.search(text):
+            if not vend and VENDOR_NOTE.search(text, i, i + 2 * NOTE):
                 vend = 9.0
+        if gen and vend:
+            break
     return gen, vend
 
 
 def shape_evidence(content: str, name: str) -> tuple[float, float, float]:
     """Evidence for generated, minified and blob from the shape of the content."""
     n = len(content)
-    if n < 200 or name.endswith(_PROSE):
+    if n < 48 or name.endswith(_PROSE):
         return 0.0, 0.0, 0.0
     config = name.endswith(_CONFIG)
     lines = [x for x in content.split("\n") if x.strip()]
@@ -193,7 +247,7 @@ def file_evidence(path: str, content: str | None, likeness: float) -> list[float
     content = (content or "").replace("\r\n", "\n")
     e = [PRIOR, 0.0, 0.0, 0.0, 0.0]
     g, m, v = name_evidence(path)
-    ng, nv = note_evidence(content)
+    ng, nv = note_evidence(content, path)
     sg, sm, sb = shape_evidence(content, path.lower())
     e[GEN] = max(g, ng) + (sg if not (g or ng) else 0.5 * sg)
     e[MIN] = max(m, sm)
@@ -206,9 +260,12 @@ def _evidence(runs: np.ndarray, owners: np.ndarray, sizes: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
+            given = pdf["likeness"].fillna(0.0).tolist() if "likeness" in pdf else None
             for path, content in zip(pdf["path"], pdf["content"]):
                 like = 0.0
-                if content and len(runs):
+                if given is not None:
+                    like = given[len(out)]
+                elif content and len(runs):
                     own = token_runs(content)
                     i = np.searchsorted(runs, own, side="left")
                     j = np.searchsorted(runs, own, side="right")
@@ -276,48 +333,95 @@ def _distribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _frame({"dir": pdf["dir"]}, b=pdf[_names("b")].to_numpy() + _down(DIR_DIR, cavity))
 
 
+def _labels(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Handwritten if that is likelier than all the rest together, else the likeliest of the rest; and how likely."""
+    p = np.exp(x - _log_sum(x, axis=1)[:, None])
+    hand = p[:, HAND] >= 0.5
+    return np.array(LABELS, dtype=object)[np.where(hand, HAND, 1 + p[:, 1:].argmax(axis=1))], np.where(hand, p[:, HAND], 1 - p[:, HAND])
+
+
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Handwritten if that is likelier than all the rest together, else the likeliest of the rest."""
     for pdf in batches:
         if len(pdf):
-            x = pdf[_names("e")].to_numpy() + _down(DIR_FILE, pdf[_names("b")].to_numpy() - pdf[_names("u")].to_numpy())
-            p = np.exp(x - _log_sum(x, axis=1)[:, None])
-            hand = p[:, HAND] >= 0.5
-            label = np.array(LABELS, dtype=object)[np.where(hand, HAND, 1 + p[:, 1:].argmax(axis=1))]
-            yield pd.DataFrame({"rel_path": pdf["path"], "label": label, "confidence": np.where(hand, p[:, HAND], 1 - p[:, HAND])})
+            e = pdf[_names("e")].to_numpy()
+            alone, _ = _labels(e)
+            label, confidence = _labels(e + _down(DIR_FILE, pdf[_names("b")].to_numpy() - pdf[_names("u")].to_numpy()))
+            yield pd.DataFrame({"rel_path": pdf["path"], "label": label, "confidence": confidence, "alone": alone})
 
 
 def label_files(files: DataFrame, reference: DataFrame | None = None, *, path_col: str = "rel_path", content_col: str = "content", reference_col: str = "content", reference_limit: int = REFERENCE_LIMIT) -> DataFrame:
-    """Rows ``(rel_path, label, confidence)`` of all distinct files; confidence is the marginal of
-    being handwritten, or of not being so."""
+    """Rows ``(rel_path, label, confidence, alone)`` of all distinct files; confidence is the marginal of
+    being handwritten, or of not being so; ``alone`` is the label that the file's own evidence would give."""
     rows = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).filter(F.col("path").isNotNull())
-    evidence = spread(rows, "path").mapInPandas(_evidence(*_reference(reference, reference_col, reference_limit)), "path string, dir string, depth int, " + _columns("e", "u"))
+    known = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    if reference is not None:
+        sets = written(_reference_sets(reference, reference_col), "reference")
+        total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if total > reference_limit:
+            rows = _likeness(rows.distinct(), sets)
+        else:
+            known = _collected(sets)
+    evidence = spread(rows, "path").mapInPandas(_evidence(*known), "path string, dir string, depth int, " + _columns("e", "u"))
     return _propagate(written(evidence.distinct(), "evidence"))
 
 
-def _reference(reference: DataFrame | None, col: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    if reference is None:
-        return none
+def _run_rows(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [token_runs(x) if x else np.empty(0, dtype=np.uint64) for x in pdf["content"]]
+
+
+def _reference_sets(reference: DataFrame, col: str) -> DataFrame:
+    """Rows ``(r, n, mh, runs)`` of the distinct reference texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"runs": [token_runs(x).view(np.int64) for x in pdf["content"]]})
+            sets = [(k, s) for k, s in zip(pdf["k"], _run_rows(pdf)) if len(s)]
+            if sets:
+                mins = min_hashes([s for _, s in sets], LIKENESS_HASHES).view(np.int64)
+                yield pd.DataFrame({"r": [k for k, _ in sets], "n": [len(s) for _, s in sets], "mh": list(mins), "runs": [s.view(np.int64) for _, s in sets]})
 
     texts = reference.select(F.col(col).alias("content")).filter(F.col("content") != "").distinct()
-    sets = texts.mapInPandas(run, "runs array<long>").filter(F.size("runs") > 0)
-    total = sets.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
-    if total > limit:
-        raise ValueError(f"the reference collection has {total} runs; it is sent to every worker and may have {limit}")
-    got = [np.asarray(r[0], dtype=np.int64).view(np.uint64) for r in sets.collect()]
+    return texts.select(F.xxhash64("content").alias("k"), "content").mapInPandas(run, "r long, n long, mh array<long>, runs array<long>")
+
+
+def _collected(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs in order, their owners, and the sizes of the sets; the caller has checked how many there are."""
+    got = [np.asarray(r[0], dtype=np.int64).view(np.uint64) for r in sets.select("runs").collect()]
     if not got:
-        return none
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     runs = np.concatenate(got)
     owners = np.repeat(np.arange(len(got)), [len(x) for x in got])
     order = np.argsort(runs, kind="stable")
     return runs[order], owners[order], np.array([len(x) for x in got])
 
 
+def _likeness(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with the ``likeness`` of each file to the reference text most like it."""
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [(k, s) for k, s in zip(pdf["f"], _run_rows(pdf)) if len(s)]
+            if sets:
+                mins = min_hashes([s for _, s in sets], LIKENESS_HASHES).view(np.int64)
+                yield pd.DataFrame({"f": [k for k, _ in sets], "mh": list(mins)})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            like = []
+            for own, other in zip(_run_rows(pdf), pdf["runs"]):
+                other = np.asarray(other, dtype=np.int64).view(np.uint64)
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                like.append(common / (len(own) + len(other) - common))
+            yield pd.DataFrame({"f": pdf["f"], "likeness": like})
+
+    keyed = rows.withColumn("f", F.xxhash64("path", "content"))
+    a = spread(keyed.select("f", "content").filter(F.col("content") != ""), "f").mapInPandas(marks, "f long, mh array<long>").select("f", F.posexplode("mh").alias("j", "h"))
+    b = sets.select("r", F.posexplode("mh").alias("j", "h"))
+    pairs = a.join(b, ["j", "h"]).select("f", "r").distinct()
+    met = pairs.join(keyed.select("f", "content"), "f").join(sets.select("r", "runs"), "r").select("f", "content", "runs")
+    best = met.mapInPandas(compare, "f long, likeness double").groupBy("f").agg(F.max("likeness").alias("likeness"))
+    return keyed.join(best, "f", "left").select("path", "content", "likeness")
+
+
 def _propagate(files: DataFrame) -> DataFrame:
     """The passes over the trees, from the deepest directories to the roots and back."""
     held = written(files.groupBy("dir", "depth").agg(*[F.sum(f"u{i}").alias(f"s{i}") for i in range(5)]), "held")
@@ -337,7 +441,7 @@ def _propagate(files: DataFrame) -> DataFrame:
     dirs = full[0]
     for x in full[1:]:
         dirs = dirs.unionByName(x)
-    return files.drop("depth").join(dirs, "dir").mapInPandas(_decide, "rel_path string, label string, confidence double")
+    return files.drop("depth").join(dirs, "dir").mapInPandas(_decide, "rel_path string, label string, confidence double, alone string")
 
 
 def not_handwritten(labels: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def test_talk_about_it(note):
     assert label("a.py", note + "\n" + CODE) == "handwritten"
 
 
-@pytest.mark.parametrize("note", ["# Vendored from libfoo 1.2; keep in sync with upstream.", "// Copied verbatim from libfoo at tag v1.", "# Third-party code: libfoo 1.6, local patches", "# Imported snapshot of libfoo (1.2), do not reformat"])
+@pytest.mark.parametrize("note", ["# Vendored from libfoo 1.2; keep in sync with upstream.", "// Copied verbatim from libfoo at tag v1.", "# Third-party code: libfoo 1.6, local patches", "# Imported snapshot of libfoo (1.2), do not reformat", "// libfoo v1.2.3 | redistributed under its own licence"])
 def test_vendor_notes(note):
     assert label("a.py", note + "\n" + CODE) == "vendored"
 
@@ -87,6 +87,27 @@ def test_directories_and_likeness(spark):
     got = {r.rel_path for r in not_handwritten(label_files(df, ref)).collect()}
     assert got == {"r/third_party/x/lib/deep/b.py", "r/__generated__/d.py", "r/src/copy.py", "r\\node_modules\\q\\e.js", "r/src/a.py"}
     assert label_files(df.limit(0), ref).count() == 0
-    with pytest.raises(ValueError):
-        label_files(df, ref, reference_limit=3).count()
+    # beyond the limit the reference is joined, with the same result
+    assert {tuple(r) for r in label_files(df, ref, reference_limit=3).collect()} == {tuple(r) for r in label_files(df, ref).collect()}
     assert len(token_runs("a b c d")) == 0 and len(token_runs("a b c d e f")) == 2
+
+
+def test_notes_of_any_length():
+    note = "Code generated by x 1.2, all rights kept."
+    for at in (0, 250, 310, 299, 5000, 100_000):
+        assert label("a.py", "# " + "word " * (at // 5) + note + " more words" * 60 + "\n" + CODE) == "generated"
+    assert label("a.c", "/*\n   Something first.\n   This file was automatically generated by x, do not edit.\n*/\nint a;\n" * 2) == "generated"
+    assert label("a.rb", "=begin\n" + note + "\n=end\nx = 1\n") == "generated"
+    assert label("a.html", "<!--\n  " + note + "\n-->\n<p>") == "generated"
+    assert label("a.py", 'GLOB = "src/**/x"\nemit("""\n' + note + '\n""")\nOTHER = "*/"\n') == "handwritten"
+    assert label("a.js", "// generated by " * 60_000) == "handwritten" and label("a.js", "edit the x " * 100_000) == "handwritten"
+
+
+def test_small_files_have_a_shape():
+    assert label("a.py", "K = '" + "0f3a9bc7d1e5" * 9 + "'\n") == "blob"
+
+
+def test_what_propagation_changes(spark):
+    files = [("r/node_modules/a/b.py", CODE), ("r/src/c.py", CODE), ("r/src/d.py", "# @generated by x\n" + CODE)]
+    got = {r.rel_path: (r.alone, r.label) for r in label_files(spark.createDataFrame(files, "rel_path string, content string")).collect()}
+    assert got == {"r/node_modules/a/b.py": ("handwritten", "vendored"), "r/src/c.py": ("handwritten", "handwritten"), "r/src/d.py": ("generated", "generated")}
