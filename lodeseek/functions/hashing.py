@@ -122,16 +122,21 @@ def truncated(vectors: np.ndarray, dim: int) -> np.ndarray:
     return np.divide(part, norm, out=np.zeros_like(part), where=norm > 0)
 
 
-def embed_column(df: DataFrame, embedder: Embedder, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows ``(id, embedding)``, in Arrow batches; a null text has the zero vector."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+def embed_rows(df: DataFrame, embedder: Embedder, *, keep: list[str], text_col: str) -> DataFrame:
+    """Rows ``(*keep, embedding)``, in Arrow batches; a null text has the zero vector."""
+    rows = df.select(*keep, F.col(text_col).alias("_text"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "embedding": list(embedder.embed(list(pdf["text"])).astype(np.float32))})
+            yield pdf[keep].assign(embedding=list(embedder.embed(list(pdf["_text"])).astype(np.float32)))
+
+    return rows.mapInPandas(run, f"{kinds}, embedding array<float>")
 
-    return rows.mapInPandas(run, f"id {kind}, embedding array<float>")
+
+def embed_column(df: DataFrame, embedder: Embedder, *, id_col: str, text_col: str) -> DataFrame:
+    """Rows ``(id, embedding)``."""
+    return embed_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), embedder, keep=["id"], text_col="text")
 
 
 def choose_embedder(requested: str | None, model_path: str | None, path_exists) -> tuple[str, str | None]:

@@ -118,7 +118,8 @@ def hydrate(ranked: DataFrame, chunks: DataFrame, symbols: DataFrame | None = No
     body = chunks.select(F.col("id").alias("chunk_id"), "file_path", "start_line", "end_line", F.coalesce("kind", F.lit("")).alias("kind"), snippet(F.col("body")).alias("snippet"))
     out = ranked.join(body, "chunk_id")
     if symbols is not None:
-        one = symbols.groupBy("chunk_id").agg(F.min_by("signature", F.struct("line", "signature")).alias("signature"))
+        own = symbols.join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        one = own.groupBy("chunk_id").agg(F.min_by("signature", F.struct("line", "signature")).alias("signature"))
         out = out.join(one, "chunk_id", "left")
     else:
         out = out.withColumn("signature", F.lit(None).cast("string"))

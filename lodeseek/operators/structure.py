@@ -330,25 +330,34 @@ def chunk_source(language: str, content: str) -> list[tuple[int, int, str, str,
     return sorted(out, key=lambda x: (x[0], x[1]))
 
 
-RECORDS = "record string, file_path string, language string, ord int, start_line int, end_line int, kind string, name string, signature string, body string, line int"
+RECORDS = "record string, repo_id string, file_path string, language string, ord int, start_line int, end_line int, kind string, name string, signature string, body string, line int"
+
+
+def _repo(files: DataFrame):
+    return F.col("repo_id") if "repo_id" in files.columns else F.lit(None).cast("string").alias("repo_id")
 
 
 def analyse(files: DataFrame, *, path_col: str = "rel_path", content_col: str = "content") -> DataFrame:
-    """One pass over files of a known language; rows of ``record`` chunk, symbol, import or export."""
-    rows = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).dropna().withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull()).dropDuplicates(["path"])
+    """One pass over files of a known language; rows of ``record`` chunk, symbol, import or export.
+
+    Equal rows count once. A path with several contents gives the records of each, and so do equal paths of two
+    repositories (``repo_id``, null if there is no such column)."""
+    rows = files.select(_repo(files), F.col(path_col).alias("path"), F.col(content_col).alias("content")).dropna(subset=["path", "content"])
+    rows = rows.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull()).distinct()
     cols = [x.split()[0] for x in RECORDS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for path, content, language in zip(pdf["path"], pdf["content"], pdf["language"]):
+            for repo, path, content, language in zip(pdf["repo_id"], pdf["path"], pdf["content"], pdf["language"]):
+                at = (repo, path, language)
                 for k, (a, b, kind, body, s) in enumerate(chunk_source(language, content)):
-                    out.append(("chunk", path, language, k, a, b, kind, s.name if s else None, s.signature if s else None, body, a))
+                    out.append(("chunk", *at, k, a, b, kind, s.name if s else None, s.signature if s else None, body, a))
                     if s:
-                        out.append(("symbol", path, language, k, a, b, s.kind, s.name, s.signature, None, s.start))
+                        out.append(("symbol", *at, k, a, b, s.kind, s.name, s.signature, None, s.start))
                 imports, exports = imports_exports(language, content.replace("\r\n", "\n"))
-                out += [("import", path, language, k, None, None, kind, source, None, None, at) for k, (source, kind, at) in enumerate(imports)]
-                out += [("export", path, language, k, None, None, None, detail, None, None, at) for k, (detail, at) in enumerate(exports)]
+                out += [("import", *at, k, None, None, kind, source, None, None, line) for k, (source, kind, line) in enumerate(imports)]
+                out += [("export", *at, k, None, None, None, detail, None, None, line) for k, (detail, line) in enumerate(exports)]
             df = pd.DataFrame(out, columns=cols)
             for c in ("ord", "start_line", "end_line", "line"):
                 df[c] = df[c].astype("Int32")
@@ -358,7 +367,8 @@ def analyse(files: DataFrame, *, path_col: str = "rel_path", content_col: str =
 
 
 def line_windows(files: DataFrame, *, path_col: str = "rel_path", content_col: str = "content", size: int = WINDOW_LINES, overlap: int = WINDOW_OVERLAP) -> DataFrame:
-    """Chunks ``(id, file_path, start_line, end_line, kind, body)`` of ``size`` lines that share ``overlap``.
+    """Chunks ``(id, file_path, start_line, end_line, kind, body)`` of ``size`` lines that share ``overlap``; with
+    ``repo_id`` in front if the files have one.
 
     Native: the lines are an array, the starts a sequence. The last window covers the tail; an empty
     file has none; CRLF counts as a line feed and a final one opens no line.
@@ -366,17 +376,19 @@ def line_windows(files: DataFrame, *, path_col: str = "rel_path", content_col: s
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     lines = F.split(F.regexp_replace(F.regexp_replace(F.col(content_col), "\r\n", "\n"), r"\n\z", ""), "\n")
-    rows = files.filter(F.col(content_col) != "").select(F.col(path_col).alias("file_path"), lines.alias("lines")).withColumn("n", F.size("lines"))
+    repo = [F.col("repo_id")] if "repo_id" in files.columns else []
+    rows = files.filter(F.col(content_col) != "").select(*repo, F.col(path_col).alias("file_path"), lines.alias("lines")).withColumn("n", F.size("lines"))
     last = F.greatest(F.lit(1), F.col("n") - overlap)
     starts = rows.select("*", F.explode(F.sequence(F.lit(1), last, F.lit(size - overlap))).alias("start_line"))
     end = F.least(F.col("n"), F.col("start_line") + size - 1)
     body = F.array_join(F.slice("lines", F.col("start_line"), F.lit(size)), "\n")
-    return starts.select(chunk_id(F.col("file_path"), F.col("start_line"), end).alias("id"), "file_path", "start_line", end.alias("end_line"), F.lit("window").alias("kind"), body.alias("body"))
+    return starts.select(*repo, chunk_id(F.col("file_path"), F.col("start_line"), end).alias("id"), "file_path", "start_line", end.alias("end_line"), F.lit("window").alias("kind"), body.alias("body"))
 
 
 def chunk_files(files: DataFrame, *, path_col: str = "rel_path", content_col: str = "content") -> DataFrame:
-    """Chunks of all files: by structure where the language is known, by windows elsewhere."""
+    """Chunks ``(repo_id, id, file_path, start_line, end_line, kind, body)`` of all distinct files: by structure where
+    the language is known, by windows elsewhere."""
     parsed = analyse(files, path_col=path_col, content_col=content_col).filter(F.col("record") == "chunk")
-    known = parsed.select(chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("id"), "file_path", "start_line", "end_line", "kind", "body")
-    rest = files.dropDuplicates([path_col]).filter(language_of(F.col(path_col)).isNull())
-    return known.unionByName(line_windows(rest, path_col=path_col, content_col=content_col))
+    known = parsed.select("repo_id", chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("id"), "file_path", "start_line", "end_line", "kind", "body")
+    rest = files.select(_repo(files), F.col(path_col).alias("rel_path"), F.col(content_col).alias("content")).filter(language_of(F.col("rel_path")).isNull()).distinct()
+    return known.unionByName(line_windows(rest))

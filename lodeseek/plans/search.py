@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lodeseek.functions.hashing import Embedder, embed_column
 from lodeseek.functions.text import adaptive_weights, sane_weight
 from lodeseek.operators.rerank import diversify, drop_overlaps, drop_same_content, hydrate, renumber
-from lodeseek.operators.retrieval import DEFAULT_K, RRF_K, bm25_topk, boost_imports, knn, rrf
+from lodeseek.operators.retrieval import DEFAULT_K, RRF_K, bm25_topk, boost_imports, corpus_stats, knn, rrf
+from lodeseek.sources.durable import written
+from lodeseek.sources.store import corpus_counts
 
 
 @dataclasses.dataclass(frozen=True)
@@ -26,8 +28,25 @@ class Corpus:
     exports: DataFrame | None = None
 
     @staticmethod
-    def of(store) -> Corpus:
-        return Corpus(**{n: store.table(n) for n in ("chunks", "postings", "stats", "vectors", "symbols", "imports", "exports")})
+    def of(store, embedder: Embedder, repo_id: str | None = None) -> Corpus:
+        """The corpus of a store that was built with ``embedder``: of one repository, or of all, whose ids and paths
+        then begin with their repository. Anything else than such a store is refused."""
+        meta = store.verify(embedder)
+        several = repo_id is None and store.table("files").select("repo_id").distinct().limit(2).count() > 1
+
+        def own(name: str) -> DataFrame:
+            t = store.table(name)
+            if repo_id is not None:
+                t = t.filter(F.col("repo_id") == repo_id)
+            elif several:
+                for c in ("id", "chunk_id", "file_path"):
+                    if c in t.columns:
+                        t = t.withColumn(c, F.concat_ws("/", "repo_id", c))
+            return t.drop("repo_id")
+
+        # one repository has no counts of its own: they are made of its chunks
+        stats = corpus_stats(own("chunks"), most_bytes=meta["most_bytes"]) if repo_id is not None else corpus_counts(store, meta)
+        return Corpus(stats=stats, **{n: own(n) for n in ("chunks", "postings", "vectors", "symbols", "imports", "exports")})
 
 
 @dataclasses.dataclass(frozen=True)
@@ -66,12 +85,16 @@ def ranked(queries: DataFrame, corpus: Corpus, embedder: Embedder, knobs: Knobs
 
 
 def search(queries: DataFrame, corpus: Corpus, embedder: Embedder, knobs: Knobs = Knobs()) -> DataFrame:
-    """Hydrated hits of every query, at most ``k`` and fewer where near copies are dropped after the cut."""
-    fused = ranked(queries, corpus, embedder, knobs)
-    places = corpus.chunks.select(F.col("id").alias("chunk_id"), F.col("file_path").alias("file"), "start_line", "end_line")
+    """Hydrated hits of every query, at most ``k`` and fewer where near copies are dropped after the cut.
+
+    The fused candidates, at most twice the depth for a query, and the hydrated hits are written once: each is used
+    twice below, and what they are made of must not be made again."""
     cols = ["query_id", "chunk_id", "score", "rank"]
-    kept = drop_overlaps(fused.select(*cols).join(places, "chunk_id", "left")).select(*cols)
+    fused = written(ranked(queries, corpus, embedder, knobs).select(*cols), "fused")
+    near = fused.select("chunk_id").distinct()
+    places = corpus.chunks.select(F.col("id").alias("chunk_id"), F.col("file_path").alias("file"), "start_line", "end_line").join(near, "chunk_id", "left_semi")
+    kept = drop_overlaps(fused.join(places, "chunk_id", "left")).select(*cols)
     if knobs.diversify:
-        kept = diversify(kept, corpus.vectors)
-    first = renumber(kept).filter(F.col("rank") <= knobs.k)
-    return drop_same_content(hydrate(first, corpus.chunks, corpus.symbols, corpus.imports, corpus.exports))
+        kept = diversify(kept, corpus.vectors.join(near.withColumnRenamed("chunk_id", "id"), "id", "left_semi"))
+    first = written(renumber(kept).filter(F.col("rank") <= knobs.k), "first")
+    return drop_same_content(written(hydrate(first, corpus.chunks, corpus.symbols, corpus.imports, corpus.exports), "hits"))

@@ -1,9 +1,16 @@
-"""The index on disk: versioned Parquet snapshots, published by replacing one small pointer file.
-
-A build writes a complete new version aside and then swaps the pointer, so readers never see half of
-one, an interrupted build leaves the old version in force, and a failed first build leaves none.
-Tables of a version are sorted by the column they are looked up by, so that Parquet's statistics
-prune row groups. ``meta.json`` carries schema version and embedder; both are checked on opening.
+"""The index on disk: tables in buckets of files, and versions that say which directory holds which bucket.
+
+A file belongs to the bucket of the hash of its repository and path, and so does all that is derived from
+it: chunks, vectors, postings, symbols, imports, exports and the counts that the corpus statistics are
+summed from. A reindex rewrites the buckets that hold a file that is new, changed or gone; the others stay
+where an earlier version wrote them. A version is one small manifest, published by renaming a pointer
+last, so readers never see half of one, an interrupted build leaves the old version in force, and a failed
+first build leaves none. ``prune`` deletes directories that the current version doesn't name.
+
+Several repositories share a store; rows carry ``repo_id`` and are joined on (repo_id, path), and a
+reindex touches no repository but those it is given. Within a bucket tables are sorted by the column they
+are looked up by, so that Parquet's statistics prune row groups. The manifest carries schema version,
+embedder and the length to which bodies are indexed; all are checked on opening.
 """
 
 from __future__ import annotations
@@ -11,37 +18,31 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import threading
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.functions.hashing import Embedder, embed_column
-from lodeseek.functions.text import chunk_id, index_text
-from lodeseek.operators.delta import changes
-from lodeseek.operators.retrieval import corpus_stats, postings
+from lodeseek.functions.hashing import Embedder, embed_rows
+from lodeseek.functions.text import chunk_id, code_tokens, index_text, language_of
+from lodeseek.operators.delta import changes, latest
+from lodeseek.operators.retrieval import postings
 from lodeseek.operators.structure import analyse, line_windows
-from lodeseek.functions.text import language_of
+from lodeseek.sources import files as fs
 
-SCHEMA_VERSION = 1
-SORTED_BY = {"chunks": "id", "vectors": "id", "postings": "term", "symbols": "chunk_id", "imports": "file_path", "exports": "file_path", "files": "path", "stats": None}
+SCHEMA_VERSION = 2
+#: The column a table is sorted by within its buckets.
+SORTED_BY = {"chunks": "id", "vectors": "id", "postings": "term", "symbols": "chunk_id", "imports": "file_path", "exports": "file_path", "files": "path", "counts": "n"}
+#: Files of a bucket when an index is first built, and the bounds of the number of buckets.
+FILES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 2000, 4, 4096
 
 
 class StoreError(RuntimeError):
     pass
 
 
-def _replace(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    fd, tmp = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(fd, "w") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(tmp, path)
-
-
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -51,100 +52,236 @@ class Store:
         return f"{self.path}/CURRENT"
 
     def exists(self) -> bool:
-        return os.path.exists(self.pointer)
+        return fs.exists(self.spark, self.pointer)
 
     def version(self) -> str:
-        try:
-            with open(self.pointer) as f:
-                return f.read().strip()
-        except OSError:
-            raise StoreError(f"no index at {self.path}; run a reindex") from None
+        name = fs.read_text(self.spark, self.pointer)
+        if name is None:
+            raise StoreError(f"no index at {self.path}; run a reindex")
+        return name.strip()
 
     def meta(self) -> dict:
-        with open(f"{self.path}/{self.version()}/meta.json") as f:
-            return json.load(f)
+        """The manifest of the current version."""
+        version = self.version()
+        found = fs.read_json(self.spark, f"{self.path}/{version}/manifest.json") or fs.read_json(self.spark, f"{self.path}/{version}/meta.json")
+        if found is None:
+            raise StoreError(f"version {version} of the index at {self.path} has no manifest; run a reindex with force")
+        return found
 
     def verify(self, embedder: Embedder | None = None) -> dict:
-        """Refuses a newer schema, and an embedder other than the one that is stamped (none stamped is accepted)."""
+        """Refuses another schema, and an embedder other than the one that is stamped (none stamped is accepted)."""
         meta = self.meta()
-        if meta.get("schema_version", 0) > SCHEMA_VERSION:
-            raise StoreError(f"the index has schema {meta['schema_version']}, this is {SCHEMA_VERSION}; run a reindex with force")
+        schema = meta.get("schema_version", 0)
+        if schema > SCHEMA_VERSION:
+            raise StoreError(f"the index has schema {schema}, this is {SCHEMA_VERSION}; run a reindex with force")
+        if schema < SCHEMA_VERSION:
+            raise StoreError(f"the index has schema {schema}, this is {SCHEMA_VERSION}; migrate it or run a reindex with force")
         if embedder is not None and meta.get("embedder_id") is not None and (meta["embedder_id"], meta["embedder_dim"]) != (embedder.id, embedder.dim):
             raise StoreError(f"the index was built with {meta['embedder_id']}/{meta['embedder_dim']}, not {embedder.id}/{embedder.dim}; run a reindex with force")
         return meta
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version()}/{name}")
+    def bucket(self, repo: Column, path: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(repo, path), F.lit(buckets)).cast("int")
+
+    def table(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table of the current version, or those of its ``buckets``."""
+        return self._read(self.meta(), name, buckets)
 
-    def publish(self, tables: dict[str, DataFrame], embedder: Embedder) -> str:
+    def _read(self, meta: dict, name: str, buckets: set[int] | None = None) -> DataFrame:
+        dirs = sorted({d for b, d in meta["tables"][name]["buckets"].items() if buckets is None or int(b) in buckets})
+        schema = meta["tables"][name]["schema"]
+        if not dirs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{d}" for d in dirs])
+
+    def describe(self) -> DataFrame:
+        """One row for each column of each table: its type, and the number of buckets and of directories."""
+        meta = self.meta()
+        rows = []
+        for name, t in sorted(meta["tables"].items()):
+            for i, field in enumerate(self._read(meta, name).schema):
+                rows.append((name, i, field.name, field.dataType.simpleString(), len(t["buckets"])))
+        return self.spark.createDataFrame(rows, "table string, ord int, column string, type string, buckets int")
+
+    def publish(self, tables: dict[str, DataFrame], embedder: Embedder, buckets: int, *, touched: set[int] | None = None, most_bytes: int | None = None) -> str:
+        """Writes the rows of ``tables``, each with its ``bucket``, and makes them the current version. With ``touched``
+        only those buckets are replaced, and the others are those of the version before."""
         version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        base = f"{self.path}/{version}"
+        before = self.meta()["tables"] if touched is not None else {}
+        listed = {}
         for name, df in tables.items():
-            key = SORTED_BY.get(name)
-            (df.sortWithinPartitions(key) if key else df).write.parquet(f"{base}/{name}")
-        _replace(f"{base}/meta.json", json.dumps({"schema_version": SCHEMA_VERSION, "embedder_id": embedder.id, "embedder_dim": embedder.dim}))
-        _replace(self.pointer, version)
+            at = f"{version}/{name}"
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "bucket")
+            sized = df.repartition(min(buckets, len(touched) if touched else buckets), "bucket")
+            sized.sortWithinPartitions("bucket", SORTED_BY[name]).write.partitionBy("bucket").parquet(f"{self.path}/{at}")
+            kept = {b: d for b, d in before.get(name, {"buckets": {}})["buckets"].items() if int(b) not in (touched or ())} if touched is not None else {}
+            made = {str(b): f"{at}/bucket={b}" for b in (touched if touched is not None else range(buckets)) if fs.exists(self.spark, f"{self.path}/{at}/bucket={b}")}
+            listed[name] = {"schema": schema, "buckets": kept | made}
+        manifest = {"schema_version": SCHEMA_VERSION, "embedder_id": embedder.id, "embedder_dim": embedder.dim, "buckets": buckets, "most_bytes": most_bytes, "tables": listed}
+        fs.replace_text(self.spark, f"{self.path}/{version}/manifest.json", json.dumps(manifest))
+        fs.replace_text(self.spark, self.pointer, version)
         return version
 
-
-def _built(files: DataFrame, embedder: Embedder) -> dict[str, DataFrame]:
-    """Tables of a set of files, without the statistics that need all of them."""
+    def prune(self) -> int:
+        """Deletes what no bucket of the current version lies in; readers of older versions must be gone."""
+        version, meta = self.version(), self.meta()
+        used = {d for t in meta["tables"].values() for d in t["buckets"].values()}
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        gone = 0
+        for old in system.listStatus(p):
+            name = old.getPath().getName()
+            if not name.startswith("v-") or name == version:
+                continue
+            held = {d for d in used if d.startswith(f"{name}/")}
+            if not held:
+                system.delete(old.getPath(), True)
+                gone += 1
+                continue
+            for t in system.listStatus(old.getPath()):
+                for b in system.listStatus(t.getPath()) if t.isDirectory() else ():
+                    if b.isDirectory() and f"{name}/{t.getPath().getName()}/{b.getPath().getName()}" not in held:
+                        system.delete(b.getPath(), True)
+                        gone += 1
+        return gone
+
+
+def corpus_counts(store: Store, meta: dict | None = None) -> DataFrame:
+    """One row ``(n, total, avgdl)``: the buckets' counts, summed."""
+    counts = store._read(meta or store.meta(), "counts")
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).withColumn("avgdl", F.try_divide("total", "n"))
+
+
+def _built(files: DataFrame) -> dict[str, DataFrame]:
+    """What is read off the files themselves. All rows carry ``repo_id`` and ``file_path``."""
     records = analyse(files)
     ids = chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"))
-    known = records.filter(F.col("record") == "chunk").select(ids.alias("id"), "file_path", "start_line", "end_line", "kind", "body")
-    chunks = known.unionByName(line_windows(files.filter(language_of(F.col("rel_path")).isNull())))
+    place = ["repo_id", "file_path"]
+    known = records.filter(F.col("record") == "chunk").select(*place, ids.alias("id"), "start_line", "end_line", "kind", "body")
+    rest = line_windows(files.filter(language_of(F.col("rel_path")).isNull())).select(*place, "id", "start_line", "end_line", "kind", "body")
     return {
-        "chunks": chunks,
-        "symbols": records.filter(F.col("record") == "symbol").select(ids.alias("chunk_id"), "name", "signature", "kind", "line", "file_path"),
-        "imports": records.filter(F.col("record") == "import").select("file_path", "ord", F.col("name").alias("source"), "kind", "line"),
-        "exports": records.filter(F.col("record") == "export").select("file_path", "ord", F.col("name").alias("detail"), "line"),
+        "chunks": known.unionByName(rest),
+        "symbols": records.filter(F.col("record") == "symbol").select(*place, ids.alias("chunk_id"), "name", "signature", "kind", "line"),
+        "imports": records.filter(F.col("record") == "import").select(*place, "ord", F.col("name").alias("source"), "kind", "line"),
+        "exports": records.filter(F.col("record") == "export").select(*place, "ord", F.col("name").alias("detail"), "line"),
         "files": files.select("repo_id", F.col("rel_path").alias("path"), F.sha2("content", 256).alias("content_hash"), "mtime", "language"),
     }
 
 
-def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool = False, most_bytes: int | None = None) -> dict:
+def _derived(chunks: DataFrame, embedder: Embedder, most_bytes: int | None) -> dict[str, DataFrame]:
+    """What is made of chunks ``(bucket, repo_id, file_path, id, body)``: vectors, postings, and counts by bucket."""
+    place = ["bucket", "repo_id", "file_path", "id"]
+    vectors = embed_rows(chunks.select(*place, index_text(F.col("body"), most_bytes).alias("text")), embedder, keep=place, text_col="text")
+    terms = postings(chunks.select(F.struct(*place).alias("at"), "body"), id_col="at", most_bytes=most_bytes)
+    length = F.greatest(F.coalesce(F.size(code_tokens(index_text(F.col("body"), most_bytes))), F.lit(0)), F.lit(0)).cast("long")
+    return {
+        "vectors": vectors,
+        "postings": terms.select("chunk_id.bucket", "chunk_id.repo_id", "chunk_id.file_path", "term", F.col("chunk_id.id").alias("chunk_id"), "tf", "dl"),
+        "counts": chunks.select("bucket", length.alias("dl")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("dl").alias("total")),
+    }
+
+
+def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool = False, most_bytes: int | None = None, buckets: int | None = None, repos: list[str] | None = None) -> dict:
     """Brings the index up to ``files (repo_id, rel_path, content, language, mtime)`` and reports.
 
-    With ``force``, or without an index, everything is built; otherwise only files that are new or
-    whose content differs, while the rows of unchanged files are carried over and those of changed and
-    vanished ones left out. Either way one version is published as a whole. Whole bodies are indexed, or
-    their first ``most_bytes`` bytes (``text.INDEX_BYTES`` in the reference); another value than before needs ``force``.
+    The repositories of ``files``, or the ``repos`` named, are brought up to date; others stay as they are. With
+    ``force``, or without an index, the index is built of ``files`` alone; otherwise only the buckets of files that
+    are new, changed or gone are rewritten. Of rows with one repository and path the one with the latest ``mtime``
+    counts, of those the one with the smallest content. Whole bodies are indexed, or their first ``most_bytes``
+    bytes (``text.INDEX_BYTES`` in the reference); an index keeps to what it was built with.
     """
     began = time.monotonic()
     spark = store.spark
+    files = latest(files.filter(F.col("repo_id").isNotNull() & F.col("rel_path").isNotNull() & F.col("content").isNotNull()), ["repo_id", "rel_path"], F.col("mtime").desc_nulls_last(), F.col("content"))
     full = force or not store.exists()
-    old = None
-    work = files
-    if not full:
-        store.verify(embedder)
+    touched = None
+    if full:
+        n = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, files.count() // FILES_PER_BUCKET))
+        work = files
+    else:
+        meta = store.verify(embedder)
+        n, most_bytes = meta["buckets"], meta["most_bytes"]
         old = store.table("files")
-        diff = changes(files.select("repo_id", F.col("rel_path").alias("path"), F.sha2("content", 256).alias("content_hash")), old)
+        own = spark.createDataFrame([(r,) for r in repos], "repo_id string") if repos else files.select("repo_id").distinct()
+        now = files.select("repo_id", F.col("rel_path").alias("path"), F.sha2("content", 256).alias("content_hash"))
+        diff = changes(now, old.join(own, "repo_id", "left_semi")).filter(F.col("change") != "same")
+        stage = f"{store.path}/stage-{uuid.uuid4().hex}"
+        diff.withColumn("bucket", store.bucket(F.col("repo_id"), F.col("path"), n)).write.parquet(f"{stage}/diff")
+        diff = spark.read.parquet(f"{stage}/diff")
+        # no more rows than there are buckets
+        touched = {r[0] for r in diff.select("bucket").distinct().collect()}
+        if not touched:
+            fs.delete(spark, stage)
+            return {"files_indexed": 0, "chunks": 0, "incremental": True, "buckets_written": 0, "duration_ms": int((time.monotonic() - began) * 1000)}
+        gone = diff.filter(F.col("change").isin("deleted", "changed")).select("repo_id", F.col("path").alias("file_path"))
         work = files.join(diff.filter(F.col("change").isin("new", "changed")).select("repo_id", F.col("path").alias("rel_path")), ["repo_id", "rel_path"], "left_semi")
-        gone = diff.filter(F.col("change").isin("deleted", "changed")).select(F.col("path").alias("file_path"))
-        if diff.filter(F.col("change") != "same").isEmpty():
-            return {"files_indexed": 0, "chunks": 0, "incremental": True, "duration_ms": int((time.monotonic() - began) * 1000)}
-    built = _built(work, embedder)
-    # everything below needs the chunks; they are written once and read again
-    stage = f"{store.path}/stage-{uuid.uuid4().hex}"
-    for name in built:
-        built[name].write.parquet(f"{stage}/{name}")
-    built = {name: spark.read.parquet(f"{stage}/{name}") for name in built}
-    capped = built["chunks"].withColumn("text", index_text(F.col("body"), most_bytes))
-    built["vectors"] = embed_column(capped, embedder, id_col="id", text_col="text")
-    built["postings"] = postings(built["chunks"], most_bytes=most_bytes)
-    indexed, made = built["files"].count(), built["chunks"].count()
+    stage = stage if not full else f"{store.path}/stage-{uuid.uuid4().hex}"
+    # what is derived needs the chunks several times; they are written once and read again
+    made = {}
+    for name, df in _built(work).items():
+        path = F.col("path") if name == "files" else F.col("file_path")
+        df.withColumn("bucket", store.bucket(F.col("repo_id"), path, n)).write.parquet(f"{stage}/{name}")
+        made[name] = spark.read.parquet(f"{stage}/{name}")
+    indexed, chunks = made["files"].count(), made["chunks"].count()
+    made |= _derived(made["chunks"], embedder, most_bytes)
     if not full:
-        lost = store.table("chunks").join(gone, "file_path", "left_semi").select("id")
-        for name, key in (("chunks", "file_path"), ("symbols", "file_path"), ("imports", "file_path"), ("exports", "file_path")):
-            built[name] = store.table(name).join(gone, key, "left_anti").unionByName(built[name])
-        built["files"] = old.join(gone.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(built["files"])
-        built["vectors"] = store.table("vectors").join(lost, "id", "left_anti").unionByName(built["vectors"])
-        built["postings"] = store.table("postings").join(lost.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_anti").unionByName(built["postings"])
-    built["stats"] = corpus_stats(built["chunks"], most_bytes=most_bytes)
-    store.publish(built, embedder)
-    p = spark._jvm.org.apache.hadoop.fs.Path(stage)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return {"files_indexed": indexed, "chunks": made, "incremental": not full, "duration_ms": int((time.monotonic() - began) * 1000)}
+        for name in [x for x in made if x != "counts"]:
+            path = "path" if name == "files" else "file_path"
+            kept = store.table(name, touched)
+            kept = kept.withColumn("bucket", store.bucket(F.col("repo_id"), F.col(path), n)).join(gone.withColumnRenamed("file_path", path), ["repo_id", path], "left_anti")
+            made[name] = kept.unionByName(made[name])
+        made["counts"] = _derived(made["chunks"], embedder, most_bytes)["counts"]
+    store.publish(made, embedder, n, touched=touched, most_bytes=most_bytes)
+    fs.delete(spark, stage)
+    return {"files_indexed": indexed, "chunks": chunks, "incremental": not full, "buckets_written": n if full else len(touched), "duration_ms": int((time.monotonic() - began) * 1000)}
+
+
+def migrate(store: Store, embedder: Embedder, repo_id: str | None = None) -> bool:
+    """Brings an index of schema 1, one unbucketed table each without repositories, to this schema; True if there was
+    anything to do. Rows without a repository, or of files that are listed under none, get ``repo_id``."""
+    meta = store.meta()
+    schema = meta.get("schema_version", 0)
+    if schema == SCHEMA_VERSION:
+        return False
+    if schema > SCHEMA_VERSION:
+        raise StoreError(f"the index has schema {schema}, this is {SCHEMA_VERSION}; run a reindex with force")
+    base = f"{store.path}/{store.version()}"
+    old = {name: store.spark.read.parquet(f"{base}/{name}") for name in ("chunks", "symbols", "imports", "exports", "files")}
+    files = old["files"].withColumn("repo_id", F.coalesce("repo_id", F.lit(repo_id or "")))
+    n = max(LEAST_BUCKETS, min(MOST_BUCKETS, files.count() // FILES_PER_BUCKET))
+    of = files.groupBy(F.col("path").alias("file_path")).agg(F.min("repo_id").alias("repo_id"))
+    made = {"files": files.withColumn("bucket", store.bucket(F.col("repo_id"), F.col("path"), n))}
+    for name in ("chunks", "symbols", "imports", "exports"):
+        rows = old[name].join(of, "file_path", "left").withColumn("repo_id", F.coalesce("repo_id", F.lit(repo_id or "")))
+        made[name] = rows.withColumn("bucket", store.bucket(F.col("repo_id"), F.col("file_path"), n))
+    made |= _derived(made["chunks"], embedder, meta.get("most_bytes"))
+    store.publish(made, embedder, n, most_bytes=meta.get("most_bytes"))
+    return True
+
+
+_BUILDING: dict[str, threading.Lock] = {}
+_GUARD = threading.Lock()
+
+
+def open_or_build(store: Store, files, embedder: Embedder) -> dict:
+    """The manifest of a store that may be searched with the embedder; built of ``files()`` if there is none yet.
+    Of several callers in one driver one builds and the others wait."""
+    with _GUARD:
+        lock = _BUILDING.setdefault(store.path, threading.Lock())
+    with lock:
+        if not store.exists():
+            reindex(store, files(), embedder)
+    return store.verify(embedder)
+
+
+def _replace(path: str, text: str) -> None:
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    fd, tmp = tempfile.mkstemp(dir=os.path.dirname(path))
+    with os.fdopen(fd, "w") as f:
+        f.write(text)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(tmp, path)
 
 
 class Registry:

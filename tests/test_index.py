@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions.hashing import FeatureHash
 from lodeseek.operators.delta import changes, latest, remove, upsert
+from lodeseek.operators.retrieval import bm25_topk
 from lodeseek.plans.search import Corpus, Knobs, resolve_weights, search
 from lodeseek.sources.durable import shared_folder, written
+from lodeseek.sources import files as fs
 from lodeseek.sources.repo import ignored, read_records, walk
-from lodeseek.sources.store import Registry, Store, StoreError, reindex
+from lodeseek.sources.store import Registry, Store, StoreError, corpus_counts, migrate, open_or_build, reindex
 
 
 def put(root, files):
@@ -82,21 +84,21 @@ def test_reindex_and_search(spark, tmp_path):
     rows = lambda t, *c: sorted(map(tuple, store.table(t).select(*c).collect()))
     whole = Store(spark, str(tmp_path / "whole"))
     reindex(whole, files(), e)
-    for t, cols in (("chunks", ("id", "body")), ("postings", ("term", "chunk_id", "tf")), ("symbols", ("chunk_id", "name")), ("imports", ("file_path", "source")), ("files", ("path", "content_hash")), ("stats", ("n", "total"))):
+    for t, cols in (("chunks", ("id", "body")), ("postings", ("term", "chunk_id", "tf")), ("symbols", ("chunk_id", "name")), ("imports", ("file_path", "source")), ("files", ("path", "content_hash")), ("counts", ("n", "total"))):
         assert rows(t, *cols) == sorted(map(tuple, whole.table(t).select(*cols).collect())), t
     assert store.table("vectors").count() == store.table("chunks").count()
 
     q = spark.createDataFrame([(1, "write config"), (2, "ReadAll")], "query_id long, query string")
     for knobs in (Knobs(), Knobs(adaptive=True, diversify=True, boost_imports=True, drop_tokenless=True)):
-        hits = search(q, Corpus.of(store), e, knobs).collect()
+        hits = search(q, Corpus.of(store, e), e, knobs).collect()
         top = {r.query_id: r for r in hits if r["rank"] == 1}
         assert top[2].file_path == "src/new.go" and top[2].signature == "ReadAll()"
         assert any(r.query_id == 1 and r.file_path == "src/b.rs" for r in hits)
     with pytest.raises(StoreError):
         store.verify(FeatureHash("md5"))
-    meta = f"{store.path}/{store.version()}/meta.json"
-    with open(meta, "w") as f:
-        json.dump({"schema_version": 99}, f)
+    with pytest.raises(StoreError):
+        Corpus.of(store, FeatureHash("md5"))
+    fs.replace_text(spark, f"{store.path}/{store.version()}/manifest.json", json.dumps({"schema_version": 99}))
     with pytest.raises(StoreError, match="reindex"):
         store.verify(e)
 
@@ -149,3 +151,108 @@ def test_words_behind_the_first_bytes_are_indexed(spark, tmp_path):
         reindex(store, tree, FeatureHash(), most_bytes=most)
         assert store.table("chunks").filter(F.octet_length("body") > 8192).count() > 0
         assert (store.table("postings").filter("term = 'zebrafish'").count() > 0) == there
+
+
+FILE = "repo_id string, rel_path string, content string, language string, mtime long"
+
+
+def listing(store, name, *cols):
+    return sorted(map(tuple, store.table(name).select(*cols).collect()))
+
+
+def test_two_trees_with_equal_paths(spark, tmp_path):
+    e, store = FeatureHash("md5"), Store(spark, str(tmp_path / "index"))
+    a = spark.createDataFrame([("A", "x.py", "def apple():\n    return 1\n", "python", 1), ("A", "y.py", "def pear():\n    return 1\n", "python", 1), ("A", "n.txt", "an apple", None, 1)], FILE)
+    b = spark.createDataFrame([("B", "x.py", "def plum():\n    return 2\n", "python", 1), ("B", "z.py", "def cherry():\n    return 2\n", "python", 1)], FILE)
+    reindex(store, a, e, buckets=8)
+    assert reindex(store, b, e)["files_indexed"] == 2
+    assert listing(store, "files", "repo_id", "path") == [("A", "n.txt"), ("A", "x.py"), ("A", "y.py"), ("B", "x.py"), ("B", "z.py")]
+    assert listing(store, "symbols", "repo_id", "chunk_id", "name") == [("A", "x.py:1-2", "apple"), ("A", "y.py:1-2", "pear"), ("B", "x.py:1-2", "plum"), ("B", "z.py:1-2", "cherry")]
+    # a file that is gone from one is not gone from the other, and neither is a repository that is not named
+    reindex(store, b.filter("rel_path = 'z.py'"), e)
+    assert listing(store, "files", "repo_id", "path") == [("A", "n.txt"), ("A", "x.py"), ("A", "y.py"), ("B", "z.py")]
+    reindex(store, b.limit(0), e, repos=["B"])
+    assert listing(store, "chunks", "repo_id", "id") == [("A", "n.txt:1-1"), ("A", "x.py:1-2"), ("A", "y.py:1-2")]
+    reindex(store, b, e)
+    whole = Store(spark, str(tmp_path / "whole"))
+    reindex(whole, a.unionByName(b).unionByName(a), e, buckets=3)
+    for name, cols in (("chunks", ("repo_id", "id", "body")), ("postings", ("repo_id", "chunk_id", "term", "tf", "dl")), ("vectors", ("repo_id", "id", "embedding"))):
+        assert listing(store, name, *cols) == listing(whole, name, *cols), name
+    assert corpus_counts(store).first()[:2] == corpus_counts(whole).first()[:2] == (5, whole.table("counts").groupBy().sum("total").first()[0])
+    q = spark.createDataFrame([(1, "plum"), (2, "apple")], "query_id long, query string")
+    hits = search(q, Corpus.of(store, e), e, Knobs(drop_tokenless=True)).filter("rank = 1").collect()
+    assert {(r.query_id, r.file_path) for r in hits} == {(1, "B/x.py"), (2, "A/n.txt")}
+    own = search(q, Corpus.of(store, e, "B"), e, Knobs(drop_tokenless=True)).collect()
+    assert {r.file_path for r in own} == {"x.py", "z.py"}
+
+
+def test_one_edit_rewrites_one_bucket(spark, tmp_path):
+    e, store = FeatureHash("md5"), Store(spark, str(tmp_path / "index"))
+    rows = [("r", f"f{i}.txt", f"text number {i}", None, 1) for i in range(200)]
+    first = reindex(store, spark.createDataFrame(rows, FILE), e, buckets=16)
+    assert first["buckets_written"] == 16
+    before = store.meta()["tables"]["postings"]["buckets"]
+    rows[7] = ("r", "f7.txt", "another text", None, 2)
+    report = reindex(store, spark.createDataFrame(rows, FILE), e)
+    assert (report["files_indexed"], report["buckets_written"], report["incremental"]) == (1, 1, True)
+    after = store.meta()["tables"]["postings"]["buckets"]
+    assert sum(after[b] != before[b] for b in before) == 1 and after.keys() == before.keys()
+    assert store.table("chunks").count() == 200 and store.table("postings").filter("term = 'another'").count() == 1
+    held = os.listdir(tmp_path / "index")
+    assert store.prune() > 0 and store.table("chunks").count() == 200 and store.table("postings").filter("term = 'another'").count() == 1
+    assert not [x for x in held if x.startswith("stage-")]
+    assert {r.table for r in store.describe().filter("column = 'repo_id'").collect()} == {"chunks", "vectors", "postings", "symbols", "imports", "exports", "files"}
+
+
+def test_terms_are_pushed_into_the_scan(spark, tmp_path):
+    e, store = FeatureHash("md5"), Store(spark, str(tmp_path / "index"))
+    reindex(store, spark.createDataFrame([("r", "a.txt", "apple pear", None, 1)], FILE), e, buckets=2)
+    q = spark.createDataFrame([(1, "apple")], "query_id long, query string")
+    plan = bm25_topk(store.table("postings"), corpus_counts(store), q)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,apple)" in plan
+
+
+def test_search_reads_everything_once(spark, tmp_path):
+    e, store = FeatureHash("md5"), Store(spark, str(tmp_path / "index"))
+    reindex(store, spark.createDataFrame([("r", f"f{i}.py", f"def fn_{i}(a):\n    return {i}\n", "python", 1) for i in range(30)], FILE), e, buckets=2)
+    q = spark.createDataFrame([(1, "fn 3"), (2, "return")], "query_id long, query string")
+    found = search(q, Corpus.of(store, e), e, Knobs(diversify=True, boost_imports=True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 0 and plan.count("FlatMapGroupsInPandas") <= 2 and found.count() > 0
+
+
+def test_first_search_builds(spark, tmp_path):
+    e, store, calls = FeatureHash("md5"), Store(spark, str(tmp_path / "index")), []
+
+    def files():
+        calls.append(1)
+        return spark.createDataFrame([("r", "a.txt", "apple", None, 1)], FILE)
+
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda _: open_or_build(store, files, e), range(3)))
+    assert len(calls) == 1
+    with pytest.raises(StoreError):
+        open_or_build(store, files, FeatureHash())
+
+
+def test_migration(spark, tmp_path):
+    e, at = FeatureHash("md5"), str(tmp_path / "index")
+    old = {
+        "chunks": spark.createDataFrame([("x.py:1-2", "x.py", 1, 2, "function", "def apple():\n    return 1")], "id string, file_path string, start_line int, end_line int, kind string, body string"),
+        "symbols": spark.createDataFrame([("x.py:1-2", "apple", "apple()", "function", 1, "x.py")], "chunk_id string, name string, signature string, kind string, line int, file_path string"),
+        "imports": spark.createDataFrame([], "file_path string, ord int, source string, kind string, line int"),
+        "exports": spark.createDataFrame([], "file_path string, ord int, detail string, line int"),
+        "files": spark.createDataFrame([(None, "x.py", "h", 1, "python")], "repo_id string, path string, content_hash string, mtime long, language string"),
+    }
+    for name, df in old.items():
+        df.write.parquet(f"{at}/v-1/{name}")
+    fs.replace_text(spark, f"{at}/v-1/meta.json", json.dumps({"schema_version": 1, "embedder_id": e.id, "embedder_dim": e.dim}))
+    fs.replace_text(spark, f"{at}/CURRENT", "v-1")
+    store = Store(spark, at)
+    with pytest.raises(StoreError, match="migrate"):
+        store.verify(e)
+    assert migrate(store, e, "R") and not migrate(store, e, "R")
+    assert listing(store, "symbols", "repo_id", "chunk_id", "name") == [("R", "x.py:1-2", "apple")] and listing(store, "files", "repo_id", "path") == [("R", "x.py")]
+    assert store.verify(e)["buckets"] == 4 and corpus_counts(store).first()[0] == 1
