@@ -6,7 +6,8 @@ strengths answers, for each piece, which line end is the strongest in the window
 lengths (ties go to the right), and the next piece starts ``overlap`` lines before that cut.
 
 A line longer than ``max_bytes`` by itself is first cut into fragments at character boundaries (at
-white space where there is some in the last quarter); its fragments keep the line's number.
+white space where there is some in the last quarter); its fragments keep the line's number, and each
+counts as one in the overlap, which is given in lines or, after such a cut, in fragments.
 
 Defined results: a null or empty text gives no piece; a text within the limits gives one piece, its
 own, without passing through Python; CRLF is kept as stored (a line ends at its line feed, and a
