@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,13 +38,14 @@ def bursts(events: DataFrame, gap_ms: int = DEBOUNCE_MS, *, ts_col: str = "ts",
     return g.agg(F.count("*").alias("events")).select(*keys, F.col("w.start").alias("started"), end.alias("ended"), "events")
 
 
-def watch(stream: DataFrame, handle: Callable[[], None], checkpoint: str, *, every: str = f"{DEBOUNCE_MS} milliseconds", once: bool = False):
+def watch(stream: DataFrame, handle: Callable[[], None], checkpoint: str, *, every: str = f"{DEBOUNCE_MS} milliseconds", once: bool = False, calls: Callable[[DataFrame], bool] | None = None):
     """Runs ``handle`` (an incremental, hence idempotent, reindex) once before the stream and once per
-    micro-batch with relevant events. An error of one batch is printed and the next goes on."""
+    micro-batch with relevant events, or for which ``calls`` is true. An error of one batch is printed and the next goes on."""
+    calls = calls or (lambda df: not relevant(df).isEmpty())
     handle()
 
     def batch(df: DataFrame, n: int) -> None:
-        if not relevant(df).isEmpty():
+        if calls(df):
             try:
                 handle()
             except Exception as e:
@@ -54,6 +55,32 @@ def watch(stream: DataFrame, handle: Callable[[], None], checkpoint: str, *, eve
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def tree_mark(spark: SparkSession, root: str) -> tuple[int, int]:
+    """Number of the tree's files and a sum over their paths, times and lengths; contents aren't read."""
+    root = os.path.realpath(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}").select("path", "modificationTime", "length")
+    rel = F.substring("path", len(f"file:{root}/") + 1, 1 << 30)
+    own = listed.filter(~F.startswith(rel, F.lit(STATE_DIR + "/")))
+    n, total = own.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("path", "modificationTime", "length"), F.lit(1 << 31)))).first()
+    return n, total or 0
+
+
+def watch_tree(spark: SparkSession, root: str, handle: Callable[[], None], checkpoint: str, *, every: str = "1 second"):
+    """``watch`` of a tree that nothing sends events of: a ticking stream compares the tree's listing with the last
+    one, and changes between two ticks call for one reindex. Events of another source go to ``watch`` itself."""
+    last = [tree_mark(spark, root)]  # taken before the first reindex, so that nothing in between is missed
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def changed(df: DataFrame) -> bool:
+        now = tree_mark(spark, root)
+        if now == last[0]:
+            return False
+        last[0] = now
+        return True
+
+    return watch(ticks, handle, checkpoint, every=every, calls=changed)
+
+
 def content_changes(files: DataFrame) -> DataFrame:
     """A stream ``(path, content_hash)`` turned into ``(path, change)`` with new or changed; a state per path
     holds the last hash, so a file seen again with the same content gives nothing."""
