@@ -110,7 +110,10 @@ def mask(language: str, src: str) -> tuple[str, list[tuple[int, int]], list[tupl
                 if not depth:
                     b = a + x.end()
                     break
-        out += [src[at:a], _BLANK.sub(" ", src[a:b])]
+        blank = _BLANK.sub(" ", src[a:b])
+        if language == "ruby" and b - a > 1 and m.group("c") is None and blank[-1] != "\n" and not m.group("h"):
+            blank = f'"{blank[1:-1]}"'  # a value stands there: a word behind it is a modifier and opens nothing
+        out += [src[at:a], blank]
         (comments if m.group("c") is not None else strings).append((a, b))
         at = b if b > a else a + 1
         if b == a:

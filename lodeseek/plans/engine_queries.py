@@ -5,6 +5,9 @@ The corpus is the live state of ``chunks``; the queries are those of ``hits``.
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,8 @@ from lodeseek.operators.retrieval import bm25_topk, boost_imports, corpus_stats,
 from lodeseek.operators.structure import analyse, chunk_files, line_windows
 from lodeseek.plans.evaluate import first_relevant, quality, worse_than_either
 from lodeseek.plans.search import Corpus, Knobs, ranked, resolve_weights, search
-from lodeseek.sources.durable import written
+from lodeseek.sources.durable import remove, shared_folder, written
+from lodeseek.sources.store import Store, reindex
 from lodeseek.sources.tables import table
 from lodeseek.streaming.watch import bursts
 
@@ -36,7 +40,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, d: str) -> Corpus:
     chunks = written(live_chunks(spark, d).select("id", "file_path", "start_line", "end_line", "kind", "body"), "chunks")
-    vectors = embed_column(chunks, EMBEDDER, id_col="id", text_col="body")
+    vectors = written(embed_column(chunks, EMBEDDER, id_col="id", text_col="body"), "vectors")
     symbols = table(spark, d, "symbols").filter(F.col("chunk_id").isNotNull())
     return Corpus(chunks, written(postings(chunks), "postings"), corpus_stats(chunks), vectors, symbols, _imports(spark, d))
 
@@ -167,8 +171,62 @@ def hydrated(spark, d):
 
 
 def wire(spark, d):
-    h = hydrate(bm25_batch(spark, d), live_chunks(spark, d), None, _imports(spark, d))
-    return wire_hits(h)
+    """The JSON objects that leave the engine, read again."""
+    found = hydrate(bm25_batch(spark, d), live_chunks(spark, d), table(spark, d, "symbols").filter(F.col("chunk_id").isNotNull()), _imports(spark, d))
+    hit = "file string, start_line int, end_line int, kind string, signature string, snippet string, score double, imports array<struct<source:string,kind:string,line:int>>, exports array<struct<detail:string,line:int>>"
+    read = wire_hits(found).select("query_id", F.posexplode(F.from_json("json", f"struct<hits: array<struct<{hit.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' array', ':array')}>>>")["hits"]).alias("at", "hit"))
+    return read.select("query_id", "at", "hit.file", "hit.start_line", "hit.end_line", "hit.kind", "hit.signature", F.md5("hit.snippet").alias("snippet"), F.round("hit.score", 9).alias("score"), F.size("hit.imports").alias("imports"), F.size("hit.exports").alias("exports"))
+
+
+def _indexed(spark: SparkSession, d: str) -> Store:
+    """A store of all documents, each a file of no known language; the same tree is then indexed a second time and,
+    with every fifth document left out, a third and put back a fourth time."""
+    store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    atexit.register(remove, spark, store.path)
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull())
+    tree = docs.select(F.lit("documents").alias("repo_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"), F.lit(None).cast("string").alias("language"), F.lit(1).cast("long").alias("mtime"))
+    for files in (tree, tree, tree.filter(F.xxhash64("rel_path") % 5 != 0), tree):
+        reindex(store, files, EMBEDDER)
+    return store
+
+
+def index_files(spark, d):
+    """The stored states of files, after a build and three reindexes."""
+    return _indexed(spark, d).table("files").select("repo_id", "path", "content_hash")
+
+
+def index_chunks(spark, d):
+    """The stored chunks, with the length of their postings."""
+    store = _indexed(spark, d)
+    tf = store.table("postings").groupBy("chunk_id").agg(F.sum("tf").alias("tokens"))
+    return store.table("chunks").join(tf, F.col("id") == F.col("chunk_id"), "left").select("id", "start_line", "end_line", F.md5("body").alias("body"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+def index_search(spark, d):
+    """Lexical search over the stored postings and counts."""
+    corpus = Corpus.of(_indexed(spark, d), EMBEDDER)
+    return bm25_topk(corpus.postings, corpus.stats, asked(spark, d), K)
+
+
+def registry_prune(spark, d):
+    """Repositories whose files are all gone drop out of the registry."""
+    s = _states(spark, d, False).select("repo_id").distinct()
+    return table(spark, d, "file_states").select("repo_id").distinct().join(s, "repo_id", "left_anti")
+
+
+def sales_by_region(spark, d):
+    """Inherited from the relational substrate: joins and a rollup."""
+    t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region")}
+    o = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
+    return o.rollup("r_name", "n_name").agg(F.count("*").alias("lines"), cents.alias("cents"))
+
+
+def order_gaps(spark, d):
+    """Inherited from the relational substrate: a window frame."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).alias("nth"), F.datediff("o_orderdate", F.lag("o_orderdate").over(w)).alias("days"))
 
 
 def windows(spark, d):
@@ -261,6 +319,37 @@ def structure_records(spark, d):
     return analyse(table(spark, d, "source_files")).drop("body")
 
 
+def _of_language(language: str):
+    def query(spark, d):
+        files = table(spark, d, "source_files").select("repo_id", "rel_path", "content").filter(T.language_of(F.col("rel_path")) == language)
+        return analyse(files).filter(F.col("record") != "chunk").select("record", "file_path", "ord", "kind", "name", "signature", "start_line", "end_line", "line")
+
+    query.__name__ = f"structure_{language}"
+    query.__doc__ = f"Symbols, imports and exports of all {language} files."
+    return query
+
+
+LANGUAGES = ("python", "typescript", "rust", "go", "bash", "java", "c", "ruby", "cpp")
+
+
+def structure_imports(spark, d):
+    """Imports of the languages whose statement is a line of its own, by line."""
+    found = analyse(table(spark, d, "source_files").select("repo_id", "rel_path", "content")).filter((F.col("record") == "import") & F.col("language").isin("python", "java", "ruby", "c", "cpp"))
+    return found.groupBy("language", "file_path", "line").agg(F.min("name").alias("source")).distinct()
+
+
+def structure_functions(spark, d):
+    """Names and first lines of the functions of the languages that open them with a word."""
+    found = analyse(table(spark, d, "source_files").select("repo_id", "rel_path", "content")).filter((F.col("record") == "symbol") & F.col("language").isin("python", "go", "rust", "ruby", "bash") & F.col("kind").isin("function", "method"))
+    return found.select("language", "file_path", "name", "line").distinct()
+
+
+def structure_types(spark, d):
+    """Names and first lines of the types of the languages that open them with a word."""
+    found = analyse(table(spark, d, "source_files").select("repo_id", "rel_path", "content")).filter((F.col("record") == "symbol") & F.col("language").isin("python", "go", "rust", "java", "ruby", "typescript") & ~F.col("kind").isin("function", "method"))
+    return found.select("language", "file_path", "name", "line").distinct()
+
+
 def structure_chunks(spark, d):
     return chunk_files(table(spark, d, "source_files")).select("id", "start_line", "end_line", "kind", F.octet_length("body").alias("bytes"))
 
@@ -270,6 +359,7 @@ QUERIES = {
     for f in (
         tok_code, tok_plain, corpus_statistics, postings_df, bm25_batch, bm25_degenerate, knn_batch, cosine_to_label, feature_hash_md5, vector_batch, rrf_equal, rrf_weighted, weights_adaptive,
         boosted, search_hybrid, search_full, overlap_dedup, content_dedup, mmr, hydrated, wire, windows, blank_islands, chunk_id_parse, gates, lang_detect, first_lines, snippets,
+        index_files, index_chunks, index_search, registry_prune, sales_by_region, order_gaps, structure_imports, structure_functions, structure_types, *map(_of_language, LANGUAGES),
         delta_changes, upsert_files, eval_recall_mrr, eval_hybrid_worse, debounce_bursts, structure_records, structure_chunks,
     )
 }

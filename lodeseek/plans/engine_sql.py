@@ -68,6 +68,50 @@ fr AS (SELECT arm, l.query_id, l.file, l.target_line, min(a.rank) AS rank FROM l
 fa AS (SELECT a.arm, l.query_id, l.query, fr.rank FROM labels l CROSS JOIN (VALUES ('lexical'), ('vector'), ('hybrid')) a(arm) LEFT JOIN fr ON fr.arm = a.arm AND fr.query_id = l.query_id AND fr.file = l.file AND fr.target_line = l.target_line)"""
 
 _ARMS = (_BM25, _VECTOR, _fused())
+_BOOSTED = (
+    f"qt AS (SELECT DISTINCT query_id, t FROM (SELECT query_id, unnest({_code('query')}) AS t FROM asked))",
+    f"imp AS (SELECT DISTINCT file_path, t FROM (SELECT file_path, unnest({_code('source')}) AS t FROM file_imports WHERE file_path IS NOT NULL))",
+    "lifted AS (SELECT DISTINCT query_id, file_path FROM qt JOIN imp USING (t))",
+    "bo AS (SELECT f.query_id, f.chunk_id, round(f.score + CASE WHEN x.query_id IS NULL THEN 0 ELSE 0.01 END, 12) AS score FROM fused f JOIN live l ON l.id = f.chunk_id LEFT JOIN lifted x ON x.query_id = f.query_id AND x.file_path = l.file_path)",
+)
+
+_HYDRATED = (
+    "sy AS (SELECT chunk_id, arg_min(signature, {'l': line, 's': coalesce(signature, '')}) AS signature FROM symbols WHERE chunk_id IS NOT NULL AND signature IS NOT NULL GROUP BY chunk_id)",
+    "im AS (SELECT file_path, count(*) AS imports FROM (SELECT DISTINCT file_path, ord, source, kind, line FROM file_imports WHERE file_path IS NOT NULL) GROUP BY file_path)",
+)
+_DOC_CHUNKS = r"""dl AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n\z', ''), chr(10)) AS w FROM documents WHERE text <> ''),
+dw AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 15) + 1, 45)) AS a FROM dl),
+live AS (SELECT doc_id || '.txt:' || a || '-' || least(len(w), a + 59) AS id, CAST(a AS INTEGER) AS start_line, CAST(least(len(w), a + 59) AS INTEGER) AS end_line, array_to_string(w[a:a + 59], chr(10)) AS body FROM dw)"""
+_LINES = r"""f AS (SELECT DISTINCT rel_path, language, replace(content, chr(13) || chr(10), chr(10)) AS content FROM source_files WHERE content IS NOT NULL),
+l AS (SELECT rel_path, language, unnest(string_split(content, chr(10))) AS s, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM f)"""
+#: Import statements of one line: the language, and the pattern whose first group is the source.
+_IMPORT_LINES = {
+    "java": r"^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+(?:\.\*)?)[ \t]*;",
+    "ruby": r"^[ \t]*require(?:_relative)?[ \t(]*[\x27\x22]([^\x27\x22\n]+)[\x27\x22]",
+    "c": r"^[ \t]*#[ \t]*include[ \t]*(<[^>\n]*>|\x22[^\x22\n]*\x22)",
+    "cpp": r"^[ \t]*#[ \t]*include[ \t]*(<[^>\n]*>|\x22[^\x22\n]*\x22)",
+    "python": r"^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(?:\*|\([^)]*\)|[^\n#(]+)",
+}
+_TYPE_LINES = {
+    "python": r"^[ \t]*class[ \t]+(\w+)",
+    "go": r"^type[ \t]+(\w+)[ \t]+\S",
+    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:unsafe[ \t]+)?(?:struct|union|enum|trait|type)[ \t]+(\w+)",
+    "java": r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed|strictfp)[ \t]+)*(?:class|interface|enum|record)[ \t]+(\w+)",
+    "ruby": r"^[ \t]*(?:class|module)[ \t]+([A-Z][\w:]*)",
+    "typescript": r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?(?:const[ \t]+)?(?:class|interface|enum|type)[ \t]+([\w$]+)",
+}
+_FUNCTION_LINES = {
+    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern)[ \t]+)*fn[ \t]+(\w+)",
+    "ruby": r"^[ \t]*def[ \t]+(?:self\.)?(\w+[?!=]?)",
+    "bash": r"^[ \t]*(?:function[ \t]+)?(\w+)[ \t]*\(\)",
+    "python": r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(",
+    "go": r"^func[ \t]*(?:\([^)]*\)[ \t]*)?(\w+)[ \t]*\(",
+}
+
+
+def _line_groups(patterns: dict[str, str], name: str) -> str:
+    return " UNION ".join(f"SELECT language, rel_path AS file_path, line, regexp_extract(s, '{p}', 1) AS {name} FROM l WHERE language = '{k}' AND regexp_matches(s, '{p}')" for k, p in patterns.items())
+
 
 ORACLE = {
     "tok_code": f"SELECT doc_id, array_to_string({_code('text')}, ' ') AS tokens FROM documents",
@@ -87,12 +131,45 @@ SELECT vec_id, round({_DOT} / (sqrt({_DOT.replace("(a, b)", "(a, a)")}) * sqrt({
     "weights_adaptive": _with("aq AS (SELECT DISTINCT symbol_id AS query_id, name AS query FROM symbols UNION ALL SELECT DISTINCT query_id, query FROM hits)", _ADAPTIVE) + "SELECT DISTINCT a.query_id, q.query, CAST(w_lexical AS DOUBLE) AS w_lexical, CAST(w_vector AS DOUBLE) AS w_vector FROM aw a JOIN aq q USING (query_id)",
     "boosted": _with(
         _LIVE, _ASKED, *_ARMS,
-        f"qt AS (SELECT DISTINCT query_id, t FROM (SELECT query_id, unnest({_code('query')}) AS t FROM asked))",
-        f"imp AS (SELECT DISTINCT file_path, t FROM (SELECT file_path, unnest({_code('source')}) AS t FROM file_imports WHERE file_path IS NOT NULL))",
-        "lifted AS (SELECT DISTINCT query_id, file_path FROM qt JOIN imp USING (t))",
-        "bo AS (SELECT f.query_id, f.chunk_id, round(f.score + CASE WHEN x.query_id IS NULL THEN 0 ELSE 0.01 END, 12) AS score FROM fused f JOIN live l ON l.id = f.chunk_id LEFT JOIN lifted x ON x.query_id = f.query_id AND x.file_path = l.file_path)",
+        *_BOOSTED,
     ) + "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bo",
     "search_hybrid": _with(_LIVE, _ASKED, *_ARMS) + "SELECT query_id, chunk_id, score, rank FROM fused",
+    "search_full": _with(
+        _LIVE, _ASKED, "aq AS (SELECT * FROM asked)", _ADAPTIVE, _BM25, _VECTOR.replace("FROM vs)", "FROM vs WHERE chunk_id IN (SELECT id FROM cv))"), _fused("w_lexical", "w_vector", "JOIN aw USING (query_id)"), *_BOOSTED, *_HYDRATED,
+        """o AS (SELECT b.query_id, b.rank, b.chunk_id, b.score, l.file_path AS file, l.start_line, l.end_line, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bo) b JOIN live l ON l.id = b.chunk_id)""",
+        """r1(query_id, n, rank, chunk_id, score, ok, kept) AS (
+  SELECT query_id, n, rank, chunk_id, score, true, [{'f': file, 'a': start_line, 'b': end_line}] FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.query_id, o.n, o.rank, o.chunk_id, o.score, x.ok, CASE WHEN x.ok THEN list_append(r1.kept, {'f': o.file, 'a': o.start_line, 'b': o.end_line}) ELSE r1.kept END
+  FROM r1 JOIN o ON o.query_id = r1.query_id AND o.n = r1.n + 1,
+  LATERAL (SELECT len(list_filter(r1.kept, lambda k: k.f = o.file AND least(k.b, o.end_line) - greatest(k.a, o.start_line) + 1 > 0.5 * (least(k.b - k.a, o.end_line - o.start_line) + 1))) = 0 AS ok) x)""",
+        "k1 AS (SELECT query_id, chunk_id, score, rank FROM r1 WHERE ok)",
+        "mm AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM k1 GROUP BY query_id)",
+        "c AS (SELECT k1.*, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS rel FROM k1 JOIN mm USING (query_id))",
+        "fv AS (SELECT id, b, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM cv)",
+        "nv AS (SELECT id, b, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM fv WHERE id IN (SELECT chunk_id FROM c))",
+        "pc AS (SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b, sum(u.v * w.v) AS cos FROM c x JOIN c y USING (query_id) JOIN nv u ON u.id = x.chunk_id JOIN nv w ON w.id = y.chunk_id AND w.b = u.b GROUP BY ALL)",
+        """r2(query_id, step, picked) AS (
+  SELECT query_id, 0, CAST([] AS VARCHAR[]) FROM mm
+  UNION ALL
+  SELECT query_id, step + 1, list_append(picked, chunk_id) FROM (
+    SELECT query_id, step, picked, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * rel - 0.3 * most, 12) DESC, rank) AS n FROM (
+      SELECT r2.query_id, r2.step, r2.picked, c.chunk_id, c.rel, c.rank, coalesce(max(greatest(pc.cos, 0)), 0) AS most
+      FROM r2 JOIN c ON c.query_id = r2.query_id AND NOT list_contains(r2.picked, c.chunk_id) LEFT JOIN pc ON pc.query_id = r2.query_id AND pc.a = c.chunk_id AND list_contains(r2.picked, pc.b)
+      GROUP BY ALL)) WHERE n = 1)""",
+        "f2 AS (SELECT query_id, CAST(step AS BIGINT) AS rank, picked[step] AS chunk_id FROM r2 WHERE step BETWEEN 1 AND 10)",
+        f"""h2 AS (SELECT f2.*, k1.score, l.file_path, l.start_line, l.end_line, coalesce(l.kind, '') AS kind, sy.signature, CAST(coalesce(im.imports, 0) AS INTEGER) AS imports,
+  list_distinct(list_concat({_code("substring(l.body, 1, 2000)")}, {_code("coalesce(sy.signature, '')")})) AS w
+  FROM f2 JOIN k1 ON k1.query_id = f2.query_id AND k1.chunk_id = f2.chunk_id JOIN live l ON l.id = f2.chunk_id LEFT JOIN sy ON sy.chunk_id = f2.chunk_id LEFT JOIN im ON im.file_path = l.file_path)""",
+        """r3(query_id, rank, ok, kept) AS (
+  SELECT query_id, rank, true, [w] FROM h2 WHERE rank = 1
+  UNION ALL
+  SELECT h2.query_id, h2.rank, x.ok, CASE WHEN x.ok THEN list_append(r3.kept, h2.w) ELSE r3.kept END
+  FROM r3 JOIN h2 ON h2.query_id = r3.query_id AND h2.rank = r3.rank + 1,
+  LATERAL (SELECT len(h2.w) = 0 OR len(list_filter(r3.kept, lambda k: len(list_intersect(k, h2.w)) >= 0.9 * len(list_distinct(list_concat(k, h2.w))))) = 0 AS ok) x)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT query_id, rank, chunk_id, file_path, start_line, end_line, kind, signature, round(score, 9) AS score, imports FROM h2 JOIN r3 USING (query_id, rank) WHERE ok",
     "overlap_dedup": """WITH RECURSIVE """ + _HITS + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM h),
 r(query_id, n, rank, hit_id, ok, kept) AS (
   SELECT query_id, n, rank, hit_id, true, [{'f': file, 'a': start_line, 'b': end_line}] FROM o WHERE n = 1
@@ -129,6 +206,22 @@ SELECT f.query_id, f.chunk_id, sc.score, CAST(f.rank AS BIGINT) AS rank FROM f J
         "sy AS (SELECT chunk_id, arg_min(signature, {'l': line, 's': coalesce(signature, '')}) AS signature FROM symbols WHERE chunk_id IS NOT NULL AND signature IS NOT NULL GROUP BY chunk_id)",
         "im AS (SELECT file_path, string_agg(source || '/' || kind || '/' || line, ',' ORDER BY ord, source, kind, line) AS imports FROM (SELECT DISTINCT file_path, ord, source, kind, line FROM file_imports WHERE file_path IS NOT NULL) GROUP BY file_path)",
     ) + "SELECT query_id, rank, lex.chunk_id, live.file_path, coalesce(kind, '') AS kind, signature, md5(substring(body, 1, 2000)) AS snippet, coalesce(imports, '') AS imports FROM lex JOIN live ON live.id = lex.chunk_id LEFT JOIN sy ON sy.chunk_id = lex.chunk_id LEFT JOIN im ON im.file_path = live.file_path",
+    "wire": _with(_LIVE, _ASKED, _BM25, *_HYDRATED)
+    + """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS INTEGER) AS at, live.file_path AS file, start_line, end_line, coalesce(kind, '') AS kind, signature, md5(substring(body, 1, 2000)) AS snippet, score,
+  CAST(coalesce(imports, 0) AS INTEGER) AS imports, 0 AS exports FROM lex JOIN live ON live.id = lex.chunk_id LEFT JOIN sy ON sy.chunk_id = lex.chunk_id LEFT JOIN im ON im.file_path = live.file_path""",
+    "index_files": "SELECT DISTINCT 'documents' AS repo_id, doc_id || '.txt' AS path, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL",
+    "index_chunks": _with(_DOC_CHUNKS) + f"SELECT id, start_line, end_line, md5(body) AS body, CAST(len({_code('body')}) AS BIGINT) AS tokens FROM live",
+    "index_search": _with(_DOC_CHUNKS, _ASKED, _BM25) + "SELECT query_id, chunk_id, score, rank FROM lex",
+    "structure_imports": _with(_LINES)
+    + _line_groups(_IMPORT_LINES, "source")
+    + r" UNION SELECT language, rel_path, line, list_min(list_transform(string_split(regexp_extract(s, '^[ \t]*import[ \t]+([\w., \t]+)', 1), ','), lambda x: regexp_extract(x, '[^ \t]+'))) FROM l WHERE language = 'python' AND regexp_matches(s, '^[ \t]*import[ \t]+[\w., \t]+')",
+    "structure_functions": _with(_LINES) + _line_groups(_FUNCTION_LINES, "name"),
+    "structure_types": _with(_LINES) + _line_groups(_TYPE_LINES, "name"),
+    "registry_prune": _with(_NOW) + "SELECT DISTINCT repo_id FROM file_states WHERE repo_id NOT IN (SELECT repo_id FROM now)",
+    "sales_by_region": """SELECT r_name, n_name, count(*) AS lines, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""",
+    "order_gaps": """SELECT o_orderkey, CAST(row_number() OVER w AS INTEGER) AS nth, CAST(date_diff('day', CAST(lag(o_orderdate) OVER w AS DATE), CAST(o_orderdate AS DATE)) AS INTEGER) AS days
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "windows": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n\z', ''), chr(10)) AS w FROM documents WHERE text <> ''),
 s AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 15) + 1, 45)) AS a FROM l)
 SELECT doc_id || ':' || a || '-' || least(len(w), a + 59) AS id, CAST(a AS INTEGER) AS start_line, CAST(least(len(w), a + 59) AS INTEGER) AS end_line, md5(array_to_string(w[a:a + 59], chr(10))) AS body FROM s""",
