@@ -16,30 +16,44 @@ PYTHON = r"""
 file = (NL | stmt)* ;
 stmt = simple | compound ;
 simple = small (';' small)* ';'? NL ;
-small = exprs_stmt | 'del' exprs | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' (expr ('from' expr)?)?
+small = exprs_stmt | 'del' deltargets | 'pass' | 'break' | 'continue' | 'return' tuple? | 'raise' (expr ('from' expr)?)?
   | 'global' names | 'nonlocal' names | 'assert' expr (',' expr)? | imports | 'type' ID typeparams? '=' expr ;
 names = ID (',' ID)* ;
 imports = 'import' asname (',' asname)* | 'from' ('.' | '...')* dotted? 'import' ('*' | fromnames | '(' fromnames ','? ')') ;
 fromnames = ID ('as' ID)? (',' ID ('as' ID)?)* ;
 asname = dotted ('as' ID)? ;
 dotted = ID ('.' ID)* ;
-exprs_stmt = starexprs (':' expr ('=' starexprs)? | AUG starexprs | ('=' starexprs)*) ;
+exprs_stmt = plainexprs | single ':' expr ('=' plainexprs)? | single AUG plainexprs | (targets '=')+ plainexprs ;
+-- what is assigned to: a name, or what ends in an attribute or a subscript
+place = ID | atom (call* access)+ ;
+call = '(' args? ')' ;
+access = '.' ID | '[' subs ']' ;
+single = place | '(' single ')' ;
+target = '*'? (place | '(' targets? ')' | '[' targets? ']') ;
+targets = target (',' target)* ','? ;
+deltarget = place | '(' deltargets? ')' | '[' deltargets? ']' ;
+deltargets = deltarget (',' deltarget)* ','? ;
+-- statements know no bare named expression
+plainexprs = yields | tuple ;
+yields = 'yield' ('from' ternary | tuple)? ;
+tuple = plainexpr (',' plainexpr)* ','? ;
+plainexpr = '*' comparison | ternary ;
+ternary = 'lambda' lambdaparams? ':' expr | binary ('if' binary 'else' ternary)? ;
 starexprs = starexpr (',' starexpr)* ','? ;
-exprs = starexprs ;
-starexpr = '*' expr | expr | 'yield' ('from' expr | starexprs)? ;
+starexpr = '*' comparison | expr ;
 expr = 'lambda' lambdaparams? ':' expr | binary ('if' binary 'else' expr)? (':=' expr)? ;
 lambdaparams = (lambdaplain (',' lambdastar)? | lambdastar) ','? ;
 lambdaplain = ID (',' ID)* (',' '/' (',' ID)*)? (',' lambdaset)* | (ID ',')* lambdaset (',' lambdaset)* (',' '/' (',' lambdaset)*)? ;
 lambdaset = ID '=' expr ;
 lambdastar = '*' (ID (',' ID ('=' expr)?)* | (',' ID ('=' expr)?)+) (',' '**' ID)? | '**' ID ;
-binary = unary (BIN unary)* ;
-unary = ('not' | '-' | '+' | '~' | 'await')* postfix ;
-postfix = atom ('.' ID | '(' args? ')' | '[' subs ']')* ;
-atom = ID | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (comp | starexprs)? ')' | '[' (comp | starexprs)? ']' | '{' dictset? '}' ;
+binary = negation (('and' | 'or') negation)* ;
+negation = 'not'* comparison ;
+comparison = unary (BIN unary)* ;
+unary = ('-' | '+' | '~')* 'await'? postfix ;
+postfix = atom (call | access)* ;
+atom = ID | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (comp | starexprs | yields)? ')' | '[' (comp | starexprs)? ']' | '{' dictset? '}' ;
 comp = starexpr compfor ;
 compfor = ('async'? 'for' targets 'in' binary ('if' binary)*)+ ;
-targets = target (',' target)* ','? ;
-target = '*'? postfix ;
 args = arglist ','? | expr compfor ;
 arglist = posarg (',' posarg)* (',' kwargs)? | kwargs ;
 posarg = '*'? expr ;
@@ -47,16 +61,17 @@ kwargs = kwarg (',' (kwarg | '*' expr))* (',' (kwarg | '**' expr))* | '**' expr
 kwarg = ID '=' expr ;
 subs = sub (',' sub)* ','? ;
 sub = starexpr | expr? ':' expr? (':' expr?)? ;
-dictset = (item (',' item)* ','?) | item compfor ;
-item = '**' expr | '*' expr | expr (':' expr)? ;
+dictset = expr (':' expr (compfor | (',' ditem)* ','?) | compfor | (',' sitem)* ','?) | '**' expr (',' ditem)* ','? | '*' expr (',' sitem)* ','? ;
+ditem = '**' expr | expr ':' expr ;
+sitem = '*'? expr ;
 compound = ifs | whiles | fors | trys | withs | def | class | 'async' (fors | withs | def) | decorated | match ;
 block = simple | NL INDENT (stmt | NL)+ DEDENT ;
 ifs = 'if' expr ':' block ('elif' expr ':' block)* ('else' ':' block)? ;
 whiles = 'while' expr ':' block ('else' ':' block)? ;
-fors = 'for' targets 'in' starexprs ':' block ('else' ':' block)? ;
+fors = 'for' targets 'in' tuple ':' block ('else' ':' block)? ;
 trys = 'try' ':' block (('except' '*'? (expr (',' expr)* ('as' ID)?)? ':' block)+ ('else' ':' block)? ('finally' ':' block)? | 'finally' ':' block) ;
 withs = 'with' (withitem (',' withitem)* | '(' withitem (',' withitem)* ','? ')') ':' block ;
-withitem = expr ('as' starexpr)? ;
+withitem = expr ('as' target)? ;
 def = 'def' ID typeparams? '(' params? ')' ('->' expr)? ':' block ;
 typeparams = '[' typeparam (',' typeparam)* ','? ']' ;
 typeparam = ('*' | '**')? ID (':' expr)? ('=' expr)? ;
@@ -77,7 +92,7 @@ pkey = '**' ID | pone ':' pat ;
 BIN = 'or' ;
 """
 
-_PY_BIN = "'or' | 'and' | 'in' | 'not' 'in' | 'is' 'not'? | '<' | '>' | '<=' | '>=' | '==' | '!=' | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**'"
+_PY_BIN = "'in' | 'not' 'in' | 'is' 'not'? | '<' | '>' | '<=' | '>=' | '==' | '!=' | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**'"
 _PY_AUG = "'+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '**='"
 # words that are keywords only in their place
 PYTHON = re.sub(r"\bID\b", "name", PYTHON) + "name = ID | 'type' | 'match' | 'case' ;\n"

@@ -57,7 +57,7 @@ _NAME = r"(?P<ID>[^\W\d][\w$]*|\$[\w$]*)"
 def _master(language: str) -> re.Pattern:
     ops = "|".join(map(re.escape, _OPERATORS[language].split())) + r"|[-+*/%&|^~!=<>?:.,;@(){}\[\]]"
     if language == "python":
-        head = [r"(?P<comment>\#[^\n]*)", r"(?P<join>\\\r?\n)", r"(?P<STR>(?:[rRbBfFuU]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|(?!\"\"\"|''')(?:" + _STRING + "|" + _SINGLE + ")))"]
+        head = [r"(?P<comment>\#[^\n]*)", r"(?P<join>\\\r?\n)", r"(?P<STR>(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|(?!\"\"\"|''')(?:" + _STRING + "|" + _SINGLE + ")))"]
     elif language == "typescript":
         head = [_SLASHES, "(?P<STR>" + _STRING + "|" + _SINGLE + ")", r"(?P<PRIVATE>\#[^\W\d][\w$]*)"]
     elif language == "rust":
@@ -194,8 +194,8 @@ def _template(src: str, at: int, more: str, done: str) -> tuple[str, int]:
 
 
 _INDENT = re.compile(r"[ \t\f﻿]*")
-_ODD_NUMBER = re.compile(r"\d[\d_]*[A-Za-z]")
-_PYTHON_NUMBER = re.compile(r"(?i)(0[xbo])?[\da-f_]+|[\d_.]+(e[+-]?\d+)?j?")
+_ODD_NUMBER = re.compile(r"[\d.][\d._]*[A-Za-z]")
+_PYTHON_NUMBER = re.compile(r"(?i)0x[\da-f_]+|0b[01_]+|0o[0-7_]+|[\d_.]+(?:e[+-]?[\d_]+)?j?")
 
 
 def _python(src: str) -> list[Token]:
@@ -261,6 +261,8 @@ def _python(src: str) -> list[Token]:
                 put((ERROR, start, end))
             else:
                 put((kind, start, end))
+    if depth:  # the text ends inside a bracket
+        return out
     if not fresh:
         put((NEWLINE, n, n))
     out += [("DEDENT", n, n)] * (len(indents) - 1)

@@ -61,7 +61,7 @@ def _reported(src: str, kept: list[Token], at: int) -> tuple[int, str]:
     kind, a, b = kept[at]
     line = src.count("\n", 0, a) + 1
     text = src[a : min(b, a + 40)].split("\n")[0]
-    return line, f"not a token: {text}" if kind == ERROR else "cut off" if a >= len(src.rstrip()) else f"unexpected {text or kind}"
+    return line, f"not a token: {text}" if kind == ERROR else f"unexpected {text or kind}"
 
 
 def _conditional_error(language: str, src: str, tokens: list[Token]) -> tuple[int, str] | None:
