@@ -74,10 +74,14 @@ def blake3(data: bytes) -> bytes:
 
 
 class Embedder(Protocol):
+    """Queries and documents may be embedded differently; feature hashing makes no difference."""
+
     id: str
     dim: int
 
-    def embed(self, texts: list[str]) -> np.ndarray: ...
+    def embed_document(self, texts: list[str]) -> np.ndarray: ...
+
+    def embed_query(self, texts: list[str]) -> np.ndarray: ...
 
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -105,6 +109,12 @@ class FeatureHash:
         self.method, self.dim = method, dim
         self.id = "feature-hash-v1" if method == "blake3" else "feature-hash-md5-v1"
 
+    def embed_document(self, texts: list[str]) -> np.ndarray:
+        return self.embed(texts)
+
+    def embed_query(self, texts: list[str]) -> np.ndarray:
+        return self.embed(texts)
+
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
@@ -122,21 +132,37 @@ def truncated(vectors: np.ndarray, dim: int) -> np.ndarray:
     return np.divide(part, norm, out=np.zeros_like(part), where=norm > 0)
 
 
-def embed_rows(df: DataFrame, embedder: Embedder, *, keep: list[str], text_col: str) -> DataFrame:
+class Nested:
+    """An embedder of nested representations, cut to ``dim`` coordinates."""
+
+    def __init__(self, inner: Embedder, dim: int):
+        if not 0 < dim <= inner.dim:
+            raise ValueError("dim must lie between 1 and that of the embedder")
+        self.inner, self.dim, self.id = inner, dim, f"{inner.id}-{dim}"
+
+    def embed_document(self, texts: list[str]) -> np.ndarray:
+        return truncated(self.inner.embed_document(texts), self.dim)
+
+    def embed_query(self, texts: list[str]) -> np.ndarray:
+        return truncated(self.inner.embed_query(texts), self.dim)
+
+
+def embed_rows(df: DataFrame, embedder: Embedder, *, keep: list[str], text_col: str, query: bool = False) -> DataFrame:
     """Rows ``(*keep, embedding)``, in Arrow batches; a null text has the zero vector."""
     rows = df.select(*keep, F.col(text_col).alias("_text"))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = embedder.embed_query if query else embedder.embed_document
         for pdf in batches:
-            yield pdf[keep].assign(embedding=list(embedder.embed(list(pdf["_text"])).astype(np.float32)))
+            yield pdf[keep].assign(embedding=list(embed(list(pdf["_text"])).astype(np.float32)))
 
     return rows.mapInPandas(run, f"{kinds}, embedding array<float>")
 
 
-def embed_column(df: DataFrame, embedder: Embedder, *, id_col: str, text_col: str) -> DataFrame:
+def embed_column(df: DataFrame, embedder: Embedder, *, id_col: str, text_col: str, query: bool = False) -> DataFrame:
     """Rows ``(id, embedding)``."""
-    return embed_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), embedder, keep=["id"], text_col="text")
+    return embed_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), embedder, keep=["id"], text_col="text", query=query)
 
 
 def choose_embedder(requested: str | None, model_path: str | None, path_exists) -> tuple[str, str | None]:

@@ -129,20 +129,3 @@ def index_text(body: Column, most: int | None = INDEX_BYTES) -> Column:
     # at most three bytes of a cut-off character stand at the end
     fits = F.coalesce(*[F.try_validate_utf8(F.substring(cut, 1, most - i).cast("string")) for i in range(4)])
     return F.when(F.octet_length(body) <= most, body).otherwise(fits)
-
-
-def import_kind(named: Column, default: Column, namespace: Column, required: Column) -> Column:
-    return F.when(required, "require").when(namespace, "namespace").when(default, "default").when(named, "named").otherwise("side_effect")
-
-
-def export_detail(names: Column, source: Column, default: Column) -> Column:
-    """``a, b`` / ``default x`` / ``a, b from s`` / ``* from s``."""
-    listed = F.when(F.size(names) == 0, F.lit("*")).otherwise(F.array_join(names, ", "))
-    return F.when(default, F.concat(F.lit("default "), F.array_join(names, ", "))).when(source.isNotNull(), F.concat(listed, F.lit(" from "), source)).otherwise(listed)
-
-
-def render_signature(name: Column, kind: Column, params: Column, returns: Column) -> Column:
-    """``name(p: T, q) -> R`` for callables, ``kind name`` for types; params is an array of (name, type)."""
-    shown = F.array_join(F.transform(params, lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(": "), p["type"]), F.lit("")))), ", ")
-    call = F.concat(name, F.lit("("), shown, F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), returns), F.lit("")))
-    return F.when(kind.isin("function", "method"), call).otherwise(F.concat(kind, F.lit(" "), name))

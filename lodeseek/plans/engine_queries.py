@@ -229,6 +229,27 @@ def order_gaps(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).alias("nth"), F.datediff("o_orderdate", F.lag("o_orderdate").over(w)).alias("days"))
 
 
+def overlap_with_previous(spark, d):
+    """The shared part of every live chunk's lines with those of the chunk before it in its file."""
+    w = Window.partitionBy("file_path").orderBy("start_line", "end_line", "id")
+    c = live_chunks(spark, d).select("id", "start_line", "end_line", F.lag("start_line").over(w).alias("a"), F.lag("end_line").over(w).alias("b")).filter("a IS NOT NULL")
+    return c.select("id", F.round(T.overlap_fraction(F.col("a"), F.col("b"), F.col("start_line"), F.col("end_line")), 6).alias("share"))
+
+
+def words_with_previous(spark, d):
+    """Likeness of the words of every hit's snippet to those of the hit before it."""
+    h = table(spark, d, "hits").select("query_id", "rank", "hit_id", F.array_distinct(T.code_tokens(F.col("snippet"))).alias("words")).distinct()
+    h = h.withColumn("last", F.lag("words").over(Window.partitionBy("query_id").orderBy("rank", "hit_id"))).filter("last IS NOT NULL")
+    return h.select("query_id", "hit_id", F.round(T.jaccard(F.col("words"), F.col("last")), 6).alias("likeness"))
+
+
+def feature_hash_blake3(spark, d):
+    """The default embedder over all documents; SQL has no such hash, tests have the pinned digests."""
+    e = embed_column(table(spark, d, "documents"), FeatureHash(), id_col="doc_id", text_col="text")
+    cells = e.select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("bucket", "value")).filter(F.col("value") != 0)
+    return cells.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum(F.round(F.col("value").cast("double") * 100_000).cast("long")).alias("total"))
+
+
 def windows(spark, d):
     w = line_windows(table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string")), path_col="path", content_col="text")
     return w.select("id", "start_line", "end_line", F.md5("body").alias("body"))
@@ -359,7 +380,7 @@ QUERIES = {
     for f in (
         tok_code, tok_plain, corpus_statistics, postings_df, bm25_batch, bm25_degenerate, knn_batch, cosine_to_label, feature_hash_md5, vector_batch, rrf_equal, rrf_weighted, weights_adaptive,
         boosted, search_hybrid, search_full, overlap_dedup, content_dedup, mmr, hydrated, wire, windows, blank_islands, chunk_id_parse, gates, lang_detect, first_lines, snippets,
-        index_files, index_chunks, index_search, registry_prune, sales_by_region, order_gaps, structure_imports, structure_functions, structure_types, *map(_of_language, LANGUAGES),
+        overlap_with_previous, words_with_previous, feature_hash_blake3, index_files, index_chunks, index_search, registry_prune, sales_by_region, order_gaps, structure_imports, structure_functions, structure_types, *map(_of_language, LANGUAGES),
         delta_changes, upsert_files, eval_recall_mrr, eval_hybrid_worse, debounce_bursts, structure_records, structure_chunks,
     )
 }

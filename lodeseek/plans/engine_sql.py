@@ -216,6 +216,12 @@ SELECT f.query_id, f.chunk_id, sc.score, CAST(f.rank AS BIGINT) AS rank FROM f J
     + _line_groups(_IMPORT_LINES, "source")
     + r" UNION SELECT language, rel_path, line, list_min(list_transform(string_split(regexp_extract(s, '^[ \t]*import[ \t]+([\w., \t]+)', 1), ','), lambda x: regexp_extract(x, '[^ \t]+'))) FROM l WHERE language = 'python' AND regexp_matches(s, '^[ \t]*import[ \t]+[\w., \t]+')",
     "structure_functions": _with(_LINES) + _line_groups(_FUNCTION_LINES, "name"),
+    "overlap_with_previous": _with(_LIVE)
+    + """SELECT id, CASE WHEN least(b, end_line) < greatest(a, start_line) THEN 0 ELSE round((least(b, end_line) - greatest(a, start_line) + 1) / least(b - a + 1, end_line - start_line + 1), 6) END AS share
+FROM (SELECT id, start_line, end_line, lag(start_line) OVER w AS a, lag(end_line) OVER w AS b FROM live WINDOW w AS (PARTITION BY file_path ORDER BY start_line, end_line, id)) WHERE a IS NOT NULL""",
+    "words_with_previous": f"""WITH h AS (SELECT DISTINCT query_id, rank, hit_id, list_distinct({_code('snippet')}) AS w FROM hits),
+x AS (SELECT *, lag(w) OVER (PARTITION BY query_id ORDER BY rank, hit_id) AS v FROM h)
+SELECT query_id, hit_id, CASE WHEN len(list_distinct(list_concat(w, v))) = 0 THEN 0 ELSE round(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))), 6) END AS likeness FROM x WHERE v IS NOT NULL""",
     "structure_types": _with(_LINES) + _line_groups(_TYPE_LINES, "name"),
     "registry_prune": _with(_NOW) + "SELECT DISTINCT repo_id FROM file_states WHERE repo_id NOT IN (SELECT repo_id FROM now)",
     "sales_by_region": """SELECT r_name, n_name, count(*) AS lines, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

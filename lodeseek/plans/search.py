@@ -73,7 +73,7 @@ def ranked(queries: DataFrame, corpus: Corpus, embedder: Embedder, knobs: Knobs
     """The fused list ``(query_id, chunk_id, score, rank)`` before anything is dropped."""
     depth = knobs.candidates or knobs.k
     lexical = bm25_topk(corpus.postings, corpus.stats, queries, depth)
-    asked = embed_column(queries, embedder, id_col="query_id", text_col="query").withColumnRenamed("id", "query_id")
+    asked = embed_column(queries, embedder, id_col="query_id", text_col="query", query=True).withColumnRenamed("id", "query_id")
     vectors = corpus.vectors
     if knobs.drop_tokenless:
         vectors = vectors.filter(F.exists("embedding", lambda x: x != 0))

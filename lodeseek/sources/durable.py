@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,9 +38,18 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """``df`` as a table of the shared folder, removed when the driver ends."""
+    """``df`` as a table of the shared folder, removed when the driver ends or by ``clear``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables written so far; for long sessions, once their results have been taken."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)

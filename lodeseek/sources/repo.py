@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import MAX_FILE_BYTES, MAX_LINE_BYTES, language_of, no_long_line, relative_path
@@ -52,17 +51,18 @@ def ignore_pattern(rule: str) -> re.Pattern | None:
     return re.compile(("" if anchored else r"(?:.*/)?") + out + (r"/.*" if only_dir else r"(?:/.*)?") + r"\Z", re.S)
 
 
-def ignored(path: str, rules: list[tuple[str, list[str]]]) -> bool:
-    """Whether ``path`` is ignored; ``rules`` pairs directories with their lines, outer first. Hidden names always are."""
-    if any(part.startswith(".") for part in path.split("/")):
-        return True
+def ignored(path: str, rules: list[tuple]) -> bool:
+    """Whether ``path`` is ignored; ``rules`` gives directories and their lines, outer first, and for a directory above
+    the root the way from it to the root. Hidden names are ignored always."""
     parts = path.split("/")
+    if any(part.startswith(".") for part in parts):
+        return True
     for n in range(1, len(parts) + 1):  # what lies in an ignored directory can't be taken back
         sub, verdict = "/".join(parts[:n]), False
-        for base, lines in rules:
+        for base, lines, *above in rules:
             if base and not sub.startswith(base + "/"):
                 continue
-            rel = sub[len(base) + 1 :] if base else sub
+            rel = f"{above[0]}/{sub}" if above else sub[len(base) + 1 :] if base else sub
             for line in lines:
                 p = ignore_pattern(line)
                 if p and p.match(rel + ("/" if n < len(parts) and line.rstrip().endswith("/") else "")):
@@ -72,29 +72,42 @@ def ignored(path: str, rules: list[tuple[str, list[str]]]) -> bool:
     return False
 
 
-def read_rules(root: str) -> list[tuple[str, list[str]]]:
-    """Ignore files below and above ``root``, outer ones first."""
-    found = []
-    up = os.path.dirname(os.path.abspath(root))
-    above = []
-    while True:
-        above.append(up)
-        if os.path.dirname(up) == up:
-            break
+def global_ignore_file(home: str | None = None) -> str:
+    """The ignore file of all of a user's trees: what ``core.excludesFile`` names, or ``ignore`` in git's folder."""
+    home = home or os.path.expanduser("~")
+    folder = os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config"), "git")
+    for config in (os.path.join(home, ".gitconfig"), os.path.join(folder, "config")):
+        section = ""
+        for line in _lines(config):
+            if m := re.match(r"\s*\[\s*(\w+)", line):
+                section = m.group(1).lower()
+            elif section == "core" and (m := re.match(r"\s*excludesfile\s*=\s*\"?([^\"#;]+)", line, re.I)):
+                return os.path.join(home, m.group(1).strip().removeprefix("~/"))
+    return os.path.join(folder, "ignore")
+
+
+def read_rules(root: str, home: str | None = None) -> list[tuple]:
+    """Ignore files of the user, above ``root`` and below it, outer ones first. Ignored directories are not entered."""
+    root = os.path.abspath(root)
+    found: list[tuple] = []
+    if lines := _lines(global_ignore_file(home)):
+        found.append(("", lines))
+    above, up = [], root
+    while os.path.dirname(up) != up:
         up = os.path.dirname(up)
+        above.append(up)
     for d in reversed(above):
-        lines = [x for f in IGNORE_FILES for x in _lines(os.path.join(d, f)) if "/" not in x.rstrip("\n").rstrip("/")]
-        if lines:
-            found.append(("", lines))
-    exclude = _lines(os.path.join(root, ".git", "info", "exclude"))
-    if exclude:
-        found.append(("", exclude))
-    for d, dirs, _ in sorted(os.walk(root)):
-        dirs[:] = sorted(x for x in dirs if not x.startswith("."))
+        if lines := [x for f in IGNORE_FILES for x in _lines(os.path.join(d, f))]:
+            found.append(("", lines, os.path.relpath(root, d).replace(os.sep, "/")))
+    if lines := _lines(os.path.join(root, ".git", "info", "exclude")):
+        found.append(("", lines))
+    for d, dirs, _ in os.walk(root):
         base = os.path.relpath(d, root).replace(os.sep, "/")
-        lines = [x for f in IGNORE_FILES for x in _lines(os.path.join(d, f))]
-        if lines:
-            found.append(("" if base == "." else base, lines))
+        base = "" if base == "." else base
+        if lines := [x for f in IGNORE_FILES for x in _lines(os.path.join(d, f))]:
+            found.append((base, lines))
+        near = [r for r in found if not r[0] or (base + "/").startswith(r[0] + "/")]
+        dirs[:] = sorted(x for x in dirs if not ignored(f"{base}/{x}/_".lstrip("/"), near))
     return found
 
 
@@ -129,14 +142,12 @@ def read_records(spark: SparkSession, path: str, take: int | None = None) -> tup
     """``(records (ord, docstring, code), malformed (ord, line))`` of a JSON-lines file; blank lines are
     neither; ``take`` keeps the first so many usable records by their place in the file."""
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = 0
-        for pdf in batches:
-            yield pd.DataFrame({"ord": range(at, at + len(pdf)), "value": pdf["value"]})
-            at += len(pdf)
-
-    # lines of one file keep their order in one partition; the file is a benchmark's, not a corpus
-    lines = spark.read.text(path).coalesce(1).mapInPandas(number, "ord long, value string").filter(F.trim("value") != "")
+    # lines keep their order within a split; a split's first place follows from the lines of those before it
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("at"))
+    sizes = lines.groupBy("f", "s").agg(F.count("*").alias("k"))
+    before = sizes.select("f", "s", (F.sum("k").over(Window.orderBy("f", "s")) - F.col("k")).alias("before"))  # one row for each split
+    placed = lines.withColumn("n", F.row_number().over(Window.partitionBy("f", "s").orderBy("at")) - 1).join(before, ["f", "s"])
+    lines = placed.select((F.col("before") + F.col("n")).alias("ord"), "value").filter(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", "docstring string, code string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     good = parsed.filter(F.col("r._bad").isNull() & F.col("r.docstring").isNotNull() & F.col("r.code").isNotNull())
     usable = good.select("ord", "r.docstring", "r.code").filter((F.trim("docstring") != "") & (F.trim("code") != ""))

@@ -81,11 +81,15 @@ def watch_tree(spark: SparkSession, root: str, handle: Callable[[], None], check
     return watch(ticks, handle, checkpoint, every=every, calls=changed)
 
 
-def content_changes(files: DataFrame) -> DataFrame:
+def content_changes(files: DataFrame, *, forget_after_ms: int | None = None) -> DataFrame:
     """A stream ``(path, content_hash)`` turned into ``(path, change)`` with new or changed; a state per path
-    holds the last hash, so a file seen again with the same content gives nothing."""
+    holds the last hash, so a file seen again with the same content gives nothing. With ``forget_after_ms`` the
+    state of a path that was not seen for so long is dropped, and the path is new when it comes again."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = state.get[0] if state.exists else None
         out = []
         for pdf in batches:
@@ -95,10 +99,12 @@ def content_changes(files: DataFrame) -> DataFrame:
                     old = h
         if old is not None:
             state.update((old,))
+            if forget_after_ms is not None:
+                state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame(out, columns=["path", "change"])
 
     rows = files.filter(F.col("path").isNotNull() & F.col("content_hash").isNotNull()).select("path", "content_hash")
-    return rows.groupBy("path").applyInPandasWithState(step, "path string, change string", "hash string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("path").applyInPandasWithState(step, "path string, change string", "hash string", "append", GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def default_store(root: str) -> str:

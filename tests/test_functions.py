@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
-from lodeseek.functions.hashing import FeatureHash, blake3, choose_embedder, truncated
+from lodeseek.functions.hashing import FeatureHash, Nested, blake3, choose_embedder, truncated
 
 TOKENS = [
     ("parseString", ["parse", "string"]),
@@ -76,15 +76,6 @@ def test_cuts(spark):
     assert one(spark, "a\n" + "x" * 4097, T.no_long_line) is False and one(spark, "x" * 4096, T.no_long_line) is True
 
 
-def test_rendering(spark):
-    df = spark.createDataFrame([(["a", "b"], "s", False), (["x"], None, True), ([], "s", False), (["a", "b"], None, False)], "n array<string>, s string, d boolean")
-    assert [r[0] for r in df.select(T.export_detail(F.col("n"), F.col("s"), F.col("d"))).collect()] == ["a, b from s", "default x", "* from s", "a, b"]
-    p = spark.createDataFrame([("f", "function", [("p", "T"), ("q", None)], "R"), ("S", "struct", [], None)], "n string, k string, p array<struct<name:string,type:string>>, r string")
-    assert [r[0] for r in p.select(T.render_signature(*[F.col(c) for c in "nkpr"])).collect()] == ["f(p: T, q) -> R", "struct S"]
-    k = spark.createDataFrame([(True, True, True, False), (True, True, False, False), (True, False, False, False), (False, False, False, False), (False, False, False, True)], "a boolean, b boolean, c boolean, d boolean")
-    assert [r[0] for r in k.select(T.import_kind(*[F.col(c) for c in "abcd"])).collect()] == ["namespace", "default", "named", "side_effect", "require"]
-
-
 def test_blake3_vectors():
     data = bytes(i % 251 for i in range(3000))
     # Public test vectors of the algorithm, by length of that input.
@@ -115,3 +106,11 @@ def test_choice_of_embedder():
 @given(st.binary(max_size=200))
 def test_blake3_is_a_function(b):
     assert blake3(b) == blake3(bytes(b)) and len(blake3(b)) == 32
+
+
+def test_nested_representations():
+    inner = FeatureHash()
+    cut = Nested(inner, 192)
+    v = cut.embed_query(["read the file", ""])
+    assert v.shape == (2, 192) and cut.id == "feature-hash-v1-192" and abs(np.linalg.norm(v[0]) - 1) < 1e-9 and not v[1].any()
+    assert np.allclose(cut.embed_document(["a b"]), truncated(inner.embed(["a b"]), 192))

@@ -8,9 +8,9 @@ from lodeseek.functions.hashing import FeatureHash
 from lodeseek.operators.delta import changes, latest, remove, upsert
 from lodeseek.operators.retrieval import bm25_topk
 from lodeseek.plans.search import Corpus, Knobs, resolve_weights, search
-from lodeseek.sources.durable import shared_folder, written
+from lodeseek.sources.durable import clear, shared_folder, written
 from lodeseek.sources import files as fs
-from lodeseek.sources.repo import ignored, read_records, walk
+from lodeseek.sources.repo import ignored, read_records, read_rules, walk
 from lodeseek.sources.store import Registry, Store, StoreError, corpus_counts, migrate, open_or_build, reindex
 
 
@@ -57,6 +57,18 @@ def test_ignore_rules():
     assert ignored("sub/local/f", rules) and not ignored("local", rules) and ignored("a/.b/c", rules)
 
 
+def test_rules_from_above_and_of_the_user(tmp_path, monkeypatch):
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    put(tmp_path, {"up/.gitignore": "/tree/top.txt\nsub/deep\n*.tmp\n", "up/tree/.gitignore": "build/\n", "up/tree/build/.gitignore": "!kept\n", "up/tree/a/.ignore": "b\n", "home/.gitconfig": "[user]\n  excludesfile = no\n[core]\n\texcludesFile = ~/mine\n", "home/mine": "*.bak\n"})
+    rules = read_rules(str(tmp_path / "up" / "tree"), str(tmp_path / "home"))
+    hit = {p for p in ("top.txt", "x/top.txt", "sub/deep", "x.tmp", "a/b", "b", "y.bak", "build/kept", "ok.txt") if ignored(p, rules)}
+    assert hit == {"top.txt", "x.tmp", "a/b", "y.bak", "build/kept"}
+    assert not any(r[0] == "build" for r in rules)
+    os.remove(tmp_path / "home" / ".gitconfig")
+    put(tmp_path, {"home/.config/git/ignore": "*.swp\n"})
+    assert ignored("x.swp", read_rules(str(tmp_path / "up" / "tree"), str(tmp_path / "home")))
+
+
 def test_records(spark, tmp_path):
     lines = [json.dumps({"docstring": "d1", "code": "c1"}), "", "{broken", json.dumps({"docstring": "", "code": "c2"}), json.dumps({"docstring": "d3", "code": "c3"})]
     (tmp_path / "r.jsonl").write_text("\n".join(lines))
@@ -136,6 +148,11 @@ def test_changes(spark):
     assert {r.v for r in latest(spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "k int, t int, v string"), ["k"], F.col("t").desc()).collect()} == {"y", "z"}
 
 
+def test_written_tables_can_be_cleared(spark):
+    path = written(spark.range(3), "gone").inputFiles()[0]
+    assert clear(spark) > 0 and clear(spark) == 0 and not os.path.exists(path.removeprefix("file://"))
+
+
 def test_written_tables(spark):
     df = spark.createDataFrame([(1, None), (2, [1, 2])], "a int, b array<int>")
     w = written(df, "t")
@@ -256,3 +273,14 @@ def test_migration(spark, tmp_path):
     assert migrate(store, e, "R") and not migrate(store, e, "R")
     assert listing(store, "symbols", "repo_id", "chunk_id", "name") == [("R", "x.py:1-2", "apple")] and listing(store, "files", "repo_id", "path") == [("R", "x.py")]
     assert store.verify(e)["buckets"] == 4 and corpus_counts(store).first()[0] == 1
+
+
+def test_places_of_records_in_several_splits(spark, tmp_path):
+    rows = [json.dumps({"docstring": f"d{i}", "code": "c" * (i % 7 + 1)}) for i in range(2000)]
+    (tmp_path / "r.jsonl").write_text("\n".join(rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        good, _ = read_records(spark, str(tmp_path / "r.jsonl"))
+        assert [(r.ord, r.docstring) for r in good.orderBy("ord").collect()] == [(i, f"d{i}") for i in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
