@@ -321,7 +321,7 @@ def expand(members: DataFrame, links: DataFrame, pair_limit: int = PAIR_LIMIT) -
     return every.groupBy("grp", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
 
-def groups(pairs: DataFrame, rounds: int = 64, *, degree: DataFrame | None = None) -> DataFrame:
+def groups(pairs: DataFrame, *, degree: DataFrame | None = None) -> DataFrame:
     """Rows ``(grp, id, root, links)``: connected components of the pairs, named by their smallest id.
 
     Links are counted in the pairs unless ``degree`` gives them as rows ``(grp, u, links)``.
@@ -331,7 +331,7 @@ def groups(pairs: DataFrame, rounds: int = 64, *, degree: DataFrame | None = Non
     if degree is None:
         degree = edges.select("grp", "u").unionByName(edges.select("grp", F.col("v").alias("u"))).groupBy("grp", "u").agg(F.count("*").alias("links"))
     state = edges
-    for _ in range(rounds):
+    while True:
         both = state.unionByName(state.select("grp", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("grp", "u").agg(F.min("v").alias("lv")).select("grp", "u", F.least("u", "lv").alias("m"))
         large = both.join(least, ["grp", "u"]).filter("v > u").select("grp", F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -343,8 +343,6 @@ def groups(pairs: DataFrame, rounds: int = 64, *, degree: DataFrame | None = Non
         state = new
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = state.select("grp", F.col("u").alias("id"), F.col("v").alias("root"))
     tops = roots.select("grp", F.col("root").alias("id"), "root").distinct()
     return roots.unionByName(tops).join(degree.withColumnRenamed("u", "id"), ["grp", "id"])
