@@ -29,7 +29,7 @@ from lodeseek.functions.hashing import Embedder, embed_rows
 from lodeseek.functions.text import chunk_id, code_tokens, index_text, language_of
 from lodeseek.operators.delta import changes, latest
 from lodeseek.operators.retrieval import postings
-from lodeseek.operators.structure import analyse, line_windows
+from lodeseek.operators.structure import RECORDS, analyse, line_windows
 from lodeseek.sources import files as fs
 
 SCHEMA_VERSION = 2
@@ -152,9 +152,10 @@ def corpus_counts(store: Store, meta: dict | None = None) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).withColumn("avgdl", F.try_divide("total", "n"))
 
 
-def _built(files: DataFrame) -> dict[str, DataFrame]:
-    """What is read off the files themselves. All rows carry ``repo_id`` and ``file_path``."""
-    records = analyse(files)
+def _built(files: DataFrame, stage: str) -> dict[str, DataFrame]:
+    """What is read off the files themselves, each of which is parsed once. All rows carry ``repo_id`` and ``file_path``."""
+    analyse(files).write.partitionBy("record").parquet(f"{stage}/records")
+    records = files.sparkSession.read.schema(RECORDS).parquet(f"{stage}/records")
     ids = chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"))
     place = ["repo_id", "file_path"]
     known = records.filter(F.col("record") == "chunk").select(*place, ids.alias("id"), "start_line", "end_line", "kind", "body")
@@ -196,7 +197,7 @@ def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool =
     full = force or not store.exists()
     touched = None
     if full:
-        n = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, files.count() // FILES_PER_BUCKET))
+        n = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, files.select("repo_id", "rel_path").count() // FILES_PER_BUCKET))
         work = files
     else:
         meta = store.verify(embedder)
@@ -216,12 +217,15 @@ def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool =
         gone = diff.filter(F.col("change").isin("deleted", "changed")).select("repo_id", F.col("path").alias("file_path"))
         work = files.join(diff.filter(F.col("change").isin("new", "changed")).select("repo_id", F.col("path").alias("rel_path")), ["repo_id", "rel_path"], "left_semi")
     stage = stage if not full else f"{store.path}/stage-{uuid.uuid4().hex}"
-    # what is derived needs the chunks several times; they are written once and read again
+    # files and chunks are needed several times; they are written once and read again
+    work.write.parquet(f"{stage}/work")
+    work = spark.read.schema(work.schema).parquet(f"{stage}/work")
     made = {}
-    for name, df in _built(work).items():
+    for name, df in _built(work, stage).items():
         path = F.col("path") if name == "files" else F.col("file_path")
-        df.withColumn("bucket", store.bucket(F.col("repo_id"), path, n)).write.parquet(f"{stage}/{name}")
-        made[name] = spark.read.parquet(f"{stage}/{name}")
+        made[name] = df.withColumn("bucket", store.bucket(F.col("repo_id"), path, n))
+    made["chunks"].write.parquet(f"{stage}/chunks")
+    made["chunks"] = spark.read.schema(made["chunks"].schema).parquet(f"{stage}/chunks")
     indexed, chunks = made["files"].count(), made["chunks"].count()
     made |= _derived(made["chunks"], embedder, most_bytes)
     if not full:
