@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm.packing import CAPACITY, fill, pack
+from lodeseek.sources.durable import written
 from lodeseek.sources.tables import table
 
 #: A rank file of a public tokenizer, the same on every worker.
@@ -28,7 +29,7 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of the containers, as counts: all texts are placed, with all their pieces, and nothing is
     too full, split without need, beside its copy, or beside a text of a source that can be kept apart."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source").filter(F.col("text").isNotNull()).distinct()
-    placed = p7_containers(spark, d)
+    placed = written(p7_containers(spark, d), "placed")
     folded = F.lower(F.array_join(F.filter(F.split("text", r"[\s\x1c-\x1f\x85\xa0]+"), lambda w: w != ""), " "))
     of = placed.join(docs.select("doc_id", "source", F.xxhash64(folded).alias("copy")), "doc_id")
     task = F.shiftright("container", 32)
