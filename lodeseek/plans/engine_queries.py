@@ -142,17 +142,13 @@ def search_full(spark, d):
     return hits.select("query_id", "rank", "chunk_id", "file_path", "start_line", "end_line", "kind", "signature", F.round("score", 9).alias("score"), F.size("imports").alias("imports"))
 
 
-def _hits(spark, d):
-    return table(spark, d, "hits").dropDuplicates(["hit_id"])
-
-
 def overlap_dedup(spark, d):
-    h = _hits(spark, d).select("query_id", "rank", "hit_id", "file", "start_line", "end_line")
+    h = table(spark, d, "hits").select("query_id", "rank", "hit_id", "file", "start_line", "end_line").distinct()
     return drop_overlaps(h).select("query_id", "rank", "hit_id")
 
 
 def content_dedup(spark, d):
-    h = _hits(spark, d).select("query_id", "rank", "hit_id", "snippet", "signature")
+    h = table(spark, d, "hits").select("query_id", "rank", "hit_id", "snippet", "signature").distinct()
     return drop_same_content(h).select("query_id", "rank", "hit_id")
 
 
