@@ -135,3 +135,41 @@ def test_quality(spark):
     f = lambda ranks: spark.createDataFrame(list(enumerate(ranks)), "query_id long, rank long")
     assert worse_than_either(f([2, None, 1, None]), f([1, None, 5, 3]), f([5, None, None, None])).first().worse == 2
     assert Counter(first_relevant(labels, r, places).toPandas()["rank"].isna()) == Counter({False: 2, True: 1})
+
+
+def test_bm25_of_many_queries_pairs_no_rows(spark):
+    """A term that all share is in each query and each chunk: 300 queries and 600 chunks give results, not 180 000 rows to shuffle."""
+    rng = np.random.default_rng(2)
+    words = [["common", *(f"w{x}" for x in rng.integers(0, 40, rng.integers(1, 9)))] for _ in range(600)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", " ".join(w).replace("w", "W_")) for i, w in enumerate(words)], "id string, body string").repartition(7)
+    words = [[x if x == "common" else y for x in w for y in ((x,) if x == "common" else ("w", x[1:]))] for w in words]
+    asked = [(i, f"common w_{i % 40} w_{i % 7} common") for i in range(300)] + [(300, "common w_0 w_0 common"), (301, "?")]
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    index, stats = postings(chunks, distinct_ids=True), corpus_stats(chunks)
+    docs = [(f"c{i:03d}", w) for i, w in enumerate(words)]
+    for block in (1 << 20, 200):
+        found = bm25_topk(index, stats, q, 5, block=block)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((round(r.score, 8), r.chunk_id))
+        assert set(got) == set(range(301)) and got[300] == got[0]
+        for i in (0, 1, 13, 39, 40, 299):
+            query = ["common", "w", str(i % 40), "w", str(i % 7), "common"]
+            assert got[i] == [(round(s, 8), c) for s, c in brute_bm25(docs, query, 5)]
+    assert rows_shuffled(spark, lambda: bm25_topk(index, stats, q, 5).collect()) < 20_000
+
+
+def rows_shuffled(spark, run):
+    """The rows that the stages of ``run`` wrote to shuffles."""
+    store = spark._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda l: [l.apply(i) for i in range(l.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_postings_of_distinct_ids(spark):
+    chunks = spark.createDataFrame([*DOCS, ("n", None), ("e", ""), ("one", "x"), ("run", "b a b a b aa")], "id string, body string")
+    a, b = (postings(chunks, distinct_ids=x).select("term", "chunk_id", "dl", "tf").collect() for x in (True, False))
+    assert sorted(a) == sorted(b) and len(a) > 10
+    assert "Exchange" not in postings(chunks, distinct_ids=True)._jdf.queryExecution().executedPlan().toString()
