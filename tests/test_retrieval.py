@@ -173,3 +173,28 @@ def test_postings_of_distinct_ids(spark):
     a, b = (postings(chunks, distinct_ids=x).select("term", "chunk_id", "dl", "tf").collect() for x in (True, False))
     assert sorted(a) == sorted(b) and len(a) > 10
     assert "Exchange" not in postings(chunks, distinct_ids=True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_knn_over_slices_of_a_batch(spark, monkeypatch):
+    from lodeseek.operators import retrieval
+
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    monkeypatch.setattr(retrieval, "DISTANCES_AT_ONCE", 50)
+    run = retrieval._nearest(x[:9], 3, 6)
+    import pandas as pd
+
+    out = pd.concat(run(iter([pd.DataFrame({"id": range(60), "embedding": list(x)})])))
+    for i in range(9):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 6)
+        assert list(out[out.asked == i].chunk_id) == sorted(range(60), key=lambda j: (d[j], j))[:3]
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_evaluation_ranks_once(spark, monkeypatch):
+    from lodeseek.plans import engine_queries as e
+
+    calls = []
+    for name in ("bm25_topk", "knn", "live_chunks"):
+        monkeypatch.setattr(e, name, lambda *a, f=getattr(e, name), n=name, **k: calls.append(n) or f(*a, **k))
+    e.eval_recall_mrr(spark, "/root/testdata/sf0.001")
+    assert sorted(calls) == ["bm25_topk", "knn", "live_chunks"]
