@@ -31,12 +31,18 @@ from lodeseek.operators.delta import changes, latest
 from lodeseek.operators.retrieval import postings
 from lodeseek.operators.structure import RECORDS, analyse, line_windows
 from lodeseek.sources import files as fs
+from lodeseek.sources.durable import shuffles_removed
 
 SCHEMA_VERSION = 2
 #: The column a table is sorted by within its buckets.
 SORTED_BY = {"chunks": "id", "vectors": "id", "postings": "term", "symbols": "chunk_id", "imports": "file_path", "exports": "file_path", "files": "path", "counts": "n"}
 #: Files of a bucket when an index is first built, and the bounds of the number of buckets.
 FILES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 2000, 4, 4096
+#: Parquet files that a bucket may have on average before a reindex brings its rows together again.
+PARTS_PER_BUCKET = 8
+#: Keys of repeated or vanished files that are sent to every executor; more meet the rows in a shuffle.
+KEYS_SENT = 500_000
+CODEC = "zstd"
 
 
 class StoreError(RuntimeError):
@@ -106,21 +112,10 @@ class Store:
     def publish(self, tables: dict[str, DataFrame], embedder: Embedder, buckets: int, *, touched: set[int] | None = None, most_bytes: int | None = None) -> str:
         """Writes the rows of ``tables``, each with its ``bucket``, and makes them the current version. With ``touched``
         only those buckets are replaced, and the others are those of the version before."""
-        version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        before = self.meta()["tables"] if touched is not None else {}
-        listed = {}
+        draft = Draft(self, buckets, touched)
         for name, df in tables.items():
-            at = f"{version}/{name}"
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "bucket")
-            sized = df.repartition(min(buckets, len(touched) if touched else buckets), "bucket")
-            sized.sortWithinPartitions("bucket", SORTED_BY[name]).write.partitionBy("bucket").parquet(f"{self.path}/{at}")
-            kept = {b: d for b, d in before.get(name, {"buckets": {}})["buckets"].items() if int(b) not in (touched or ())} if touched is not None else {}
-            made = {str(b): f"{at}/bucket={b}" for b in (touched if touched is not None else range(buckets)) if fs.exists(self.spark, f"{self.path}/{at}/bucket={b}")}
-            listed[name] = {"schema": schema, "buckets": kept | made}
-        manifest = {"schema_version": SCHEMA_VERSION, "embedder_id": embedder.id, "embedder_dim": embedder.dim, "buckets": buckets, "most_bytes": most_bytes, "tables": listed}
-        fs.replace_text(self.spark, f"{self.path}/{version}/manifest.json", json.dumps(manifest))
-        fs.replace_text(self.spark, self.pointer, version)
-        return version
+            draft.add(name, df)
+        return draft.publish(embedder, most_bytes)
 
     def prune(self) -> int:
         """Deletes what no bucket of the current version lies in; readers of older versions must be gone."""
@@ -146,6 +141,39 @@ class Store:
         return gone
 
 
+class Draft:
+    """A version in the making: tables are added one by one, and what is there can be read before it is published."""
+
+    def __init__(self, store: Store, buckets: int, touched: set[int] | None = None):
+        self.store, self.buckets, self.touched = store, buckets, touched
+        self.version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        self.before = store.meta()["tables"] if touched is not None else {}
+        self.listed: dict[str, dict] = {}
+
+    def add(self, name: str, df: DataFrame, *, laid: bool = False) -> None:
+        """Rows that are ``laid`` lie together by bucket where they are read, and are written without a shuffle."""
+        store, at, touched = self.store, f"{self.version}/{name}", self.touched
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "bucket")
+        if not laid:
+            df = df.repartition(min(self.buckets, len(touched) if touched else self.buckets), "bucket")
+        with shuffles_removed(store.spark):
+            df.sortWithinPartitions("bucket", SORTED_BY[name]).write.option("compression", CODEC).partitionBy("bucket").parquet(f"{store.path}/{at}")
+        kept = {b: d for b, d in self.before.get(name, {"buckets": {}})["buckets"].items() if int(b) not in (touched or ())} if touched is not None else {}
+        made = {str(b): f"{at}/bucket={b}" for b in (touched if touched is not None else range(self.buckets)) if fs.exists(store.spark, f"{store.path}/{at}/bucket={b}")}
+        self.listed[name] = {"schema": schema, "buckets": kept | made}
+
+    def written(self, name: str) -> DataFrame:
+        """The rows that ``add`` wrote, each with its ``bucket``."""
+        return self.store.spark.read.schema(f"{self.listed[name]['schema']}, bucket int").parquet(f"{self.store.path}/{self.version}/{name}")
+
+    def publish(self, embedder: Embedder, most_bytes: int | None) -> str:
+        store = self.store
+        manifest = {"schema_version": SCHEMA_VERSION, "embedder_id": embedder.id, "embedder_dim": embedder.dim, "buckets": self.buckets, "most_bytes": most_bytes, "tables": self.listed}
+        fs.replace_text(store.spark, f"{store.path}/{self.version}/manifest.json", json.dumps(manifest))
+        fs.replace_text(store.spark, store.pointer, self.version)
+        return self.version
+
+
 def corpus_counts(store: Store, meta: dict | None = None) -> DataFrame:
     """One row ``(n, total, avgdl)``: the buckets' counts, summed."""
     counts = store._read(meta or store.meta(), "counts")
@@ -172,16 +200,47 @@ def _built(files: DataFrame, stage: str) -> dict[str, DataFrame]:
 def _derived(chunks: DataFrame, embedder: Embedder, most_bytes: int | None) -> dict[str, DataFrame]:
     """What is made of chunks ``(bucket, repo_id, file_path, id, body)``: vectors, postings, and counts by bucket."""
     place = ["bucket", "repo_id", "file_path", "id"]
+    # chunks of distinct ids have their terms counted in place; only what repeats an id has to be brought together
+    distinct = not chunks.groupBy("repo_id", "file_path", "id").count().filter("count > 1").head(1)
     vectors = embed_rows(chunks.select(*place, index_text(F.col("body"), most_bytes).alias("text")), embedder, keep=place, text_col="text")
-    terms = postings(chunks.select(F.struct(*place).alias("at"), "body"), id_col="at", most_bytes=most_bytes)
-    length = F.greatest(F.coalesce(F.size(code_tokens(index_text(F.col("body"), most_bytes))), F.lit(0)), F.lit(0)).cast("long")
+    terms = postings(chunks.select(F.struct(*place).alias("at"), "body"), id_col="at", most_bytes=most_bytes, distinct_ids=distinct)
     return {
         "vectors": vectors,
         "postings": terms.select("chunk_id.bucket", "chunk_id.repo_id", "chunk_id.file_path", "term", F.col("chunk_id.id").alias("chunk_id"), "tf", "dl"),
-        "counts": chunks.select("bucket", length.alias("dl")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("dl").alias("total")),
+        "counts": _counts(chunks, most_bytes),
     }
 
 
+def _counts(chunks: DataFrame, most_bytes: int | None) -> DataFrame:
+    length = F.greatest(F.coalesce(F.size(code_tokens(index_text(F.col("body"), most_bytes))), F.lit(0)), F.lit(0)).cast("long")
+    return chunks.select("bucket", length.alias("dl")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", CODEC).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """``keys`` for a join that leaves the other side where it is, if there are not too many."""
+    return F.broadcast(keys) if keys.count() <= KEYS_SENT else keys
+
+
+def _newest(files: DataFrame, stage: str) -> DataFrame:
+    """The row of each path that counts. Contents are moved only for paths that occur more than once."""
+    keys = ["repo_id", "rel_path"]
+    order = F.col("mtime").desc_nulls_last(), F.col("content")
+    repeated = _staged(files.groupBy(*keys).count().filter("count > 1").select(*keys), stage)
+    n = repeated.limit(KEYS_SENT + 1).count()
+    if n > KEYS_SENT:
+        return latest(files, keys, *order)
+    if n == 0:
+        return files
+    repeated = F.broadcast(repeated)
+    return files.join(repeated, keys, "left_anti").select(*files.columns).unionByName(latest(files.join(repeated, keys, "left_semi").select(*files.columns), keys, *order))
+
+
 def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool = False, most_bytes: int | None = None, buckets: int | None = None, repos: list[str] | None = None) -> dict:
     """Brings the index up to ``files (repo_id, rel_path, content, language, mtime)`` and reports.
 
@@ -193,12 +252,12 @@ def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool =
     """
     began = time.monotonic()
     spark = store.spark
-    files = latest(files.filter(F.col("repo_id").isNotNull() & F.col("rel_path").isNotNull() & F.col("content").isNotNull()), ["repo_id", "rel_path"], F.col("mtime").desc_nulls_last(), F.col("content"))
+    stage = f"{store.path}/stage-{uuid.uuid4().hex}"
+    files = _newest(files.filter(F.col("repo_id").isNotNull() & F.col("rel_path").isNotNull() & F.col("content").isNotNull()), f"{stage}/repeated")
     full = force or not store.exists()
-    touched = None
+    touched = gone = None
     if full:
-        n = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, files.select("repo_id", "rel_path").count() // FILES_PER_BUCKET))
-        work = files
+        n, work = buckets, files
     else:
         meta = store.verify(embedder)
         n, most_bytes = meta["buckets"], meta["most_bytes"]
@@ -206,38 +265,53 @@ def reindex(store: Store, files: DataFrame, embedder: Embedder, *, force: bool =
         own = spark.createDataFrame([(r,) for r in repos], "repo_id string") if repos else files.select("repo_id").distinct()
         now = files.select("repo_id", F.col("rel_path").alias("path"), F.sha2("content", 256).alias("content_hash"))
         diff = changes(now, old.join(own, "repo_id", "left_semi")).filter(F.col("change") != "same")
-        stage = f"{store.path}/stage-{uuid.uuid4().hex}"
-        diff.withColumn("bucket", store.bucket(F.col("repo_id"), F.col("path"), n)).write.parquet(f"{stage}/diff")
-        diff = spark.read.parquet(f"{stage}/diff")
+        diff = _staged(diff.withColumn("bucket", store.bucket(F.col("repo_id"), F.col("path"), n)), f"{stage}/diff")
         # no more rows than there are buckets
         touched = {r[0] for r in diff.select("bucket").distinct().collect()}
         if not touched:
             fs.delete(spark, stage)
             return {"files_indexed": 0, "chunks": 0, "incremental": True, "buckets_written": 0, "duration_ms": int((time.monotonic() - began) * 1000)}
-        gone = diff.filter(F.col("change").isin("deleted", "changed")).select("repo_id", F.col("path").alias("file_path"))
-        work = files.join(diff.filter(F.col("change").isin("new", "changed")).select("repo_id", F.col("path").alias("rel_path")), ["repo_id", "rel_path"], "left_semi")
-    stage = stage if not full else f"{store.path}/stage-{uuid.uuid4().hex}"
+        gone = _sent(diff.filter(F.col("change").isin("deleted", "changed")).select("repo_id", F.col("path").alias("file_path")))
+        fresh = _sent(diff.filter(F.col("change").isin("new", "changed")).select("repo_id", F.col("path").alias("rel_path")))
+        work = files.join(fresh, ["repo_id", "rel_path"], "left_semi")
     # files and chunks are needed several times; they are written once and read again
-    work.write.parquet(f"{stage}/work")
-    work = spark.read.schema(work.schema).parquet(f"{stage}/work")
+    work = _staged(work, f"{stage}/work")
+    indexed = work.count()
+    n = n or max(LEAST_BUCKETS, min(MOST_BUCKETS, indexed // FILES_PER_BUCKET))
+    draft = Draft(store, n, touched)
+
+    def add(name: str, made: DataFrame, laid: bool = False) -> None:
+        """With what the touched buckets keep. A table is moved between tasks only if its buckets are in many parts."""
+        if not full and name != "counts":
+            path = "path" if name == "files" else "file_path"
+            kept = store.table(name, touched)
+            laid = laid and len(kept.inputFiles()) <= PARTS_PER_BUCKET * len(touched)
+            kept = kept.withColumn("bucket", store.bucket(F.col("repo_id"), F.col(path), n)).join(gone.withColumnRenamed("file_path", path), ["repo_id", path], "left_anti")
+            made = kept.unionByName(made)
+        draft.add(name, made, laid=laid)
+
     made = {}
     for name, df in _built(work, stage).items():
         path = F.col("path") if name == "files" else F.col("file_path")
         made[name] = df.withColumn("bucket", store.bucket(F.col("repo_id"), path, n))
-    made["chunks"].write.parquet(f"{stage}/chunks")
-    made["chunks"] = spark.read.schema(made["chunks"].schema).parquet(f"{stage}/chunks")
-    indexed, chunks = made["files"].count(), made["chunks"].count()
-    made |= _derived(made["chunks"], embedder, most_bytes)
-    if not full:
-        for name in [x for x in made if x != "counts"]:
-            path = "path" if name == "files" else "file_path"
-            kept = store.table(name, touched)
-            kept = kept.withColumn("bucket", store.bucket(F.col("repo_id"), F.col(path), n)).join(gone.withColumnRenamed("file_path", path), ["repo_id", path], "left_anti")
-            made[name] = kept.unionByName(made[name])
-        made["counts"] = _derived(made["chunks"], embedder, most_bytes)["counts"]
-    store.publish(made, embedder, n, touched=touched, most_bytes=most_bytes)
+    if full:
+        add("chunks", made.pop("chunks"))
+        chunks = draft.written("chunks")
+    else:
+        chunks = _staged(made.pop("chunks").repartition(min(n, len(touched)), "bucket"), f"{stage}/chunks")
+        add("chunks", chunks, laid=True)
+    for name, df in made.items():
+        add(name, df)
+    for done in ("work", "records"):
+        fs.delete(spark, f"{stage}/{done}")
+    total = chunks.count()
+    made = _derived(chunks, embedder, most_bytes)
+    for name in ("vectors", "postings"):
+        add(name, made[name], laid=True)
+    add("counts", made["counts"] if full else _counts(draft.written("chunks"), most_bytes))
+    draft.publish(embedder, most_bytes)
     fs.delete(spark, stage)
-    return {"files_indexed": indexed, "chunks": chunks, "incremental": not full, "buckets_written": n if full else len(touched), "duration_ms": int((time.monotonic() - began) * 1000)}
+    return {"files_indexed": indexed, "chunks": total, "incremental": not full, "buckets_written": n if full else len(touched), "duration_ms": int((time.monotonic() - began) * 1000)}
 
 
 def migrate(store: Store, embedder: Embedder, repo_id: str | None = None) -> bool:

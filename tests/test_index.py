@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from lodeseek.operators.retrieval import bm25_topk
 from lodeseek.plans.search import Corpus, Knobs, resolve_weights, search
 from lodeseek.sources.durable import clear, shared_folder, written
 from lodeseek.sources import files as fs
+from lodeseek.sources import store as store_module
 from lodeseek.sources.repo import ignored, read_records, read_rules, walk
 from lodeseek.sources.store import Registry, Store, StoreError, corpus_counts, migrate, open_or_build, reindex
 
@@ -284,3 +286,28 @@ def test_places_of_records_in_several_splits(spark, tmp_path):
         assert [(r.ord, r.docstring) for r in good.orderBy("ord").collect()] == [(i, f"d{i}") for i in range(2000)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_build_moves_contents_once(spark, tmp_path):
+    """Of distinct files only the chunks are shuffled, once; neither the files nor the postings are, and no shuffle file stays."""
+    rng = random.Random(4)
+    text = lambda: "\n".join(" ".join(f"{rng.getrandbits(40):x}" for _ in range(8)) for _ in range(50))
+    rows = [("r", f"f{i}.txt", text(), None, 1) for i in range(60)]
+    files = spark.createDataFrame(rows, "repo_id string, rel_path string, content string, language string, mtime long")
+    store = spark._jsc.sc().statusStore()
+    moved = lambda: sum(s.shuffleWriteBytes() for s in (lambda l: [l.apply(i) for i in range(l.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = moved()
+    made = Store(spark, str(tmp_path / "index"))
+    reindex(made, files, FeatureHash("md5"))
+    assert moved() - before < 1.5 * sum(len(r[2]) for r in rows)
+    assert made.table("chunks").count() == made.table("vectors").count() == 60
+
+
+def test_the_newest_of_repeated_files(spark, tmp_path):
+    rows = [("r", "a", "1", None, 1), ("r", "a", "2", None, 2), ("r", "a", "0", None, 2), ("s", "a", "x", None, None), ("r", "b", "y", None, 5), ("r", "b", "y", None, 5)]
+    files = spark.createDataFrame(rows, "repo_id string, rel_path string, content string, language string, mtime long")
+    for name, least in (("sent", 500_000), ("shuffled", 0)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(store_module, "KEYS_SENT", least)
+            got = store_module._newest(files, str(tmp_path / name)).collect()
+        assert sorted((r.repo_id, r.rel_path, r.content) for r in got) == [("r", "a", "0"), ("r", "b", "y"), ("s", "a", "x")]
