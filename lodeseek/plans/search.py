@@ -70,14 +70,17 @@ def resolve_weights(queries: DataFrame, knobs: Knobs) -> DataFrame:
 
 
 def ranked(queries: DataFrame, corpus: Corpus, embedder: Embedder, knobs: Knobs = Knobs()) -> DataFrame:
-    """The fused list ``(query_id, chunk_id, score, rank)`` before anything is dropped."""
+    """The fused list ``(query_id, chunk_id, score, rank)`` before anything is dropped.
+
+    Either ranking, at most the depth for a query, is written before the next is made: what one shuffles and sorts
+    is gone from memory and disk by then."""
     depth = knobs.candidates or knobs.k
-    lexical = bm25_topk(corpus.postings, corpus.stats, queries, depth)
+    lexical = written(bm25_topk(corpus.postings, corpus.stats, queries, depth), "lexical")
     asked = embed_column(queries, embedder, id_col="query_id", text_col="query", query=True).withColumnRenamed("id", "query_id")
     vectors = corpus.vectors
     if knobs.drop_tokenless:
         vectors = vectors.filter(F.exists("embedding", lambda x: x != 0))
-    near = knn(vectors, asked, depth)
+    near = written(knn(vectors, asked, depth), "near")
     fused = rrf(lexical, near, k_rrf=knobs.k_rrf, weights=resolve_weights(queries, knobs)).drop("bm25_rank")
     if knobs.boost_imports and corpus.imports is not None:
         fused = boost_imports(fused, queries, corpus.imports, corpus.chunks.select(F.col("id").alias("chunk_id"), "file_path"))

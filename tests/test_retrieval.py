@@ -198,3 +198,11 @@ def test_evaluation_ranks_once(spark, monkeypatch):
         monkeypatch.setattr(e, name, lambda *a, f=getattr(e, name), n=name, **k: calls.append(n) or f(*a, **k))
     e.eval_recall_mrr(spark, "/root/testdata/sf0.001")
     assert sorted(calls) == ["bm25_topk", "knn", "live_chunks"]
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_rankings_are_written_before_they_are_fused(spark):
+    from lodeseek.plans import engine_queries as e
+
+    plan = e.search_hybrid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan and "collect_list" not in plan
